@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, token_files
+from . import jaccard, langid, mixing, packing, secrets, substring, token_files, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_language_id": langid.op3_language_id,
     "op4_token_files": token_files.op4_token_files,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
