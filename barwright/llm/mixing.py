@@ -35,13 +35,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, ceilin
     order = one.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(
-        "source", "source_size", "weight", "cap", (F.col("cap") / F.col("weight")).alias("ratio"),
+        "source", "source_size", "weight", "cap", F.row_number().over(order).alias("at"), (F.col("cap") / F.col("weight")).alias("ratio"),
         (F.sum("source_size").over(one) * F.lit(share)).alias("total"),
         F.coalesce(F.sum("cap").over(upto), F.lit(0.0)).alias("capped"),
         (F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(upto), F.lit(0))).alias("rest"),
     )
     per = per.withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest"))
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(one))
+    found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(one)
+    per = per.withColumn("level", found["level"])
     target = F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))
@@ -53,9 +54,10 @@ def offset_of(source, seed: str):
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix:", keep: list[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (and the columns of `keep`) for every row of docs."""
-    rows = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix:", whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (with `whole`, also the row itself) for every row of docs."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = docs.select("doc_id", "source", *row, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     targets = source_targets(rows.select("source", "size"), weights, share, ceiling)
     # rank within the source: documents of smaller size, then documents of the same size with smaller id
     per = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -73,8 +75,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    mixed = mix_sources(docs, keep=docs.columns, **options)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixed = mix_sources(docs, whole=True, **options).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -89,11 +91,11 @@ OP10_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 p as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ([3, 1, 2])[1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, source_size * 2.0::double as cap from p),
-c as (select *, cap / weight as ratio, sum(source_size) over () * 1.5::double as total,
+c as (select *, cap / weight as ratio, row_number() over (order by cap / weight, source nulls last) as pos, sum(source_size) over () * 1.5::double as total,
   coalesce(sum(cap) over o, 0.0) as capped, sum(weight) over () - coalesce(sum(weight) over o, 0) as rest
   from w window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 l as (select *, (total - capped) / rest as level from c),
-m as (select *, min(case when level <= ratio then level end) over () as lam from l),
+m as (select *, arg_min(case when level <= ratio then level end, case when level <= ratio then pos end) over () as lam from l),
 t as (select source, source_size, least(cap, coalesce(weight * lam, cap)) as target,
   (('0x' || substr(md5('mix:' || case when source is null then 'n' else 's' || source end), 1, 4))::bigint::double + 0.5) / 65536.0 as u from m),
 r as (select d.doc_id, d.size, t.source_size, t.target, t.u, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
