@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, secrets, substring, token_files, toxicity
+from . import embedding_dups, jaccard, langid, mixing, packing, secrets, substring, token_files, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": langid.op3_language_id,
     "op4_token_files": token_files.op4_token_files,
+    "op5_embedding_near_dedup": embedding_dups.op5_embedding_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
+    "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {
+    "op5_embedding_near_dedup": embedding_dups.OP5_SQL,
+    "op8_exact_top_k": topk.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
