@@ -1,5 +1,5 @@
 """All queries: importing the operator modules registers them."""
 
-from ..operators import alignment, candles, indicators  # noqa: F401
+from ..operators import alignment, candles, indicators, waves  # noqa: F401
 from ..sources import bars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
