@@ -4,7 +4,6 @@ components, vectorised word hashing over Arrow buffers, and tokenisation with a
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 from array import array
@@ -203,15 +202,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte-level symbols: bytes without a printable character stand for 256, 257 and so on, in order.
+_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizers library's own.
 
     Byte-level BPE never merges across a single space that stands between two other characters, so a text is cut
     at such spaces and each distinct piece is encoded once by the library; the cache is emptied when full. Texts
-    with two white-space characters in a row are encoded as a whole.
+    with other white space next to such a space keep it within one piece.
     """
 
-    ROOM = 500_000
+    ROOM = 800_000
+    #: White space besides space, tab, LF and CR, and pairs of white space: texts with these are cut with more care.
+    RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -219,8 +225,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.cache: dict[str, bytes] = {}
-        self.double = re.compile(r"\s\s")
+        self.stops = {x: self._ids([x])[0] for x in ".,;:!?)"}
+        self.line = self._ids(["\n"])[0]
+
+    @classmethod
+    def get(cls, vocabulary: str = VOCABULARY) -> Encoder:
+        """The encoder of this Python worker, which keeps its cache from task to task."""
+        if vocabulary not in _ENCODERS:
+            _ENCODERS[vocabulary] = cls(vocabulary)
+        return _ENCODERS[vocabulary]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -228,7 +243,7 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         """The text cut before single spaces; pieces after the first stand without their leading space."""
         parts = text.split(" ")
-        if not self.double.search(text):
+        if not any(x in text for x in self.PAIRS) and (text.isascii() and text.isprintable() or not any(x in text for x in self.RARE)):
             return parts
         out = [parts[0]]
         for p in parts[1:]:
@@ -238,17 +253,54 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
+    def _known(self, x: str, space: bool) -> bytes | None:
+        """Ids of a piece that the library's splitter would cut into words of letters, single stops and line ends; its
+        model gets the words directly, in byte symbols. Null where the library has to split the piece itself."""
+        key = x if space else "\n" + x
+        got = self.cache.get(key)
+        if got is None:
+            if x.isalpha():
+                if max(x) < "\u0250":
+                    word = x if x.isascii() else x.encode().decode("latin-1").translate(_SYMBOLS)
+                    got = array("I", [y.id for y in self.model.tokenize("\u0120" + word if space else word)]).tobytes()
+            elif x[-1:] in self.stops and x[-2:-1].isalpha():
+                base = self._known(x[:-1], space)
+                got = base and base + self.stops[x[-1]]
+            elif "\n" in x:
+                one, two = x.split("\n", 1)
+                if one and two and not one[-1].isspace() and not two[0].isspace():
+                    head, tail = self._known(one, space), self._known(two, False)
+                    got = head and tail and head + self.line + tail
+            if got is not None:
+                self.cache[key] = got
+        return got
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds pieces to the cache."""
+        rest = [x for x in new if self._known(x, True) is None]
+        self.cache.update(zip(rest, self._ids([" " + x for x in rest])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         done = []
-        for at in range(0, len(texts), 256):
-            cut = [self._pieces(x) if x else [""] for x in texts[at : at + 256]]
+        for at in range(0, len(texts), 64):
+            cut = [self._pieces(x) if x else [""] for x in texts[at : at + 64]]
             if len(self.cache) > self.ROOM:
                 self.cache.clear()
-            cache, new = self.cache, set()
-            for parts in cut:
-                new.update(parts[1:])
-            if new := list(new.difference(cache)):
-                cache.update(zip(new, self._ids([" " + x for x in new])))
-            heads = self._ids([parts[0] for parts in cut])
-            done += [head + b"".join(map(cache.__getitem__, parts[1:])) for head, parts in zip(heads, cut)]
+            look = self.cache.get
+            found = [list(map(look, parts)) for parts in cut]
+            new: set[str] = set()
+            for parts, got in zip(cut, found):
+                got[0] = b""
+                if None in got:
+                    new.update(p for p, g in zip(parts, got) if g is None)
+            if new:
+                self._learn(list(new))
+            for head, parts, got in zip(self._ids([parts[0] for parts in cut]), cut, found):
+                if None in got:
+                    got = [self.cache[p] if g is None else g for p, g in zip(parts, got)]
+                got[0] = head
+                done.append(b"".join(got))
         return done
+
+
+_ENCODERS: dict[str, Encoder] = {}

@@ -13,9 +13,9 @@ With n shingles, a document indexes
 
 Documents with equal sets are one class, represented by the smallest doc_id; only representatives are joined. A list of a
 rare shingle has at most `often` documents and yields all its pairs of fitting sizes. A list of a combination may be of
-any length: it yields pairs with its smallest document only; after these are verified, lists that still span several
-components yield the pairs across those. So components are exact and no group is expanded into all its pairs.
-Candidates are verified on the whole texts.
+any length: it yields pairs with one of its documents only; after these are verified, lists that still span several
+components meet further ones, and what spans several at the end yields the pairs across them. So components are exact and no group is expanded into all its pairs.
+Candidates that their prefixes do not rule out are verified on the whole texts.
 
 Edge cases: null and empty texts have no shingle and link with nothing; shorter texts than k words have one, the whole
 sequence; rows that repeat an id are one node; null ids take no part in links and have a null component; an empty table
@@ -116,7 +116,7 @@ def frequent_shingles(docs: DataFrame, k: int, often: int, room: int = FREQUENT_
 
 
 def signatures(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, the set's key (k1, k2), its single and its paired signatures."""
+    """doc_id, n_shingles, the set's key (k1, k2), its single and its paired signatures, and the prefix of the latter."""
     maybe = np.zeros(1 << 22, bool)
     maybe[frequent & 0x3FFFFF] = True
 
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray) -> Da
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                n, k1, k2, single, pairs = [], [], [], [], []
+                n, k1, k2, single, pairs, prefix = [], [], [], [], [], []
                 for _, s in shingle_sets(some.column(1), k):
                     n.append(len(s))
                     k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
@@ -145,15 +145,48 @@ def signatures(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray) -> Da
                     if len(rare) > miss:
                         single.append(rare[: miss + 1].view(np.int64))
                         pairs.append(none)
+                        prefix.append(none)
                     else:
                         f = s[often_][: math.floor(2 * (1 - t) * len(s)) + 2]
                         single.append(rare.view(np.int64))
+                        prefix.append(f.view(np.int64))
                         # a prefix that is one shingle has no neighbour: it stands for itself
                         pairs.append((mix(f[:-1] * _A + f[1:] * _B) if len(f) > 1 else f).view(np.int64))
                 lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(single, lists), pa.array(pairs, lists)], names=["doc_id", "n_shingles", "k1", "k2", "single", "pairs"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(single, lists), pa.array(pairs, lists), pa.array(prefix, lists)], names=["doc_id", "n_shingles", "k1", "k2", "single", "pairs", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, single array<bigint>, pairs array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, single array<bigint>, pairs array<bigint>, prefix array<bigint>")
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs whose prefixes do not rule them out: up to the shorter prefix's end, the two sets may differ in no more
+    shingles than the whole sets may."""
+    side = lambda x: reps.select(F.col("doc").alias(x), F.struct("n", "single", "prefix").alias(f"s{x}"))
+
+    def differ(x: np.ndarray, y: np.ndarray, end: int | None) -> int:
+        if end is not None:
+            x, y = x[x <= end], y[y <= end]
+        both = np.sort(np.concatenate([x, y]))
+        return len(both) - 2 * int((both[1:] == both[:-1]).sum())
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            sides = [batch.column(i) for i in (2, 3)]
+            n = [c.field("n").to_pylist() for c in sides]
+            rare = [[np.asarray(x.values).view(np.uint64) for x in c.field("single")] for c in sides]
+            often = [[np.asarray(x.values).view(np.uint64) for x in c.field("prefix")] for c in sides]
+            for i in range(len(batch)):
+                (na, nb), (ra, rb), (fa, fb) = ((x[0][i], x[1][i]) for x in (n, rare, often))
+                least = math.ceil(t * (na + nb) / (1 + t))
+                ends = [r[-1] for r, f in ((ra, fa), (rb, fb)) if not len(f)]
+                d = differ(ra, rb, min(ends) if ends else None)
+                if len(fa) and len(fb):
+                    d += differ(fa, fb, min(fa[-1], fb[-1]))
+                good.append(d <= na + nb - 2 * least)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -173,14 +206,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 16) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 16, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that its links reach."""
     t = threshold
     frequent, often = frequent_shingles(docs, k, often)
     signed = write_shared(signatures(docs, k, t, frequent))
     key = ["n_shingles", "k1", "k2"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min_by(F.struct("doc_id", "single", "pairs"), "doc_id").alias("r"))
-    reps = reps.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.single", "r.pairs")
+    # different sets can only link if both have t / (1 - t) shingles
+    reps = signed.where("n_shingles > 0 and doc_id is not null").where(F.col("n_shingles") >= math.ceil(t / (1 - t)))
+    reps = reps.groupBy(*key).agg(F.min_by(F.struct("doc_id", "single", "pairs", "prefix"), "doc_id").alias("r"))
+    reps = write_shared(reps.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.single", "r.pairs", "r.prefix"))
     fits = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
 
     # rare shingles: lists of at most `often` documents
@@ -188,27 +223,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     rest = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(1 << 30))).alias("y"))
     rare = rest.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
-    # combinations of frequent shingles: first with the smallest document of each list
-    combined = write_shared(reps.where(F.size("pairs") > 0).select(F.explode("pairs").alias("sig"), "doc", "n"))
-    heads = combined.groupBy("sig").agg(F.min(F.struct("doc", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    stars = combined.join(heads, "sig").where(F.col("doc") != F.col("h.doc")).where(fits(F.col("n"), F.col("h.n"))).select(F.col("h.doc").alias("a"), F.col("doc").alias("b"))
-    tried = write_shared(rare.union(stars).where("a < b").distinct())
-    links = write_shared(verified(tried, docs, k, t))
-    reach = components(links)
-
-    # then across the components that a list still spans
-    at = combined.join(reach.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
-    open_ = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    left = write_shared(at.join(open_, "sig", "left_semi"))
-    x, y = left.withColumnsRenamed({"doc": "a", "n": "na", "c": "ca"}), left.withColumnsRenamed({"doc": "b", "n": "nb", "c": "cb"})
-    across = x.join(y, "sig").where("a < b and ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    across = write_shared(across)
-    if not across.isEmpty():
-        links = write_shared(links.union(verified(across, docs, k, t)))
-        reach = components(links)
+    # combinations of frequent shingles: each list meets one of its documents; after that, the lists that still span
+    # several components meet further ones, and at last the pairs across their components are taken
+    combined = write_shared(reps.where(F.size("pairs") > 0).select(F.explode(F.array_distinct("pairs")).alias("sig"), "doc", "n"))
+
+    def stars(members: DataFrame, r: int) -> DataFrame:
+        heads = members.groupBy("sig").agg(F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(r)) if r else F.col("doc")).alias("h"))
+        both = members.join(heads, "sig").where(F.col("doc") != F.col("h.doc")).where(fits(F.col("n"), F.col("h.n")))
+        return both.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b"))
+
+    def across(members: DataFrame) -> DataFrame:
+        x, y = members.withColumnsRenamed({"doc": "a", "n": "na", "c": "ca"}), members.withColumnsRenamed({"doc": "b", "n": "nb", "c": "cb"})
+        return x.join(y, "sig").where("a < b and ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+
+    new = rare.union(stars(combined, 0))
+    tried = links = reach = None
+    for r in range(1, rounds + 2):
+        new = new.where("a < b").distinct()
+        new = write_shared(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.union(new)
+        found = write_shared(verified(write_shared(plausible(new, reps, t)), docs, k, t))
+        links = found if links is None else links.union(found)
+        if reach is None or not found.isEmpty():
+            reach = write_shared(components(links))
+        at = combined.join(reach.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
+        open_ = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+        left = write_shared(at.join(open_, "sig", "left_semi"))
+        if r > rounds or left.isEmpty():
+            break
+        new = stars(left, r) if r < rounds else across(left)
 
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(reach, classes["rep"] == reach["id"], "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
+    classes = classes.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return signed.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", own.alias("component_id"))
 

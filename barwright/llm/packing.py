@@ -173,7 +173,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     """One row per piece of each document's token ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.get(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some, rows = batch.slice(at, 256), []

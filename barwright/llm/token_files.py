@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.get(vocabulary), np.array([end_id], "<u4").tobytes()
         file, shard, ids, starts, parts, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
