@@ -14,8 +14,8 @@ A word is removed if a window that covers it also starts in a document with a sm
 input. Words are runs without ASCII white space, unchanged. Windows are told apart by 128-bit hashes.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing; rows that repeat a doc_id are one
-document to each other (no copy within an id is removed), each with its own result row; a row with
-a null id loses nothing; an empty table gives an empty result; extra columns are not read.
+document to each other (no copy within an id is removed), each with its own result row, and are taken to repeat its
+text; a row with a null id loses nothing; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ def candidate_windows(texts: DataFrame, length: int, half: int) -> DataFrame:
                     lo, n = int(t.first[d]), int(t.first[d + 1] - t.first[d])
                     mark = np.zeros(max(n, length) + 2, np.int64)
                     p = np.asarray(places[t.first_row + d].values)
+                    p = p[p <= n - half]
                     np.add.at(mark, np.maximum(p - (length - half), 0), 1)
                     np.add.at(mark, np.minimum(p, n - length) + 1, -1)
                     s = np.flatnonzero(np.cumsum(mark)[: max(n - length + 1, 0)])
@@ -120,9 +121,9 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
 
 def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of n words the windows cover."""
-    mark = np.zeros(n + 1, np.int64)
+    mark, starts = np.zeros(n + 1, np.int64), starts[starts <= n - length]
     np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + length, n), -1)
+    np.add.at(mark, starts + length, -1)
     return np.cumsum(mark[:n]) > 0
 
 
