@@ -1,8 +1,9 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's set holds its distinct k-word shingles; two documents link when their Jaccard similarity reaches the
-threshold t. Shingles are ordered rare class first, then by hash; the frequent class are the shingles in more than
-`often` documents, counted exactly over all documents (modulo hash collisions, which only make a shingle frequent).
+threshold t. Shingles are ordered rare class first, then by how many documents they are in (in steps of a factor of
+sqrt 2), then by hash; the frequent class are the shingles in more than `often` documents, counted exactly over all
+documents (modulo hash collisions, which only make a shingle more frequent).
 With n shingles, a document indexes
 
 * its first floor((1 - t) n) + 1 rare shingles, singly, if it has that many: a partner misses at most floor((1 - t) n);
@@ -14,8 +15,10 @@ With n shingles, a document indexes
 Documents with equal sets are one class, represented by the smallest doc_id; only representatives are joined. A list of a
 rare shingle has at most `often` documents and yields all its pairs of fitting sizes. A list of a combination may be of
 any length: it yields pairs with one of its documents only; after these are verified, lists that still span several
-components meet further ones, and what spans several at the end yields the pairs across them. So components are exact and no group is expanded into all its pairs.
-Candidates that their prefixes do not rule out are verified on the whole texts.
+components meet further ones, and what spans several at the end yields the pairs across them. So components are
+exact and no group is expanded into all its pairs. Pairs are ruled out while they are joined by a parity sketch (every
+shingle in which two sets differ flips one bit, so sketches differ in no more bits than the sets do in shingles), then by
+their prefixes; the rest is verified on the whole texts.
 
 Edge cases: null and empty texts have no shingle and link with nothing; shorter texts than k words have one, the whole
 sequence; rows that repeat an id are one node; null ids take no part in links and have a null component; an empty table
@@ -30,13 +33,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, mix, slices, table, write_shared
 
 #: The most frequent shingles that are sent to all tasks; with more, `often` is raised until they fit.
 FREQUENT_ROOM = 1 << 20
+#: Bits of the parity sketch.
+SKETCH = 512
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -64,8 +69,9 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield t.first_row + d, s
 
 
-def frequent_shingles(docs: DataFrame, k: int, often: int, room: int = FREQUENT_ROOM) -> tuple[np.ndarray, int]:
-    """High halves of the hashes of the frequent shingles, sorted, and the bound that makes them frequent.
+def frequent_shingles(docs: DataFrame, k: int, often: int, room: int = FREQUENT_ROOM) -> tuple[np.ndarray, np.ndarray, int]:
+    """High halves of the hashes of the frequent shingles, sorted, their steps of frequency (0 to 63), and the bound that
+    makes them frequent.
 
     Tasks send their own counts, packed per range of hashes; every hash range is added up by itself.
     """
@@ -111,51 +117,62 @@ def frequent_shingles(docs: DataFrame, k: int, often: int, room: int = FREQUENT_
             break
         bound = r["least"] - 1
     bound = max(bound, often) if total > room else often
-    rows = found.where(F.col("df") > bound).select("h").toPandas()["h"].to_numpy() if total else np.zeros(0, np.int64)  # at most `room` rows
-    return np.sort(rows.astype(np.uint32)), bound
+    rows = found.where(F.col("df") > bound).select("h", "df").toPandas()  # at most `room` rows
+    h = rows["h"].to_numpy().astype(np.uint32)
+    order = np.argsort(h)
+    steps = np.minimum(np.floor(2 * np.log2(rows["df"].to_numpy().astype(np.float64))), 63).astype(np.uint8)
+    return h[order], steps[order], bound
 
 
-def signatures(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, the set's key (k1, k2), its single and its paired signatures, and the prefix of the latter."""
+def signatures(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray, steps: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, the set's key (k1, k2), its single and its paired signatures, the prefix of the latter, and the
+    set's parity sketch. Frequent shingles stand as keys that sort by step of frequency, then by hash."""
     maybe = np.zeros(1 << 22, bool)
     maybe[frequent & 0x3FFFFF] = True
 
-    def is_frequent(s: np.ndarray) -> np.ndarray:
+    def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rare shingles and the sorted keys of the frequent ones."""
         h = (s >> np.uint64(32)).astype(np.uint32)
         out = maybe[h & 0x3FFFFF]
         at = np.flatnonzero(out)
-        if len(at):
-            i = np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)
-            out[at] = frequent[i] == h[at]
-        return out
+        if not len(at):
+            return s, s[:0]
+        i = np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)
+        true = frequent[i] == h[at]
+        out[at] = true
+        return s[~out], np.sort(steps[i[true]].astype(np.uint64) << np.uint64(58) | s[at[true]] >> np.uint64(6))
+
+    def sketch(s: np.ndarray) -> np.ndarray:
+        odd = np.bincount((mix(s ^ _A) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                n, k1, k2, single, pairs, prefix = [], [], [], [], [], []
+                n, k1, k2, single, pairs, prefix, bits = [], [], [], [], [], [], []
                 for _, s in shingle_sets(some.column(1), k):
                     n.append(len(s))
                     k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     k2.append(int(mix(s ^ _C).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     miss = math.floor((1 - t) * len(s))
-                    often_ = is_frequent(s)
-                    rare = s[~often_]
+                    rare, often_ = split(s)
                     if len(rare) > miss:
                         single.append(rare[: miss + 1].view(np.int64))
                         pairs.append(none)
                         prefix.append(none)
                     else:
-                        f = s[often_][: math.floor(2 * (1 - t) * len(s)) + 2]
+                        f = often_[: math.floor(2 * (1 - t) * len(s)) + 2]
                         single.append(rare.view(np.int64))
                         prefix.append(f.view(np.int64))
                         # a prefix that is one shingle has no neighbour: it stands for itself
                         pairs.append((mix(f[:-1] * _A + f[1:] * _B) if len(f) > 1 else f).view(np.int64))
+                    bits.append(sketch(s) if len(s) else none)
                 lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(single, lists), pa.array(pairs, lists), pa.array(prefix, lists)], names=["doc_id", "n_shingles", "k1", "k2", "single", "pairs", "prefix"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(single, lists), pa.array(pairs, lists), pa.array(prefix, lists), pa.array(bits, lists)], names=["doc_id", "n_shingles", "k1", "k2", "single", "pairs", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, single array<bigint>, pairs array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, single array<bigint>, pairs array<bigint>, prefix array<bigint>, bits array<bigint>")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
@@ -209,15 +226,20 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFram
 def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), often: int = 16, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that its links reach."""
     t = threshold
-    frequent, often = frequent_shingles(docs, k, often)
-    signed = write_shared(signatures(docs, k, t, frequent))
+    frequent, steps, often = frequent_shingles(docs, k, often)
+    signed = write_shared(signatures(docs, k, t, frequent, steps))
     key = ["n_shingles", "k1", "k2"]
     # different sets can only link if both have t / (1 - t) shingles
     reps = signed.where("n_shingles > 0 and doc_id is not null").where(F.col("n_shingles") >= math.ceil(t / (1 - t)))
-    reps = reps.groupBy(*key).agg(F.min_by(F.struct("doc_id", "single", "pairs", "prefix"), "doc_id").alias("r"))
-    reps = write_shared(reps.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.single", "r.pairs", "r.prefix"))
+    reps = reps.groupBy(*key).agg(F.min_by(F.struct("doc_id", "single", "pairs", "prefix", "bits"), "doc_id").alias("r"))
+    reps = write_shared(reps.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.single", "r.pairs", "r.prefix", "r.bits"))
     fits = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
 
+    def alike(n: Column, m: Column, x: Column, y: Column) -> Column:
+        """Whether the sizes and the sketches leave room for a link: D differing shingles need D (1 + t) <= (n + m) (1 - t)."""
+        differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, SKETCH // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+        return fits(n, m) & (differ * (t.denominator + t.numerator) <= (n + m) * (t.denominator - t.numerator))
+
     # rare shingles: lists of at most `often` documents
     lists = reps.select(F.explode("single").alias("sig"), F.struct("doc", "n").alias("d")).groupBy("sig").agg(F.array_sort(F.collect_list("d")).alias("l")).where(F.size("l") > 1)
     rest = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(1 << 30))).alias("y"))
@@ -225,18 +247,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
 
     # combinations of frequent shingles: each list meets one of its documents; after that, the lists that still span
     # several components meet further ones, and at last the pairs across their components are taken
-    combined = write_shared(reps.where(F.size("pairs") > 0).select(F.explode(F.array_distinct("pairs")).alias("sig"), "doc", "n"))
+    combined = write_shared(reps.where(F.size("pairs") > 0).select(F.explode(F.array_distinct("pairs")).alias("sig"), "doc", "n", "bits"))
 
     def stars(members: DataFrame, r: int) -> DataFrame:
-        heads = members.groupBy("sig").agg(F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(r)) if r else F.col("doc")).alias("h"))
-        both = members.join(heads, "sig").where(F.col("doc") != F.col("h.doc")).where(fits(F.col("n"), F.col("h.n")))
+        heads = members.groupBy("sig").agg(F.min_by(F.struct("doc", "n", "bits"), F.xxhash64("doc", F.lit(r)) if r else F.col("doc")).alias("h"))
+        both = members.join(heads, "sig").where(F.col("doc") != F.col("h.doc")).where(alike(F.col("n"), F.col("h.n"), F.col("bits"), F.col("h.bits")))
         return both.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b"))
 
     def across(members: DataFrame) -> DataFrame:
-        x, y = members.withColumnsRenamed({"doc": "a", "n": "na", "c": "ca"}), members.withColumnsRenamed({"doc": "b", "n": "nb", "c": "cb"})
-        return x.join(y, "sig").where("a < b and ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+        x, y = members.withColumnsRenamed({"doc": "a", "n": "na", "c": "ca", "bits": "xa"}), members.withColumnsRenamed({"doc": "b", "n": "nb", "c": "cb", "bits": "xb"})
+        return x.join(y, "sig").where("a < b and ca <> cb").where(alike(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b")
 
-    new = rare.union(stars(combined, 0))
+    new, rounds = rare.union(stars(combined, 0)), max(rounds, 1)
     tried = links = reach = None
     for r in range(1, rounds + 2):
         new = new.where("a < b").distinct()
