@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: The word class of every contract: runs without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 19
+#: Spark's settings of the size of Arrow batches: name, Spark's default, what the operators here use instead.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"))
 
 
 # ---------------------------------------------------------------------------------------------- shared folders
@@ -29,15 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 4 MB where the session sets no other bound: texts are long, and the default
+    of 10,000 rows takes hundreds of MB in each worker."""
+    for key, default, value in BATCHES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/barwright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -214,7 +226,7 @@ class Encoder:
     with other white space next to such a space keep it within one piece.
     """
 
-    ROOM = 800_000
+    ROOM = 250_000
     #: White space besides space, tab, LF and CR, and pairs of white space: texts with these are cut with more care.
     RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
     PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")

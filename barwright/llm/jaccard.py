@@ -94,7 +94,7 @@ def frequent_shingles(docs: DataFrame, k: int, often: int, room: int = FREQUENT_
                 if len(s):
                     parts.append((s >> np.uint64(32)).astype("<u4"))
                     held += len(s)
-                    if held > 1 << 23:
+                    if held > 1 << 22:
                         yield packed()
                         parts, held = [], 0
         if parts:
