@@ -26,24 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Vectors of a page, queries of a block, children of a node.
-PAGE, BLOCK, FAN = 16_384, 2_048, 32
+#: Vectors of a page, queries of a block, children of an inner node, vectors of a leaf.
+PAGE, BLOCK, FAN, LEAF = 16_384, 2_048, 32, 1_024
 
 
 class MTree:
-    """Nodes of at most FAN entries over the rows of x, built top-down by nearest routing vectors."""
+    """Inner nodes of at most FAN entries and leaves of at most LEAF vectors over the rows of x, built top-down by nearest
+    routing vectors."""
 
     def __init__(self, x: np.ndarray, seed: int = 7):
         self.x, self.rng = x, np.random.default_rng(seed)
-        #: per node: child nodes or None, rows or None, routing vectors, radii and parent distances of the entries
+        #: per node: child nodes or None, rows or None, routing vectors (of a leaf: its vectors), radii and parent distances
         self.nodes: list[tuple] = []
-        self.root = self._build(np.arange(len(x)), x.mean(0) if len(x) else x.sum(0))
+        self.middle = x.mean(0) if len(x) else x.sum(0)
+        self.root = self._build(np.arange(len(x)), self.middle)
 
     def _build(self, rows: np.ndarray, parent: np.ndarray) -> int:
         """A node over the rows; its entries keep their distance to the parent's routing vector."""
-        if len(rows) <= FAN:
-            away = np.linalg.norm(self.x[rows] - parent, axis=1)
-            self.nodes.append((None, rows, None, None, away))
+        if len(rows) <= LEAF:
+            own = self.x[rows]
+            self.nodes.append((None, rows, own, None, np.linalg.norm(own - parent, axis=1)))
             return len(self.nodes) - 1
         pick = self.rng.choice(len(rows), FAN, replace=False)
         route = self.x[rows[pick]]
@@ -66,8 +68,7 @@ class MTree:
         """The k best (score, -id) for q among the rows whose id is not own."""
         size = float(np.sqrt(q @ q)) * (1 + 1e-12) + 1e-9
         best: list[tuple[float, int]] = []
-        middle = self.x.mean(0)
-        todo = [(-np.inf, self.root, float(q @ middle))]
+        todo = [(-np.inf, self.root, float(q @ self.middle))]
         while todo:
             bound, node, at_parent = heapq.heappop(todo)
             if len(best) == k and -bound < best[0][0]:
@@ -77,13 +78,16 @@ class MTree:
             if kids is None:
                 live = np.flatnonzero(at_parent + size * away >= floor)
                 if len(live):
-                    score = self.x[rows[live]] @ q
-                    for s, i in zip(score.tolist(), ids[rows[live]].tolist()):
-                        if i != own:
-                            if len(best) < k:
-                                heapq.heappush(best, (s, -i))
-                            elif (s, -i) > best[0]:
-                                heapq.heapreplace(best, (s, -i))
+                    score = route[live] @ q if 2 * len(live) < len(rows) else (route @ q)[live]
+                    name = ids[rows[live]]
+                    name, score = name[name != own], score[name != own]
+                    # only what can be among the k best
+                    good = score >= (floor if len(best) == k else np.partition(score, -k)[-k] if len(score) > k else -np.inf)
+                    for s, i in zip(score[good].tolist(), name[good].tolist()):
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
                 continue
             live = np.flatnonzero(at_parent + size * (away + radii) >= floor)
             if len(live):
