@@ -139,7 +139,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 codes, starts = Codes(row["code"]), row["doc_starts"]
                 ends = [*starts[1:], row["n_tokens"]]
-                crc = [zlib.crc32(codes.tokens(s, e).astype("<u4").tobytes()) for s, e in zip(starts, ends)]
+                tokens = codes.tokens(0, row["n_tokens"]).astype("<u4")
+                crc = [zlib.crc32(tokens[s:e]) for s, e in zip(starts, ends)]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["file"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([e - s for s, e in zip(starts, ends)], pa.int64()), pa.array(crc, pa.int64())],
