@@ -14,9 +14,10 @@ STATE = "i long, trend int, low double, low_i long, high double, high_i long, ex
 def streaming_tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """OHLCV bars of a tick stream; ticks later than the watermark are dropped."""
     at = F.struct("ts", "event_id")
-    g = ticks.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("symbol"))
+    kind = ticks.schema["ts"].dataType  # a watermark needs a timestamp with time zone
+    g = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("symbol"))
     g = g.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("volume"))
-    return g.select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
+    return g.select("symbol", F.col("w.start").cast(kind).alias("start"), "open", "high", "low", "close", "volume")
 
 
 def streaming_zigzag(stream: DataFrame, pct: float) -> DataFrame:
