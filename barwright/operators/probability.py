@@ -14,6 +14,9 @@ from ..sources.bars import bars
 from .indicators import PIT, TERM, WINDOWS, band_scale, expanding_rank, hv20, sql_interpolated, term_structure
 
 P = "partition by symbol order by i"
+#: The grid of the samples: every bar from the first whose shortest volatility window is full, 84 samples a bar.
+GRID_HORIZONS, GRID_AMPLITUDES, GRID_FIRST = (20, 40, 60, 90, 120, 180, 250), (0.03, 0.05, 0.08, 0.12, 0.15, 0.20), 20
+#: The smaller grid that the SQL twins state; calibration_samples gives it when called with these values.
 HORIZONS, AMPLITUDES, STEP, FIRST = (20, 60, 120), (0.01, 0.02, 0.04), 10, 260
 
 
@@ -31,26 +34,30 @@ def first_passage_grid(spark, sf_dir):
 def at_horizon(prefix: str, h: int):
     """The term structure at a fixed horizon."""
     h = max(WINDOWS[0], min(WINDOWS[-1], h))
+    if h in WINDOWS:  # needs no other window to be full
+        return F.col(f"{prefix}{h}")
     a, b = next((a, b) for a, b in zip(WINDOWS, WINDOWS[1:]) if h <= b)
     t = (h - a) / (b - a)
     return F.col(f"{prefix}{a}") * (1 - t) + F.col(f"{prefix}{b}") * t
 
 
-def calibration_samples(b: DataFrame, horizons=HORIZONS, amplitudes=AMPLITUDES, step: int = STEP, first: int = FIRST) -> DataFrame:
+def calibration_samples(b: DataFrame, horizons=GRID_HORIZONS, amplitudes=GRID_AMPLITUDES, step: int = 1, first: int = GRID_FIRST) -> DataFrame:
     """symbol, i, h, r, dir, p (model, before the fact), y (whether the barrier was reached within h bars).
 
-    The band moves the barrier towards the price; a barrier that the price has already passed has p = 1."""
+    The band moves the barrier towards the price; a barrier that the price has already passed has p = 1. A bar needs
+    max(horizons) bars after it, and has no samples of a horizon whose volatility windows are not full or have none."""
     x = term_structure(b)
     for h in horizons:
         w = by().rowsBetween(1, h)
         x = x.withColumns({f"hi{h}": F.max("high").over(w), f"lo{h}": F.min("low").over(w)})
     rank = expanding_rank(hv20(b), "hv", "pct").select("symbol", "i", band_scale(F.col("pct")).alias("scale"))
     x = x.withColumn("n", F.max("i").over(Window.partitionBy("symbol"))).where((F.col("i") >= first) & (F.col("i") % step == 0) & (F.col("i") + max(horizons) <= F.col("n"))).join(rank, ["symbol", "i"])
-    # everything that depends on the horizon alone is made before the explode, the barrier in it
-    x = x.withColumns({f"sg{h}": at_horizon("s", h) for h in horizons} | {f"mu{h}": at_horizon("m", h) for h in horizons})
-    bar = lambda h, r, d: F.expr(f"close * (1 + {d} * {r}D) * (1 - {d} * least(sg{h} * sqrt({h}) * scale, 0.235D))")
-    x = x.withColumn("g", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(r).alias("r"), F.lit(d).alias("dir"), F.col(f"hi{h}").alias("hi"), F.col(f"lo{h}").alias("lo"), F.col(f"sg{h}").alias("sigma"), F.col(f"mu{h}").alias("mu"), bar(h, r, d).alias("bar")) for h in horizons for r in amplitudes for d in (1, -1)])))
-    x = x.select("symbol", "i", "close", "g.*")
+    # everything that depends on the horizon alone is made before its explode, the barrier in that of the amplitudes
+    x = x.withColumn("g", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"hi{h}").alias("hi"), F.col(f"lo{h}").alias("lo"), at_horizon("s", h).alias("sigma"), at_horizon("m", h).alias("mu")) for h in horizons])))
+    x = x.select("symbol", "i", "close", "scale", "g.*").where("sigma > 0")
+    bar = lambda r, d: F.expr(f"close * (1 + {d} * {r}D) * (1 - {d} * least(sigma * sqrt(h) * scale, 0.235D))")
+    x = x.withColumn("a", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(d).alias("dir"), bar(r, d).alias("bar")) for r in amplitudes for d in (1, -1)])))
+    x = x.select("symbol", "i", "close", "h", "hi", "lo", "sigma", "mu", "a.*")
     p = f"case when (close - bar) * dir >= 0 then 1.0D else {first_passage_sql('ln(bar / close)', 'mu', 'sigma', 'cast(h as double)')} end"
     y = "case when dir = 1 then hi >= bar else lo <= bar end"
     # a second explode, of one element, keeps the probability from being inlined wherever p is used
