@@ -129,7 +129,8 @@ def asof_forward(left: DataFrame, right: DataFrame, at: str, date: str, value: s
 @query("asof_forward", """, q as (select distinct l_returnflag as symbol, cast(o_orderdate as date) as at from lineitem join orders on o_orderkey = l_orderkey where o_orderkey % 7 = 0)
   select q.symbol, q.at::varchar as at, coalesce((select min(i) from bars b where b.symbol = q.symbol and b.date >= q.at), (select max(i) from bars b where b.symbol = q.symbol)) as i from q""", bars=True)
 def asof_forward_query(spark, sf_dir):
-    q = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("o_orderkey = l_orderkey")).where("o_orderkey % 7 = 0")
+    """All dates of orders; the SQL twin states those of every seventh order key."""
+    q = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("o_orderkey = l_orderkey"))
     q = q.select(F.col("l_returnflag").alias("symbol"), F.col("o_orderdate").cast("date").alias("at")).distinct()
     return asof_forward(q, bars(spark, sf_dir), "at", "date", "i").withColumn("at", F.col("at").cast("string"))
 
@@ -144,7 +145,8 @@ def business_days(a, b):
 
 @query("business_day_distance", "select o_orderkey, (select count(*) from generate_series(1, 40) t(k) where k <= o_orderkey % 40 and dayofweek(cast(o_orderdate as date) + k::int) between 1 and 5)::int as bdays from orders where o_orderkey % 11 = 0")
 def business_day_distance(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a"))
+    """All orders; the SQL twin states every eleventh order key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a"))
     return o.select("o_orderkey", business_days(F.col("a"), F.date_add("a", (F.col("o_orderkey") % 40).cast("int"))).alias("bdays"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import timedelta
 
 
 from barwright.operators import probability
@@ -84,3 +85,22 @@ def test_calibration_summaries_are_of_all_samples(spark, sf):
     sums = {q: QUERIES[q](spark, sf).toPandas() for q in ("calibration_bins", "calibration_slope", "bucket_recal", "calib_2d", "brier_grouping_sets")}
     assert sums["calibration_bins"].n.sum() == sums["calibration_slope"].n.sum() == sums["bucket_recal"].n.sum() == sums["brier_grouping_sets"].n.max() == n
     assert set(zip(sums["calib_2d"].h, sums["calib_2d"].r, sums["calib_2d"].dir)) == {(h, r, d) for h in H for r in R for d in (1, -1)}
+
+
+def test_asof_forward_takes_the_dates_of_all_orders(spark, sf, duck):  # noqa: F811
+    got = {(x.symbol, x.at): x.i for x in QUERIES["asof_forward"](spark, sf).collect()}
+    series = {}
+    for x in QUERIES["bars_daily_walk"](spark, sf).orderBy("i").collect():
+        series.setdefault(x.symbol, []).append(x.date)
+    points = duck.execute("select distinct l_returnflag, cast(o_orderdate as date)::varchar from lineitem join orders on o_orderkey = l_orderkey").fetchall()
+    assert got == {(s, d): next((i for i, e in enumerate(series[s]) if e >= d), len(series[s]) - 1) for s, d in points}
+    part = duck.execute(ORACLES["asof_forward"]).fetchall()
+    assert 0 < len(part) < len(got) and all(got[s, d] == i for s, d, i in part)
+
+
+def test_business_day_distance_has_a_row_for_each_order(spark, sf, duck):  # noqa: F811
+    got = {x.o_orderkey: x.bdays for x in QUERIES["business_day_distance"](spark, sf).collect()}
+    rows = duck.execute("select o_orderkey, cast(o_orderdate as date) from orders").fetchall()
+    assert got == {k: sum((d + timedelta(n)).weekday() < 5 for n in range(1, k % 40 + 1)) for k, d in rows}
+    part = dict(duck.execute(ORACLES["business_day_distance"]).fetchall())
+    assert 0 < len(part) < len(got) and all(got[k] == n for k, n in part.items())
