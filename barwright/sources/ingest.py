@@ -56,22 +56,24 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _payloads(b: DataFrame) -> DataFrame:
+    """One payload per symbol and year, so that none grows with the series."""
     line = F.concat_ws(",", F.col("date").cast("string"), "open", "close", "high", "low", F.col("volume").cast("long").cast("string"))
-    return b.groupBy("symbol").agg(F.array_sort(F.collect_list(line)).alias("k")).select("symbol", F.to_json(F.struct(F.col("k").alias("klines"))).alias("payload"))
+    return b.groupBy("symbol", F.year("date")).agg(F.array_sort(F.collect_list(line)).alias("k")).select("symbol", F.to_json(F.struct(F.col("k").alias("klines"))).alias("payload"))
 
 
+#: States the first 500 bars of each series; the queries take all.
 ROUND = "select symbol, date::varchar as date, open, high, low, close, volume from bars where i < 500"
 
 
 @query("source_kline_json", ROUND, bars=True)
 def source_kline_json(spark, sf_dir):
-    return parse_klines(_payloads(bars(spark, sf_dir).where("i < 500")), "payload")
+    return parse_klines(_payloads(bars(spark, sf_dir)), "payload")
 
 
 @query("source_columnar_json", ROUND.replace("open, high", "case when i % 9 = 0 then close else open end as open, high"), bars=True)
 def source_columnar_json(spark, sf_dir):
-    b = bars(spark, sf_dir).where("i < 500").withColumn("open", F.when(F.col("i") % 9 != 0, F.col("open")))
-    rows = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("date").cast("timestamp")).alias("timestamp"), "open", "high", "low", "close", "volume"))).alias("r"))
+    b = bars(spark, sf_dir).withColumn("open", F.when(F.col("i") % 9 != 0, F.col("open")))
+    rows = b.groupBy("symbol", F.year("date")).agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("date").cast("timestamp")).alias("timestamp"), "open", "high", "low", "close", "volume"))).alias("r"))
     p = rows.select("symbol", F.to_json(F.struct(*[F.col(f"r.{n}").alias(n) for n in ("timestamp", "open", "high", "low", "close", "volume")]), {"ignoreNullFields": "false"}).alias("payload"))
     return parse_columnar(p, "payload")
 
@@ -79,7 +81,7 @@ def source_columnar_json(spark, sf_dir):
 @query("source_pipe_table", ROUND, bars=True)
 def source_pipe_table(spark, sf_dir):
     """Written as a pipe table with thousands separators, then read back."""
-    b = bars(spark, sf_dir).where("i < 500")
+    b = bars(spark, sf_dir)
     cells = [F.col("date").cast("string"), *[F.format_number(c, 2) for c in ("open", "high", "low", "close")], F.format_number("volume", 0)]
     return parse_pipe_table(b.select("symbol", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))).select("symbol", "date", "open", "high", "low", "close", "volume")
 
@@ -93,9 +95,11 @@ def source_wrapped_json(spark, sf_dir):
 
 @query("source_fallback", ", c as (select symbol, 1 as rank, close from bars where symbol <> 'N' and i < 300 union all select symbol, 2, close from bars where i < 400 union all select symbol, 0, close from bars where i < 50) select symbol, case when symbol = 'N' then 2 else 1 end as rank, count(*) as n from c where rank = case when symbol = 'N' then 2 else 1 end group by 1", bars=True)
 def source_fallback(spark, sf_dir):
+    """Of three sources, the first is too short and the second lacks a symbol; SQL states the first 300 and 400 bars of the
+    second and third."""
     b = bars(spark, sf_dir)
     part = lambda rank, f: b.where(f).select("symbol", F.lit(rank).alias("rank"), "close")
-    c = part(1, "symbol <> 'N' and i < 300").union(part(2, "i < 400")).union(part(0, "i < 50"))
+    c = part(1, "symbol <> 'N'").union(part(2, "true")).union(part(0, "i < 50"))
     return first_source(c).groupBy("symbol", "rank").agg(F.count("*").alias("n"))
 
 

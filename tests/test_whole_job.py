@@ -4,6 +4,7 @@ import math
 import random
 from datetime import timedelta
 
+import pytest
 
 from barwright.operators import probability
 from barwright.plans.catalogue import ORACLES, QUERIES
@@ -104,3 +105,21 @@ def test_business_day_distance_has_a_row_for_each_order(spark, sf, duck):  # noq
     assert got == {k: sum((d + timedelta(n)).weekday() < 5 for n in range(1, k % 40 + 1)) for k, d in rows}
     part = dict(duck.execute(ORACLES["business_day_distance"]).fetchall())
     assert 0 < len(part) < len(got) and all(got[k] == n for k, n in part.items())
+
+
+@pytest.mark.parametrize("name", ["source_kline_json", "source_columnar_json", "source_pipe_table"])
+def test_sources_carry_all_bars(spark, sf, duck, name):  # noqa: F811
+    columns = "symbol date open high low close volume".split()
+    got = {(x.symbol, x.date): x for x in QUERIES[name](spark, sf).select(columns).collect()}
+    b = QUERIES["bars_daily_walk"](spark, sf).collect()
+    assert len(got) == len(b) and max(x.i for x in b) > 500
+    for x in b:
+        opened = x.close if name == "source_columnar_json" and x.i % 9 == 0 else x.open
+        assert tuple(got[x.symbol, x.date]) == (x.symbol, x.date, opened, x.high, x.low, x.close, x.volume)
+    part = duck.execute(f"select {', '.join(columns)} from ({ORACLES[name]})").fetchall()
+    assert 0 < len(part) < len(got) and all(tuple(got[x[0], x[1]]) == x for x in part)
+
+
+def test_source_fallback_shortens_only_the_source_that_is_too_short(spark, sf):
+    n = {x.symbol: x.n for x in QUERIES["source_wrapped_json"](spark, sf).collect()}
+    assert {(x.symbol, x.rank, x.n) for x in QUERIES["source_fallback"](spark, sf).collect()} == {(s, 2 if s == "N" else 1, k) for s, k in n.items()}
