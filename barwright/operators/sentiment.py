@@ -135,10 +135,10 @@ def cross50_accuracy(spark, sf_dir):
 
 @query("permutation_test")
 def permutation_test(spark, sf_dir):
-    """Share of 200 seeded shuffles of the returns whose correlation with the score is at least as strong."""
+    """Share of 1,000 seeded shuffles of the returns whose correlation with the score is at least as strong."""
     x = labelled(bars(spark, sf_dir)).where("fwd is not null").select("symbol", "i", "score", "fwd")
     s = x.select("symbol", "i", "score", F.row_number().over(Window.partitionBy("symbol").orderBy("i")).alias("k"))
-    perms = x.select("symbol", "fwd", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("perm"), "i")
+    perms = x.select("symbol", "fwd", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("perm"), "i")
     perms = perms.select("symbol", "perm", "fwd", F.row_number().over(Window.partitionBy("symbol", "perm").orderBy(F.xxhash64("i", "perm"))).alias("k"))
     r = perms.join(s, ["symbol", "k"]).groupBy("symbol", "perm").agg(F.corr("score", "fwd").alias("r"))
     real = x.groupBy("symbol").agg(F.corr("score", "fwd").alias("real"))

@@ -4,10 +4,12 @@ import math
 import random
 from datetime import timedelta
 
+import numpy as np
 import pytest
 
-from barwright.operators import probability
+from barwright.operators import probability, sentiment
 from barwright.plans.catalogue import ORACLES, QUERIES
+from barwright.sources.bars import bars
 
 from test_queries import canon, duck  # noqa: F401
 
@@ -123,3 +125,16 @@ def test_sources_carry_all_bars(spark, sf, duck, name):  # noqa: F811
 def test_source_fallback_shortens_only_the_source_that_is_too_short(spark, sf):
     n = {x.symbol: x.n for x in QUERIES["source_wrapped_json"](spark, sf).collect()}
     assert {(x.symbol, x.rank, x.n) for x in QUERIES["source_fallback"](spark, sf).collect()} == {(s, 2 if s == "N" else 1, k) for s, k in n.items()}
+
+
+def test_permutation_test_makes_a_thousand_shuffles(spark, sf):
+    x = sentiment.labelled(bars(spark, sf)).where("fwd is not null").select("symbol", "i", "score", "fwd").cache()
+    perms = x.crossJoin(spark.range(1, 1001).selectExpr("cast(id as int) as perm")).selectExpr("symbol", "perm", "i", "xxhash64(i, perm) as k").toPandas()
+    rows, want = x.orderBy("i").toPandas(), {}
+    for symbol, own in rows.groupby("symbol"):
+        fwd = own.set_index("i").fwd
+        strong = lambda f: abs(np.corrcoef(own.score, f)[0, 1])
+        real, mine = strong(own.fwd), perms[perms.symbol == symbol]
+        want[symbol] = sum(strong(fwd.loc[p.sort_values("k").i]) >= real for _, p in mine.groupby("perm")) / 1000
+    assert {r.symbol: r.p_value for r in QUERIES["permutation_test"](spark, sf).collect()} == want
+    assert any(round(p * 1000) % 5 for p in want.values())
