@@ -102,7 +102,10 @@ def mixtures(t, logp: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarra
     chosen = np.zeros((len(own), L))
     chosen[np.arange(len(own)), best_one] = 1
     best = single.max(1)
-    for k in range(2, min(L, 4) + 1):
+    most = np.add.reduceat(top, first)  # no set is likelier than each word's best language
+    for k in range(2, L + 1):
+        if not (most - penalty * (k - 1) * np.log(words[own] + 1) + 1e-6 > best).any():
+            break
         mask = np.zeros((len(own), L))
         np.put_along_axis(mask, order[:, :k], 1, axis=1)
         pi, ll = _em(lik, top, doc, first, mask, steps)
