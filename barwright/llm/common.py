@@ -3,6 +3,7 @@ components, vectorised word hashing over Arrow buffers, and tokenisation with a
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -63,8 +64,8 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
     """Adds `out`: the sum of `value` over the rows of the same keys that come before in `order` (a long; null first).
 
     The order column is cut into digits of at most 16 bits, sums are carried from level to level, so no window
-    ever holds more than 65,536 parent nodes or the rows of 4,096 consecutive ids, however hot a key is. Rows
-    that repeat one id are told apart by `ties` and else get arbitrary places, each its own.
+    holds the rows of more than 4,096 consecutive ids or more than 65,536 nodes (2**20 at the top, where ids span all 64
+    bits), however hot a key is. Rows that repeat one id are told apart by `ties` and else get arbitrary places, each its own.
     """
     nn = F.coalesce(F.col(order), F.lit(-(2**63)))
     low = df.withColumn("_b0", F.shiftright(nn, 12))
@@ -93,11 +94,12 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
 
 
 # ----------------------------------------------------------------------------------------------- components
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every node of the undirected edges (a, b): the smallest id that it reaches.
 
     Alternating large-star and small-star steps, each an aggregation with map-side combine and a join back (which
-    adaptive execution splits where skewed); after each pair of steps the edges are written to the shared folder.
+    adaptive execution splits where skewed); after each pair of steps the edges are written to the shared folder. The steps
+    go on until nothing changes; their number grows with the logarithm of the number of nodes.
     """
     spark = edges.sparkSession
     cur = write_shared(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -105,9 +107,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     def seal(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    mark = seal(cur)
+    last, mark = None, seal(cur)
     if mark[0]:
-        for _ in range(rounds):
+        while mark != last:
             both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
             large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -116,8 +118,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b")))
             cur = write_shared(small.distinct())
             mark, last = seal(cur), mark
-            if mark == last:
-                break
     tops = cur.groupBy("a").agg(F.min("b").alias("component_id")).withColumnRenamed("a", "id")
     return tops.union(cur.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
@@ -137,28 +137,37 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * _U(b)) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd multipliers and a start value per lane; hashes of different lanes are independent of each other.
+_LANES = [tuple(_U(x) for x in three) for three in ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0x165667B19E3779F9))]
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def joined(x: np.ndarray, y: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of pairs of hashes. Every step is mixed, so no algebra of longer sequences carries over."""
+    a, b, c = _LANES[lane]
+    return mix(mix(x * a + c) + y * b)
 
 
-def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the lane's odd base and of its inverse modulo 2**64."""
-    if lane not in _POWERS or len(_POWERS[lane][0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        up = np.full(size, _BASE[lane], np.uint64)
-        down = np.full(size, pow(_BASE[lane], -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[lane] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS[lane]
+def windows(words: np.ndarray, length: int, lane: int) -> np.ndarray:
+    """A hash of every window of `length` words, by doubling: a window is told by two shorter ones that cover it."""
+    h, size = words, 1
+    if len(words) < length:
+        return words[:0]
+    while size < length:
+        step = min(size, length - size)
+        h = joined(h[:-step], h[step:], lane)
+        size += step
+    return h
 
 
-def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """A hash of each values[start:end], from one prefix sum."""
-    up, down = powers(lane, len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+def sequences(words: np.ndarray, first: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of each whole sequence words[first[i]:first[i + 1]]: sums of words mixed with their places in it."""
+    place = (np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(joined(words, mix(place + _LANES[lane][2]), lane), out=total[1:])
+    return joined(total[first[1:]] - total[first[:-1]], np.diff(first).astype(np.uint64), lane)
 
 
 class Texts:
@@ -177,8 +186,25 @@ class Texts:
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
+    def eight(self) -> np.ndarray:
+        """At every place of data, the eight bytes from there on as one little-endian number."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+
     def words(self, lane: int = 0) -> np.ndarray:
-        return rolled(_VALUES[lane][self.data], self.starts, self.ends, lane)
+        """A hash of every word: eight bytes a step, each step mixed; long words by a digest."""
+        eight, lengths = self.eight(), self.ends - self.starts
+        h = mix(lengths.astype(np.uint64) + _LANES[lane][2])
+        live = np.flatnonzero(lengths <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            live = live[lengths[live] > at]
+            if not len(live):
+                break
+            h[live] = joined(h[live], eight[self.starts[live] + at] & FIRST_BYTES[np.minimum(lengths[live] - at, 8)], lane)
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            digest = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest()
+            h[i] = np.frombuffer(digest, "<u8")[lane]
+        return h
 
 
 def slices(col: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Iterator[Texts]:

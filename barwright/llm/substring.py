@@ -1,21 +1,23 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-A window can only repeat if both its halves do, so each level keeps the windows that repeat at its length and extends
-only those to twice the length, until the asked length is reached (or, with no such bound, no candidates survive).
+A window can only repeat if its halves do, so each level keeps the windows that repeat at its length and extends only
+those to twice the length, until no candidates survive or the asked length is reached.
 
 * Copies of whole documents (equal word sequences) are settled first: only the one with the smallest doc_id is compared.
-* The first level looks at windows of half the asked length, w = L/2. Of each L - w + 1 consecutive ones only the one
-  with the smallest hash is kept as an anchor; equal L-word windows hold equal anchors, so none is lost.
-* The next level takes the L-word windows around anchors that repeat in another document, hashes them to 128 bits, and
-  finds the smallest doc_id in which each starts. Aggregations combine on the map side and are joined back, so that a
-  passage in a third of all documents is never gathered in one place.
-
-A word is removed if a window that covers it also starts in a document with a smaller doc_id. Windows are judged on the
-input. Words are runs without ASCII white space, unchanged. Windows are told apart by 128-bit hashes.
-
-Edge cases: a null text has no words; texts shorter than a window lose nothing; rows that repeat a doc_id are one
-document to each other (no copy within an id is removed), each with its own result row, and are taken to repeat its
-text; a row with a null id loses nothing; an empty table gives an empty result; extra columns are not read.
+* The first level looks at windows of half the asked length L. Of the L/2 + 1 such windows inside each window of L words
+  only the one with the smallest hash is kept, as its anchor; equal windows hold equal anchors. A window of L words is
+  extended from its anchor, if that repeats in another document.
+* Each further level hashes its candidates to 128 bits and finds the smallest doc_id in which each starts. A window of twice
+  the length is a candidate if both its halves repeat. Aggregations combine on the map side and are joined back, so
+  that a passage in a third of all documents is never gathered in one place.
+
+A word is removed if a window of L words that covers it also starts in a document with a smaller doc_id; these windows are
+all found at the level of L words, where `remove_repeats` stops; `longest_repeats` doubles on to the end. Windows are
+judged on the input. Words are runs without ASCII white space, unchanged. Windows are told apart by 128-bit hashes.
+
+Edge cases: a null text has no words; texts shorter than a window lose nothing; rows that repeat a doc_id, with the same
+text or with others, are one document to each other (no copy within an id is removed) and each gets its own result; a row
+with a null id loses nothing; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,96 +29,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rolled, slices, table, write_shared
+from .common import sequences, slices, table, windows, write_shared
 
+#: What tells rows apart: the id, and a hash of the text among the rows of one id.
+ROW = ["doc_id", "t"]
 
-def window_hashes(words: np.ndarray, length: int, lane: int) -> np.ndarray:
-    """A hash of every window of `length` words."""
-    m = max(len(words) - length + 1, 0)
-    at = np.arange(m)
-    return rolled(words, at, at + length, lane)
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
-def anchors_of(h: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest hash in each `width` consecutive ones (the first, if equal)."""
+
+def anchors_of(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the smallest hash in each `width` consecutive ones (the first, if equal); first window that it stands for,
+    and how many."""
     if len(h) < width:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     small = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1)
-    return small[np.append(True, small[1:] != small[:-1])]
+    first = np.flatnonzero(np.append(True, small[1:] != small[:-1]))
+    return small[first], first, np.diff(np.append(first, len(small)))
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_words, the word sequence's key (k1, k2), and anchor windows of length // 2 words: hashes and places."""
+    """ROW, n_words, the word sequence's key (k1, k2), and the anchors of the windows of `length` words: hashes, and the
+    windows that each stands for (the first one's start, shifted by 8 bits, and their number)."""
     half = length // 2
     width = length - half + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, hashes, places = [], [[], []], [], []
-            for t in slices(batch.column(1)):
+            n, keys, hashes, spans = [], [[], []], [], []
+            for t in slices(batch.column(2)):
                 w = [t.words(0), t.words(1)]
-                whole = [rolled(w[lane], t.first[:-1], t.first[1:], lane).view(np.int64) for lane in (0, 1)]
-                h = window_hashes(w[0], half, 0)
+                for lane in (0, 1):
+                    keys[lane].append(sequences(w[lane], t.first, lane).view(np.int64))
+                h = windows(w[0], half, 0)
                 for d in range(t.n):
                     lo, hi = int(t.first[d]), int(t.first[d + 1])
                     n.append(hi - lo)
-                    at = anchors_of(h[lo : hi - half + 1], width) if hi - lo >= length else np.zeros(0, np.int64)
+                    at, first, many = anchors_of(h[lo : hi - half + 1] if hi - lo >= length else h[:0], width)
                     hashes.append(h[lo + at].view(np.int64))
-                    places.append(at)
-                for lane in (0, 1):
-                    keys[lane].append(whole[lane])
+                    spans.append(first << 8 | many)
             one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one(keys[0])), pa.array(one(keys[1])), pa.array(hashes, lists), pa.array(places, lists)], names=["doc_id", "n_words", "k1", "k2", "anchors", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one(keys[0])), pa.array(one(keys[1])), pa.array(hashes, lists), pa.array(spans, lists)], names=[*ROW, "n_words", "k1", "k2", "anchors", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, k1 long, k2 long, anchors array<bigint>, places array<bigint>")
+    if not 2 <= length < 256:
+        raise ValueError("the first level takes windows of 2 to 255 words")
+    return keyed(docs).mapInArrow(scan, "doc_id long, t long, n_words long, k1 long, k2 long, anchors array<bigint>, spans array<bigint>")
 
 
-def candidate_windows(texts: DataFrame, length: int, half: int) -> DataFrame:
-    """doc_id, start, (h1, h2) of the windows of `length` words that hold one of `places` (windows of half words)."""
+def hashed_windows(texts: DataFrame, length: int, starts_of) -> DataFrame:
+    """ROW, start, (h1, h2) of the windows of `length` words at starts_of(known), for rows (ROW, text, known)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2)
-            for t in slices(batch.column(1)):
+            known = batch.column(3)
+            for t in slices(batch.column(2)):
                 w = [t.words(0), t.words(1)]
+                h = [windows(x, length, lane).view(np.int64) for lane, x in enumerate(w)]
                 starts, doc = [], []
                 for d in range(t.n):
-                    lo, n = int(t.first[d]), int(t.first[d + 1] - t.first[d])
-                    mark = np.zeros(max(n, length) + 2, np.int64)
-                    p = np.asarray(places[t.first_row + d].values)
-                    p = p[p <= n - half]
-                    np.add.at(mark, np.maximum(p - (length - half), 0), 1)
-                    np.add.at(mark, np.minimum(p, n - length) + 1, -1)
-                    s = np.flatnonzero(np.cumsum(mark)[: max(n - length + 1, 0)])
-                    starts.append(s + lo)
+                    s = starts_of(np.asarray(known[t.first_row + d].values))
+                    s = s[s <= int(t.first[d + 1] - t.first[d]) - length]
+                    starts.append(s)
                     doc.append(np.full(len(s), d))
-                at, doc = np.concatenate(starts), np.concatenate(doc)
-                if len(at):
-                    ids = batch.column(0).take(pa.array(t.first_row + doc))
-                    h = [rolled(w[lane], at, at + length, lane).view(np.int64) for lane in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array((at - t.first[doc]).astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["doc_id", "start", "h1", "h2"])
+                s, doc = np.concatenate(starts), np.concatenate(doc)
+                if len(s):
+                    rows, at = pa.array(t.first_row + doc), s + t.first[doc]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s.astype(np.int32)), pa.array(h[0][at]), pa.array(h[1][at])], names=[*ROW, "start", "h1", "h2"])
+
+    return texts.select(*ROW, "text", "known").mapInArrow(scan, "doc_id long, t long, start int, h1 long, h2 long")
+
 
-    return texts.select("doc_id", "text", "places").mapInArrow(scan, "doc_id long, start int, h1 long, h2 long")
+def anchored(spans: np.ndarray) -> np.ndarray:
+    """Starts of the windows that anchors stand for."""
+    first, many = np.sort(spans) >> 8, np.sort(spans) & 255
+    return np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+
+
+def levels(docs: DataFrame, first: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
+    """Level by level from `length` on, doubling: (length, rows (ROW, start, lo) of the windows that repeat in another
+    document), lo being the smallest doc_id in which the window starts. Ends when no candidates survive."""
+    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
+    flat = first.where(F.col("n_words") >= length).select(*ROW, F.explode(F.arrays_zip("anchors", "spans")).alias("x"))
+    flat = flat.select(*ROW, F.col("x.anchors").alias("h"), F.col("x.spans").alias("span"))
+    # written, so that adaptive execution may split the join at hashes that are in many documents
+    again = write_shared(flat.groupBy("h").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h"))
+    known = flat.join(again, "h", "left_semi").groupBy(*ROW).agg(F.collect_list("span").alias("known"))
+    starts_of = anchored
+    while True:
+        texts = keyed(docs).where("text is not null").distinct().join(known, ROW)
+        found = write_shared(hashed_windows(texts, length, starts_of))
+        least = write_shared(found.groupBy("h1", "h2").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
+        level = write_shared(found.join(least, ["h1", "h2"]).select(*ROW, "start", "lo"))
+        if level.isEmpty():
+            return
+        yield length, level
+        half, length = length, 2 * length
+        known = level.groupBy(*ROW).agg(F.collect_set(F.col("start").cast("long")).alias("known"))
+        starts_of = lambda s, half=half: np.intersect1d(s, s - half)
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(rows of all documents with a flag for whole copies, starts of repeated windows per remaining document)."""
-    half = length // 2
+    """(ROW and a flag for copies of whole documents, of all documents; ROW and the starts of the windows of `length` words
+    that also start in a document with a smaller id, of the others)."""
     first = write_shared(anchor_rows(docs, length))
-    heads = first.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("head"))
-    rows = first.join(heads, ["n_words", "k1", "k2"]).select("doc_id", "n_words", (F.coalesce("doc_id", F.lit(2**63 - 1)) > F.col("head")).alias("copy"), "anchors", "places")
-    rows = rows.withColumn("copy", F.coalesce("copy", F.lit(False)))
-    flat = rows.where("not copy and n_words >= %d" % length).select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x"))
-    flat = flat.select("doc_id", F.col("x.anchors").alias("h"), F.col("x.places").cast("int").alias("p"))
-    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
-    again = flat.groupBy("h").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h")
-    places = flat.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.col("p").cast("long")).alias("places"))
-    texts = docs.select("doc_id", "text").where("text is not null").join(places, "doc_id")
-    windows = write_shared(candidate_windows(texts, length, half))
-    least = windows.groupBy("h1", "h2").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    hits = windows.join(least, ["h1", "h2"]).where(id_ > F.col("lo")).groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    return rows.select("doc_id", "n_words", "copy").distinct(), hits
+    heads = write_shared(first.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("head")))
+    rows = first.join(heads, ["n_words", "k1", "k2"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)))
+    one = rows.where("not copy").select(*ROW, "n_words", "anchors", "spans")
+    _, level = next(levels(docs, one, length), (length, None))
+    copies = rows.where("copy").where(F.col("n_words") >= length).select(*ROW).distinct()
+    if level is None:
+        return copies, copies.limit(0).withColumn("starts", F.array().cast("array<int>"))
+    own = level.where(F.col("doc_id") > F.col("lo"))
+    return copies, own.groupBy(*ROW).agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
 def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -129,10 +155,9 @@ def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space, of every row."""
-    rows, hits = repeated_windows(docs, length)
-    copies = rows.where(F.col("copy") & (F.col("n_words") >= length)).select("doc_id", F.lit(True).alias("copy"))
-    flags = copies.join(hits, "doc_id", "full")
-    every = docs.select("doc_id", "text").join(flags, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
+    copies, hits = repeated_windows(docs, length)
+    flags = copies.withColumn("copy", F.lit(True)).join(hits, ROW, "full")
+    every = keyed(docs).join(flags, ROW, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,26 +184,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
 def longest_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, start, words: every window that repeats in another document at `length` words, doubled while it still
-    repeats; the loop ends when no candidates survive."""
-    first = write_shared(anchor_rows(docs, length))
-    found, half = None, length // 2
-    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
-    flat = first.where(F.col("n_words") >= length).select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", F.col("x.anchors").alias("h"), F.col("x.places").alias("p"))
-    again = flat.groupBy("h").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h")
-    places = flat.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("p").alias("places"))
-    while True:
-        texts = docs.select("doc_id", "text").where("text is not null").join(places, "doc_id")
-        windows = candidate_windows(texts, length, half)
-        twice = windows.groupBy("h1", "h2").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h1", "h2")
-        level = write_shared(windows.join(twice, ["h1", "h2"], "left_semi").select("doc_id", F.col("start").cast("long").alias("start"), F.lit(length).alias("words")))
-        if level.isEmpty():
-            break
-        # a window that was extended is reported at its longest level only
+    repeats; the loop ends when no candidates survive. Each start is reported at its longest level."""
+    found = None
+    for words, level in levels(docs, write_shared(anchor_rows(docs, length)), length):
+        level = level.select("doc_id", F.col("start").cast("long").alias("start"), F.lit(words).alias("words"))
         found = level if found is None else found.union(level)
-        places = level.groupBy("doc_id").agg(F.collect_list("start").alias("places"))
-        half, length = length, 2 * length
     if found is None:
-        return level
+        return docs.sparkSession.createDataFrame([], "doc_id long, start long, words int")
     return found.groupBy("doc_id", "start").agg(F.max("words").alias("words"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _VALUES, is_held_out, mix, rolled, slices, table, write_shared
+from .common import FIRST_BYTES, is_held_out, mix, slices, table, write_shared
 
 #: Everything in ASCII that is no letter separates tokens.
 SEPARATOR = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -39,8 +39,8 @@ SALT = [np.uint64(0x51ED270B35A7C1F1 * (k + 1) % (1 << 64)) for k in range(len(L
 
 def features(t) -> list[np.ndarray]:
     """Per level, the feature hash of every token of a slice."""
-    values = _VALUES[0][t.data]
-    return [mix(rolled(values, t.starts, np.minimum(t.ends, t.starts + n), 0) ^ SALT[k]) for k, n in enumerate(LEVELS)]
+    head, length = t.eight()[t.starts], t.ends - t.starts
+    return [mix(mix(head & FIRST_BYTES[np.minimum(length, n)]) ^ SALT[k]) for k, n in enumerate(LEVELS[:-1])] + [mix(t.words() ^ SALT[-1])]
 
 
 class Lexicon:
