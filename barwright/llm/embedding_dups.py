@@ -1,19 +1,20 @@
 """Embedding near-dedup with cover trees and dual traversal.
 
 Vectors are scaled to length 1, so cosine >= c is distance <= sqrt(2 - 2c). A bounded sample of vectors serves as the
-centres of the top level; every vector goes to the cell of its nearest centre, which has a covering radius. Each cell
-holds a cover tree: nested levels of centres whose radii halve. Two cells, and below them two tree nodes, are compared
-only if the distance of their centres is at most the sum of their covering radii plus the threshold; the pairs that
-remain at the leaves are compared exactly in double precision. A vector is sent to another cell only if it lies within
-that cell's radius plus the threshold, each pair of cells being compared at the one with the smaller number.
+centres of the top level; every vector goes to the cell of its nearest centre, which has a covering radius. Each block of
+a cell is a cover tree (separated, covering, nested levels whose radii halve), and two blocks are compared by a traversal of
+both trees from their roots: a pair of nodes is left as soon as the distance of their centres exceeds the sum of their
+covering radii and the threshold; the pairs that remain at the leaves are compared exactly in double precision. A vector
+is sent to another cell only if it lies within that cell's radius plus the threshold, each pair of cells being compared at
+the one with the smaller number. Vectors of different dimensions never link; each dimension is searched by itself.
 
 Equal vectors are one row that stands for all of them. Links are counted, not listed: for a pair of blocks, a task sends
 per vector its number of links and one vector that links lead to, which is a spanning set of each group. No group is
 expanded into rows of all pairs.
 
-Edge cases: vectors that are null, of length 0, of another dimension than most, or that hold a null or non-finite
-component link with nothing and keep themselves; equal vectors link; rows that repeat a vec_id are one vector each with
-the id they share; null ids link with nothing and have a null component; an empty table gives an empty result.
+Edge cases: vectors that are null, of length 0, or that hold a null or non-finite component link with nothing and keep
+themselves; equal vectors link; rows that repeat a vec_id are one vector each, with links of their own, and share the
+component of the id; null ids link with nothing and have a null component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,95 +56,127 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Nested levels of centres with halving radii over the rows of x; leaves are runs of `order`."""
+    """A cover tree over the rows of x (of length 1). The centres of a level are more than its radius apart (separation),
+    every row is within that radius of one of them (covering), they are centres of all lower levels too (nesting), and
+    the radii halve from level to level. A centre of the next level hangs below the nearest one of this level.
 
-    LEAF = 64
+    Levels at which a node has but itself as a child are left out; nodes of at most LEAF rows are leaves. Each node keeps
+    the true covering radius of its rows, which lie side by side in `order`."""
+
+    LEAF, LEAST, STEP = 16, 1e-3, 64
 
     def __init__(self, x: np.ndarray):
-        self.x, self.order = x, np.arange(len(x))
+        self.x = x
+        #: per level: its radius and the centre nearest to each row
+        self.levels: list[tuple[float, np.ndarray]] = []
+        n = len(x)
+        if n:
+            self._nets()
+        below = []  # per level: the centre above each row
+        group = np.arange(n)
+        for _, owner in reversed(self.levels):
+            group = owner[group]
+            below.append(group)
+        self.group = below[::-1]
+        self.order = np.lexsort([np.arange(n), *below]) if n else np.arange(0)
         #: per node: centre row, covering radius, first and last place in order, child nodes
-        self.nodes: list[tuple[int, float, int, int, list[int]]] = []
-        if len(x):
-            self._build(0, len(x), 2.0)
-
-    def _far(self, centre: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (self.x[rows] @ self.x[centre]), 0))
-
-    def _build(self, lo: int, hi: int, radius: float) -> int:
-        rows = self.order[lo:hi].copy()
-        centre = int(rows[0])
-        far = self._far(centre, rows)
-        node = len(self.nodes)
-        cover = float(far.max()) if len(far) else 0.0
-        self.nodes.append((centre, cover, lo, hi, []))
-        while radius > cover and radius > 1e-3:
+        self.centre, self.cover, self.lo, self.hi, self.kids = [], [], [], [], []
+        if n:
+            self._node(0, 0, n)
+        self.centre, self.lo, self.hi = (np.array(v, np.int64) for v in (self.centre, self.lo, self.hi))
+        self.cover = np.array(self.cover)
+
+    def _far(self, rows, others=slice(None)) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (self.x[rows] @ self.x[others].T), 0))
+
+    def _nets(self) -> None:
+        near, owner = self._far(0), np.zeros(len(self.x), np.int64)
+        near[0] = 0.0
+        radius = float(near.max())
+        self.levels.append((radius, owner.copy()))
+        while radius > self.LEAST and (near > 0).any():
             radius /= 2
-        if hi - lo <= self.LEAF or cover < 1e-3:
-            return node
-        # centres of the next level: each remaining row joins the first centre within the halved radius
-        left, at = rows, lo
-        children = []
-        while len(left):
-            near = self._far(int(left[0]), left) <= radius
-            if not children and near.sum() * 64 < len(left):
-                near[: self.LEAF] = True  # nothing is near: take a run of rows, whose true radius is kept
-            elif near.sum() < self.LEAF:
-                near[: self.LEAF] = True
-            own = left[near]
-            self.order[at : at + len(own)] = own
-            children.append((at, at + len(own)))
-            at, left = at + len(own), left[~near]
-        for a, b in children:
-            self.nodes[node][4].append(self._build(a, b, radius) if b - a < hi - lo else self._leaf(a, b))
+            while len(left := np.flatnonzero(near > radius)):
+                some = left[: self.STEP]
+                far, ok, taken = self._far(some), np.ones(len(some), bool), []
+                for i in range(len(some)):  # those that are apart from the ones taken before
+                    if ok[i]:
+                        taken.append(i)
+                        ok &= far[i, some] > radius
+                centres, far = some[taken], far[taken]
+                far[np.arange(len(taken)), centres] = 0.0
+                nearest = far.argmin(0)
+                least = far[nearest, np.arange(len(near))]
+                closer = least < near
+                near[closer], owner[closer] = least[closer], centres[nearest[closer]]
+            self.levels.append((radius, owner.copy()))
+
+    def _node(self, level: int, lo: int, hi: int) -> int:
+        rows = self.order[lo:hi]
+        while level + 1 < len(self.levels) and (self.group[level + 1][rows] == self.group[level + 1][rows[0]]).all():
+            level += 1
+        node, centre = len(self.centre), int(self.group[level][rows[0]])
+        cover = float(self._far(centre, rows).max())
+        for v, value in ((self.centre, centre), (self.cover, cover), (self.lo, lo), (self.hi, hi), (self.kids, None)):
+            v.append(value)
+        if hi - lo > self.LEAF and level + 1 < len(self.levels):
+            own = self.group[level + 1][rows]
+            cuts = [lo, *(lo + 1 + np.flatnonzero(own[1:] != own[:-1])).tolist(), hi]
+            self.kids[node] = np.array([self._node(level + 1, i, j) for i, j in zip(cuts, cuts[1:])], np.int64)
         return node
 
-    def _leaf(self, lo: int, hi: int) -> int:
-        rows = self.order[lo:hi]
-        self.nodes.append((int(rows[0]), float(self._far(int(rows[0]), rows).max()), lo, hi, []))
-        return len(self.nodes) - 1
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of all nodes; leaves stand for themselves."""
+        return np.concatenate([np.array([i]) if self.kids[i] is None else self.kids[i] for i in nodes])
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.lo[node] : self.hi[node]]
 
 
-def dual(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def dual(a: CoverTree, b: CoverTree, reach: float, count: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows of a, rows of b, and whether all these pairs link by their nodes' bounds; else the leaf pairs that no bound
-    excludes. With a is b, nodes meet those that do not end before them, so each unordered pair comes up."""
-    same = a is b
-    todo = [(0, [0])] if a.nodes and b.nodes else []
+    excludes. With a is b, nodes meet those that do not end before them, so each unordered pair comes up. Node pairs
+    are taken from the roots down, siblings together; `count` adds up the distances that were computed."""
+    same, step = a is b, 512
+    todo = [(np.array([0]), np.array([0]))] if len(a.x) and len(b.x) else []
     while todo:
-        i, js = todo.pop()
-        ca, ra, alo, ahi, kids = a.nodes[i]
-        if same:
-            js = [j for j in js if b.nodes[j][3] > alo]
-        if not js:
+        one, two = todo.pop()
+        if len(one) > step:
+            todo += [(one[at : at + step], two) for at in range(0, len(one), step)]
             continue
-        radii = np.array([b.nodes[j][1] for j in js])
-        far = np.sqrt(np.maximum(2 - 2 * (b.x[[b.nodes[j][0] for j in js]] @ a.x[ca]), 0))
-        sure = far + ra + radii <= reach - 1e-6
+        far = np.sqrt(np.maximum(2 - 2 * (a.x[a.centre[one]] @ b.x[b.centre[two]].T), 0))
+        radii = a.cover[one][:, None] + b.cover[two]
+        live = far <= radii + reach + SLACK
+        if same:
+            live &= b.hi[two] > a.lo[one][:, None]
+        if count is not None:
+            count[0] += far.size
+        sure = live & (far + radii <= reach - 1e-6)
         if same:  # a node may only be settled as a whole against nodes that are apart from it, or itself
-            sure &= np.array([b.nodes[j][2] >= ahi or j == i for j in js])
-        for j, ok in zip(js, sure):
-            if ok:
-                yield a.order[alo:ahi], b.order[b.nodes[j][2] : b.nodes[j][3]], True
-        live = [j for j, ok in zip(js, (far <= ra + radii + reach + SLACK) & ~sure) if ok]
-        if not live:
-            continue
-        opened = [k for j in live for k in (b.nodes[j][4] or [j])]
-        if kids:
-            todo += [(k, opened) for k in kids]
-        elif any(b.nodes[j][4] for j in live):
-            todo.append((i, opened))
-        else:
-            yield a.order[alo:ahi], np.concatenate([b.order[b.nodes[j][2] : b.nodes[j][3]] for j in live]), False
+            sure &= (b.lo[two] >= a.hi[one][:, None]) | (two == one[:, None])
+        for i, j in zip(*np.nonzero(sure)):
+            yield a.rows(one[i]), b.rows(two[j]), True
+        live &= ~sure
+        for i in np.flatnonzero(live.any(1)):
+            node, others = one[i], two[live[i]]
+            ends = np.array([a.kids[node] is None and b.kids[j] is None for j in others])
+            for j in others[ends]:
+                if count is not None:
+                    count[0] += int((a.hi[node] - a.lo[node]) * (b.hi[j] - b.lo[j]))
+                yield a.rows(node), b.rows(j), False
+            if not ends.all():
+                todo.append((a.below([node]), b.below(others[~ends])))
 
 
-LINKS_DDL = "vec_id long, n long, least long"
+LINKS_DDL = "node binary, n long, least binary"
 
 
 def _join_blocks(one: pa.Table, two: pa.Table | None, cosine: float, reach: float) -> pa.Table:
-    """Links within a block, or between two: (vec_id, vectors linked, a vector that links lead to) per vector with any.
+    """Links within a block, or between two: (node, vectors linked, a node that links lead to) per vector with any.
 
     `m` counts the equal vectors that a row stands for."""
     parts = [one] if two is None else [one, two]
-    ids = np.concatenate([p.column("vec_id").to_numpy() for p in parts])
+    ids = np.array([x for p in parts for x in p.column("node").to_pylist()], object)
     m = np.concatenate([p.column("m").to_numpy() for p in parts])
     xa = unit(matrix(one.column("embedding"))) if len(one) else np.zeros((0, 1))
     xb = xa if two is None else unit(matrix(two.column("embedding"))) if len(two) else np.zeros((0, 1))
@@ -183,24 +216,20 @@ def _join_blocks(one: pa.Table, two: pa.Table | None, cosine: float, reach: floa
             join(i[r], j[c] + shift)
     hit = np.flatnonzero(n)
     top = np.array([find(i) for i in hit], np.int64)
-    return pa.table({"vec_id": pa.array(ids[hit], pa.int64()), "n": pa.array(n[hit], pa.int64()), "least": pa.array(ids[top], pa.int64())})
+    return pa.table({"node": pa.array(ids[hit].tolist(), pa.binary()), "n": pa.array(n[hit], pa.int64()), "least": pa.array(ids[top].tolist(), pa.binary())})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, centres: int = CENTRES, cell: int = CELL) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def links_of(good: DataFrame, cosine: float, centres: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, vec_id, embedding) of one dimension: (key, rep, m, n) of the distinct vectors, n being the vectors
+    that link to another one than themselves, and the pairs (a, b) of ids that span the links."""
     reach = math.sqrt(max(2 - 2 * cosine, 0))
-    good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    dims = good.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    count, dim = (dims["count"], dims["dim"]) if dims else (0, 1)
-    good = good.where(F.col("dim") == dim).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    # equal vectors are one row that stands for m
-    key = F.sha2(F.to_json("embedding").cast("binary"), 256)
-    good = write_shared(good.withColumn("key", key))
-    classes = good.groupBy("key").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"), F.count("*").alias("m"))
+    classes = write_shared(good.groupBy("key").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"), F.count("*").alias("m")))
+    # ids may repeat with other vectors, so vectors go by 128 bits of their key
+    classes = classes.withColumn("node", F.unhex(F.substring("key", 1, 32)))
     # the sample of centres is bounded by `centres`
-    want = max(1, min(centres, -(-count // cell)))
-    tops = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).select("embedding").collect()
-    middle = unit(np.array([r["embedding"] for r in tops], np.float64)) if tops else np.zeros((1, dim))
+    want = max(1, min(centres, -(-classes.count() // cell)))
+    tops = classes.orderBy("node", "key").limit(want).select("embedding").collect()
+    middle = unit(np.array([r["embedding"] for r in tops], np.float64))
 
     def far(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * (unit(x) @ middle.T), 0))
@@ -209,9 +238,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, centres: int = CENT
         for batch in batches:
             if len(batch):
                 d = far(matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["vec_id", "embedding", "m", "cell", "away"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["node", "embedding", "m", "cell", "away"])
 
-    placed = write_shared(classes.select("vec_id", "embedding", "m").mapInArrow(assign, "vec_id long, embedding array<double>, m long, cell int, away double"))
+    placed = write_shared(classes.select("node", "embedding", "m").mapInArrow(assign, "node binary, embedding array<double>, m long, cell int, away double"))
     radius, blocks = np.full(len(middle), -1.0), np.zeros(len(middle), np.int64)
     for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # one row per cell
         radius[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] // (2 * cell))
@@ -229,7 +258,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, centres: int = CENT
                 row, to = np.nonzero(into)
                 lo, hi = np.minimum(own[row], to), np.maximum(own[row], to)
                 taken = batch.select([0, 1, 2]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own[row] == lo)], names=["vec_id", "embedding", "m", "lo", "hi", "low"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own[row] == lo)], names=["node", "embedding", "m", "lo", "hi", "low"])
 
     def compare(t: pa.Table) -> pa.Table:
         if t.column("lo")[0] == t.column("hi")[0]:
@@ -237,17 +266,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, centres: int = CENT
         low = t.column("low").to_numpy()
         return _join_blocks(t.filter(pa.array(low)), t.filter(pa.array(~low)), cosine, reach)
 
-    salted = placed.select("vec_id", "embedding", "m", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("salt"))
-    visits = salted.mapInArrow(visit, "vec_id long, embedding array<double>, m long, lo int, hi int, low boolean")
+    salted = placed.select("node", "embedding", "m", "cell", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("salt"))
+    visits = salted.mapInArrow(visit, "node binary, embedding array<double>, m long, lo int, hi int, low boolean")
     found = write_shared(visits.groupBy("lo", "hi").applyInArrow(compare, LINKS_DDL))
-    reachable = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("id", "rep")
-    sums = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "rep")
-    classes = classes.select("key", F.col("vec_id").alias("rep"), "m").join(sums, "rep", "left").join(reachable, "rep", "left")
-    known = good.select("vec_id", "key").distinct().join(classes, "key")
-    known = known.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = vectors.select("vec_id").join(known, "vec_id", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    sums = found.groupBy("node").agg(F.sum("n").alias("n"))
+    rep = classes.select(F.col("node").alias("at"), F.col("vec_id").alias("rep"))
+    edges = found.where("node <> least").join(rep, F.col("node") == F.col("at")).select("least", F.col("rep").alias("a")).join(rep, F.col("least") == F.col("at")).select("a", F.col("rep").alias("b"))
+    return classes.join(sums, "node", "left").select("key", F.col("vec_id").alias("rep"), "m", F.coalesce("n", F.lit(0)).alias("n")), edges
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, centres: int = CENTRES, cell: int = CELL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row."""
+    # the key tells vectors of one dimension apart; equal vectors are one row that stands for m
+    key = F.when(usable("embedding") & F.col("vec_id").isNotNull(), F.sha2(F.to_json("embedding").cast("binary"), 256))
+    rows = write_shared(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), key.alias("key"), F.size("embedding").alias("dim")))
+    classes = edges = None
+    for r in rows.where("key is not null").select("dim").distinct().orderBy("dim").collect():  # one row per dimension
+        one, pairs = links_of(rows.where("key is not null").where(F.col("dim") == r["dim"]).select("key", "vec_id", "embedding"), cosine, centres, cell)
+        classes, edges = (one, pairs) if classes is None else (classes.union(one), edges.union(pairs))
+    if classes is None:
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    known = rows.join(classes, "key", "left")
+    # a row's id hangs on the id that stands for its vector
+    own = known.where("rep <> vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    reachable = components(edges.union(own)).withColumnRenamed("id", "vec_id")
+    out = known.select("vec_id", F.coalesce(F.col("n") + F.col("m") - 1, F.lit(0)).cast("long").alias("n_links")).join(reachable, "vec_id", "left")
+    at = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", "n_links", at.alias("component_id"), F.coalesce(at == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,8 @@ def count_shingles(docs: DataFrame, k: int, often: int) -> tuple[DataFrame, int]
         return pa.table({"key": key.astype(np.int64), "df": n[n > often]})
 
     sums = docs.select("text").mapInArrow(count, "range long, single binary, many binary, n binary")
-    return write_shared(sums.groupBy("range").applyInArrow(add, "key long, df long")), ranges
+    # a task adds up some four ranges, whatever the session's number of shuffle partitions
+    return write_shared(sums.repartition(max(1, ranges // 4), "range").groupBy("range").applyInArrow(add, "key long, df long")), ranges
 
 
 def frequent_shingles(counted: DataFrame, room: int = FREQUENT_ROOM) -> tuple[np.ndarray, np.ndarray, int]:

@@ -63,10 +63,14 @@ def count_trigrams(docs: DataFrame, languages: list[str]) -> DataFrame:
     return rows.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """The learned languages, sorted, and ln P(trigram | language) as a table of BUCKETS rows."""
+def fit(docs: DataFrame, smoothing: float = 0.5, most: int = 1024) -> tuple[list[str], np.ndarray]:
+    """The learned languages, sorted, and ln P(trigram | language) as a table of BUCKETS rows. Fails, rather than leave some
+    out, if there are more than `most` languages."""
     train = docs.where(F.col("lang").isNotNull() & ~is_held_out("doc_id"))
-    languages = sorted(r["lang"] for r in train.select("lang").distinct().collect())  # one row per language
+    # one row per language: a model has a column of BUCKETS numbers for each, so their number is checked
+    languages = sorted(r["lang"] for r in train.select("lang").distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages are labelled; is lang a column of languages?")
     counts = np.full((BUCKETS, max(len(languages), 1)), smoothing)
     if languages:
         for r in count_trigrams(train, languages).toLocalIterator():  # at most languages x BUCKETS rows

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sum
+from .common import WORD, prefix_sum, write_shared
 
 WEIGHTS = (3, 1, 2)
 
@@ -25,7 +25,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, ceilin
 
     The targets split share * (all sizes) by weight and stop at ceiling * (source size); what is cut off is shared
     again by weight. That fixed point is min(cap, weight * level): with sources sorted by cap / weight, the level is
-    the first one at which the next source is not capped. One row per source is windowed, nothing else.
+    the first one at which the next source is not capped. One row per source is windowed, nothing else: the sources of a
+    mix are a list that people keep, some thousands at most.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     one = Window.partitionBy(F.lit(1))
@@ -54,10 +55,15 @@ def offset_of(source, seed: str):
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix:", whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (with `whole`, also the row itself) for every row of docs."""
-    row = [F.struct(*docs.columns).alias("row")] if whole else []
-    rows = docs.select("doc_id", "source", *row, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def word_counts(docs: DataFrame):
+    """The number of words of each text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix:") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of docs. The texts are read once: all that follows works
+    on (doc_id, source, size), written to the shared folder."""
+    rows = write_shared(docs.select("doc_id", "source", word_counts(docs).alias("size")))
     targets = source_targets(rows.select("source", "size"), weights, share, ceiling)
     # rank within the source: documents of smaller size, then documents of the same size with smaller id
     per = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -74,9 +80,14 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    mixed = mix_sources(docs, whole=True, **options).where("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. The copies are found without the
+    texts; the rows are then joined once by id, source and size. Rows that repeat all three share out their copies."""
+    key = lambda size: F.struct("doc_id", "source", size.alias("size")).alias("key")
+    taken = mix_sources(docs, **options).groupBy(key(F.col("size"))).agg(F.sort_array(F.collect_list("copies")).alias("lots")).where(F.exists("lots", lambda x: x > 0))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(word_counts(docs)))
+    both = rows.join(taken, "key").withColumn("lot", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text"))))
+    both = both.select("row", F.element_at("lots", F.col("lot")).cast("int").alias("copies")).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

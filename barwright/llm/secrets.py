@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from re import _constants as K
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,13 @@ RULES = {
     "hex": r"[0-9a-f]{32,}",
     "github": r"gh[opsu]_[A-Za-z0-9]+",
     "pem": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]+",
+    "google": r"AIza[A-Za-z0-9_-]+",
+    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
 }
 BASE = ("assign", "access", "hex")
 #: Matches that are shorter are dropped after they have been found (for assign, the length of the value).
-LEAST = {"assign": 8, "access": 16, "github": 24}
+LEAST = {"assign": 8, "access": 16, "github": 24, "slack": 20, "google": 39}
 _VALUE = re.compile(ASSIGN.encode(), re.IGNORECASE)
 
 
@@ -201,8 +205,12 @@ class Scanner:
         found = self.spans(data)
         if len(data) == len(text):
             return [(s, e, self.kinds[k]) for s, k, e in found]
-        at = lambda i: len(data[:i].decode())
-        return [(at(s), at(e), self.kinds[k]) for s, k, e in found]
+        if not found:
+            return []
+        # code points before each byte: those that do not continue another one
+        before = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=before[1:])
+        return [(int(before[s]), int(before[e]), self.kinds[k]) for s, k, e in found]
 
 
 # --------------------------------------------------------------------------------------------------- operators

@@ -31,17 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import sequences, slices, table, windows, write_shared
 
-#: What tells rows apart: the id, and a hash of the text among the rows of one id.
-ROW = ["doc_id", "t"]
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-
-
 def anchors_of(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the smallest hash in each `width` consecutive ones (the first, if equal); first window that it stands for,
-    and how many."""
+    """Places of the smallest hash in each `width` consecutive ones (the first, if equal); the first window that each place
+    stands for, and how many."""
     if len(h) < width:
         return (np.zeros(0, np.int64),) * 3
     small = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1)
@@ -50,15 +42,14 @@ def anchors_of(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """ROW, n_words, the word sequence's key (k1, k2), and the anchors of the windows of `length` words: hashes, and the
-    windows that each stands for (the first one's start, shifted by 8 bits, and their number)."""
+    """doc_id, n_words, the word sequence's key (k1, k2), and the hashes of the anchors of its windows of `length` words."""
     half = length // 2
     width = length - half + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, hashes, spans = [], [[], []], [], []
-            for t in slices(batch.column(2)):
+            n, keys, hashes = [], [[], []], []
+            for t in slices(batch.column(1)):
                 w = [t.words(0), t.words(1)]
                 for lane in (0, 1):
                     keys[lane].append(sequences(w[lane], t.first, lane).view(np.int64))
@@ -66,83 +57,90 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 for d in range(t.n):
                     lo, hi = int(t.first[d]), int(t.first[d + 1])
                     n.append(hi - lo)
-                    at, first, many = anchors_of(h[lo : hi - half + 1] if hi - lo >= length else h[:0], width)
+                    at, _, _ = anchors_of(h[lo : hi - half + 1] if hi - lo >= length else h[:0], width)
                     hashes.append(h[lo + at].view(np.int64))
-                    spans.append(first << 8 | many)
             one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one(keys[0])), pa.array(one(keys[1])), pa.array(hashes, lists), pa.array(spans, lists)], names=[*ROW, "n_words", "k1", "k2", "anchors", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one(keys[0])), pa.array(one(keys[1])), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "n_words", "k1", "k2", "anchors"])
+
+    if length < 2:
+        raise ValueError("windows have two halves")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, k1 long, k2 long, anchors array<bigint>")
+
+
+def listed(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones."""
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def first_candidates(w: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of `length` words whose anchors are known."""
+    half = length // 2
+    h = windows(w, half, 0).view(np.int64)
+    at, first, many = anchors_of(h.view(np.uint64), length - half + 1)
+    keep = listed(h[at], known)
+    first, many = first[keep], many[keep]
+    return np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+
 
-    if not 2 <= length < 256:
-        raise ValueError("the first level takes windows of 2 to 255 words")
-    return keyed(docs).mapInArrow(scan, "doc_id long, t long, n_words long, k1 long, k2 long, anchors array<bigint>, spans array<bigint>")
+def next_candidates(w: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of `length` words both halves of which are known."""
+    s = np.flatnonzero(listed(windows(w, length // 2, 0).view(np.int64), known))
+    return np.intersect1d(s, s - length // 2)
 
 
 def hashed_windows(texts: DataFrame, length: int, starts_of) -> DataFrame:
-    """ROW, start, (h1, h2) of the windows of `length` words at starts_of(known), for rows (ROW, text, known)."""
+    """doc_id, (h1, h2) of the windows of `length` words at starts_of(words, known, length), for rows (doc_id, text, known)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(3)
-            for t in slices(batch.column(2)):
+            known = batch.column(2)
+            for t in slices(batch.column(1)):
                 w = [t.words(0), t.words(1)]
                 h = [windows(x, length, lane).view(np.int64) for lane, x in enumerate(w)]
-                starts, doc = [], []
+                at, rows = [], []
                 for d in range(t.n):
-                    s = starts_of(np.asarray(known[t.first_row + d].values))
-                    s = s[s <= int(t.first[d + 1] - t.first[d]) - length]
-                    starts.append(s)
-                    doc.append(np.full(len(s), d))
-                s, doc = np.concatenate(starts), np.concatenate(doc)
-                if len(s):
-                    rows, at = pa.array(t.first_row + doc), s + t.first[doc]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s.astype(np.int32)), pa.array(h[0][at]), pa.array(h[1][at])], names=[*ROW, "start", "h1", "h2"])
-
-    return texts.select(*ROW, "text", "known").mapInArrow(scan, "doc_id long, t long, start int, h1 long, h2 long")
-
+                    lo, hi = int(t.first[d]), int(t.first[d + 1])
+                    s = starts_of(w[0][lo:hi], np.asarray(known[t.first_row + d].values), length) if hi - lo >= length else np.zeros(0, np.int64)
+                    at.append(s + lo)
+                    rows.append(np.full(len(s), t.first_row + d))
+                at, rows = np.concatenate(at), np.concatenate(rows)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(h[0][at]), pa.array(h[1][at])], names=["doc_id", "h1", "h2"])
 
-def anchored(spans: np.ndarray) -> np.ndarray:
-    """Starts of the windows that anchors stand for."""
-    first, many = np.sort(spans) >> 8, np.sort(spans) & 255
-    return np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+    return texts.select("doc_id", "text", "known").mapInArrow(scan, "doc_id long, h1 long, h2 long")
 
 
 def levels(docs: DataFrame, first: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
-    """Level by level from `length` on, doubling: (length, rows (ROW, start, lo) of the windows that repeat in another
-    document), lo being the smallest doc_id in which the window starts. Ends when no candidates survive."""
+    """Level by level from `length` on, doubling: (length, rows (doc_id, h1, lo) of the windows that repeat in another document),
+    lo being the smallest doc_id in which the window starts. Ends when no candidates survive."""
     id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
-    flat = first.where(F.col("n_words") >= length).select(*ROW, F.explode(F.arrays_zip("anchors", "spans")).alias("x"))
-    flat = flat.select(*ROW, F.col("x.anchors").alias("h"), F.col("x.spans").alias("span"))
+    flat = first.where(F.col("n_words") >= length).select("doc_id", F.explode("anchors").alias("h"))
     # written, so that adaptive execution may split the join at hashes that are in many documents
     again = write_shared(flat.groupBy("h").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h"))
-    known = flat.join(again, "h", "left_semi").groupBy(*ROW).agg(F.collect_list("span").alias("known"))
-    starts_of = anchored
+    known = flat.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("known"))
+    starts_of = first_candidates
     while True:
-        texts = keyed(docs).where("text is not null").distinct().join(known, ROW)
+        texts = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id")
         found = write_shared(hashed_windows(texts, length, starts_of))
-        least = write_shared(found.groupBy("h1", "h2").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
-        level = write_shared(found.join(least, ["h1", "h2"]).select(*ROW, "start", "lo"))
-        if level.isEmpty():
-            return
+        least = found.groupBy("h1", "h2").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+        level = found.join(least, ["h1", "h2"]).select("doc_id", "h1", "lo")
         yield length, level
-        half, length = length, 2 * length
-        known = level.groupBy(*ROW).agg(F.collect_set(F.col("start").cast("long")).alias("known"))
-        starts_of = lambda s, half=half: np.intersect1d(s, s - half)
+        known, starts_of, length = level.groupBy("doc_id").agg(F.collect_set("h1").alias("known")), next_candidates, 2 * length
+        known = write_shared(known)
+        if known.isEmpty():
+            return
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(ROW and a flag for copies of whole documents, of all documents; ROW and the starts of the windows of `length` words
-    that also start in a document with a smaller id, of the others)."""
+    """(doc_id, copied: the keys k1 of its word sequences that are copies of whole documents with a smaller id), (doc_id,
+    repeated: the hashes of its windows of `length` words that also start in a document with a smaller id)."""
     first = write_shared(anchor_rows(docs, length))
     heads = write_shared(first.groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("head")))
     rows = first.join(heads, ["n_words", "k1", "k2"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)))
-    one = rows.where("not copy").select(*ROW, "n_words", "anchors", "spans")
-    _, level = next(levels(docs, one, length), (length, None))
-    copies = rows.where("copy").where(F.col("n_words") >= length).select(*ROW).distinct()
-    if level is None:
-        return copies, copies.limit(0).withColumn("starts", F.array().cast("array<int>"))
-    own = level.where(F.col("doc_id") > F.col("lo"))
-    return copies, own.groupBy(*ROW).agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    _, level = next(levels(docs, rows.where("not copy"), length))
+    copies = rows.where("copy").where(F.col("n_words") >= length).groupBy("doc_id").agg(F.collect_set("k1").alias("copied"))
+    return copies, level.where(F.col("doc_id") > F.col("lo")).groupBy("doc_id").agg(F.collect_set("h1").alias("repeated"))
 
 
 def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -154,44 +152,45 @@ def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words, joined by one space, of every row."""
+    """doc_id, n_words, n_removed and the kept words, joined by one space, of every row. What is removed depends on the id and
+    the words alone, so rows that repeat an id need no telling apart."""
     copies, hits = repeated_windows(docs, length)
-    flags = copies.withColumn("copy", F.lit(True)).join(hits, ROW, "full")
-    every = keyed(docs).join(flags, ROW, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
+    every = docs.select("doc_id", "text").join(copies.join(hits, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "copied", "repeated")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                n, gone, kept = [], [], []
-                for text, copy, starts in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), some.column(3)):
-                    words = text.encode().split() if text else []
+            n, gone, kept = [], [], []
+            for t in slices(batch.column(1)):
+                w, some = None, batch.slice(t.first_row, t.n)
+                texts = some.column(1).to_pylist()
+                for d in range(t.n):
+                    lo, hi = int(t.first[d]), int(t.first[d + 1])
+                    copied, repeated = some.column(2)[d], some.column(3)[d]
+                    out = None
+                    if hi - lo >= length and (copied.is_valid or repeated.is_valid):
+                        w = t.words(0) if w is None else w
+                        own = w[lo:hi]
+                        if copied.is_valid and listed(sequences(own, np.array([0, hi - lo]), 0).view(np.int64), np.asarray(copied.values)).all():
+                            out = np.ones(hi - lo, bool)
+                        elif repeated.is_valid:
+                            out = cover(hi - lo, np.flatnonzero(listed(windows(own, length, 0).view(np.int64), np.asarray(repeated.values))), length)
+                    words = texts[d].encode().split() if texts[d] else []
                     n.append(len(words))
-                    if copy:
-                        gone.append(len(words))
-                        words = []
-                    elif starts.is_valid:
-                        out = cover(len(words), np.asarray(starts.values), length)
-                        gone.append(int(out.sum()))
-                        words = [w for w, x in zip(words, out.tolist()) if not x]
-                    else:
-                        gone.append(0)
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                    gone.append(0 if out is None else int(out.sum()))
+                    kept.append(b" ".join(words if out is None else [x for x, g in zip(words, out.tolist()) if not g]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return every.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def longest_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, start, words: every window that repeats in another document at `length` words, doubled while it still
-    repeats; the loop ends when no candidates survive. Each start is reported at its longest level."""
+    """doc_id, words, windows: per document, the lengths (`length` doubled so many times) at which windows of it repeat in
+    another document, and how many different ones; the loop ends when no candidates survive."""
     found = None
     for words, level in levels(docs, write_shared(anchor_rows(docs, length)), length):
-        level = level.select("doc_id", F.col("start").cast("long").alias("start"), F.lit(words).alias("words"))
+        level = level.groupBy("doc_id").agg(F.lit(words).alias("words"), F.countDistinct("h1").alias("windows"))
         found = level if found is None else found.union(level)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start long, words int")
-    return found.groupBy("doc_id", "start").agg(F.max("words").alias("words"))
+    return found
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,18 +76,17 @@ class Codes:
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         """Ids of tokens start to end: one rank look-up per level, then only the chunks of the range."""
-        chunks, bits, _ = self.levels[0]
-        value = chunks[start:end].astype(np.uint64)
-        where = np.arange(end - start)
+        value = self.levels[0][0][start:end].astype(np.uint32)
+        where = None
         for level in range(len(self.levels)):
-            flags = np.unpackbits(self.levels[level][1][start // 8 : -(-end // 8)], bitorder="little")[start % 8 :][: end - start].astype(bool)
-            where = where[flags]
-            if not len(where):
+            more = np.flatnonzero(np.unpackbits(self.levels[level][1][start // 8 : -(-end // 8)], bitorder="little")[start % 8 :][: end - start])
+            if not len(more):
                 break
+            where = more if where is None else where[more]
             start = self._rank(level, start)
-            end = start + len(where)
-            value[where] |= self.levels[level + 1][0][start:end].astype(np.uint64) << np.uint64(8 * level + 8)
-        return value.astype(np.uint32)
+            end = start + len(more)
+            value[where] |= self.levels[level + 1][0][start:end].astype(np.uint32) << np.uint32(8 * level + 8)
+        return value
 
 
 SHARDS = pa.schema([("file", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("code", pa.binary())])
@@ -139,8 +138,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 codes, starts = Codes(row["code"]), row["doc_starts"]
                 ends = [*starts[1:], row["n_tokens"]]
-                tokens = codes.tokens(0, row["n_tokens"]).astype("<u4")
-                crc = [zlib.crc32(tokens[s:e]) for s, e in zip(starts, ends)]
+                # each document is read by itself, through the rank directories, as a reader of one document would
+                crc = [zlib.crc32(codes.tokens(s, e).astype("<u4", copy=False)) for s, e in zip(starts, ends)]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["file"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([e - s for s, e in zip(starts, ends)], pa.int64()), pa.array(crc, pa.int64())],

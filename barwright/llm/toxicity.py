@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Model. A token's features are its whole word and its first 6, 5 and 4 bytes (lower case). Features that occur in at
-least `least` toxic training documents are listed (at most `room`, the most frequent); a token's type is its longest
-listed feature. Types get log-odds of toxic against clean documents under a Dirichlet prior centred on the parent
+least `least` toxic training documents are listed; a token's type is its longest listed feature. Training documents are a
+bounded sample and a feature needs `least` of its toxic documents, so the list is bounded by a `least`-th of that
+sample's distinct features. Types get log-odds of toxic against clean documents under a Dirichlet prior centred on the parent
 feature's estimate; less a constant drift they are the token scores, negative on average.
 
 Scan. All maximal scoring segments of a document are found in one linear pass (Ruzzo and Tompa). With lambda and K of
@@ -174,7 +175,7 @@ def _fit_curve(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, room: int = 200_000, least: int = 3, prior: float = 3.0, drift: float = 0.5) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, least: int = 3, prior: float = 3.0, drift: float = 0.5) -> Model | float:
     """A model, or the share of toxic labels where there are not both classes."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, room: int = 20
 
     counted = train.where("toxic = 1 and not calibrates").select("text").mapInArrow(listed, "feature long, parent long, level int, n long")
     counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), F.min("parent").alias("parent"), F.min("level").alias("level")).where(F.col("n") >= least)
-    listing = counted.orderBy(F.desc("n"), "feature").limit(room).collect()  # at most `room` rows
+    listing = counted.collect()  # bounded by the sample
     if not listing:
         return toxic / len(rows)
     lexicon = Lexicon(np.array([r["feature"] for r in listing], np.int64).view(np.uint64))
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, room: int = 20
         yield _rows(["type", "clean", "toxic", "clean_tokens"], at, docs_[0][at], docs_[1][at], tokens[0][at])
 
     sums = train.where("not calibrates").select("toxic", "text").mapInArrow(typed, "type long, clean long, toxic long, clean_tokens long")
-    sums = sums.groupBy("type").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("clean_tokens").alias("clean_tokens")).collect()  # room + 1 rows
+    sums = sums.groupBy("type").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("clean_tokens").alias("clean_tokens")).collect()  # one row per listed feature
     clean, bad, tokens = (np.zeros(size + 1) for _ in range(3))
     for r in sums:
         clean[r["type"]], bad[r["type"]], tokens[r["type"]] = r["clean"], r["toxic"], r["clean_tokens"]

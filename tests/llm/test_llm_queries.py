@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest_llm import duck
 
-from barwright.llm import common, jaccard, langid, mixing, packing, secrets, substring, token_files, topk, toxicity
+from barwright.llm import common, embedding_dups, jaccard, langid, mixing, packing, secrets, substring, token_files, topk, toxicity
 from barwright.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -89,9 +89,9 @@ def test_op1_by_brute_force(spark, request, at):
 
 def test_op1_doubling_ends_at_the_longest_repeat(spark, edge):
     docs = spark.read.parquet(f"{edge}/documents.parquet").where("doc_id in (9, 10)")
-    got = substring.longest_repeats(docs, 16).collect()
+    got = {(r.doc_id, r.words): r.windows for r in substring.longest_repeats(docs, 16).collect()}
     # a passage of 70 words repeats at 16, 32 and 64 words, not at 128
-    assert {r.words for r in got if r.doc_id == 9 and r.start <= 6} == {64} and max(r.words for r in got) == 64
+    assert got == {(i, n): 71 - n for i in (9, 10) for n in (16, 32, 64)}
 
 
 def ids_of(text):
@@ -226,14 +226,14 @@ def test_op5_by_brute_force(spark, request, at):
     at = request.getfixturevalue(at)
     table = pq.read_table(f"{at}/embeddings.parquet").to_pylist()
     good = [(r["vec_id"], np.array(r["embedding"], float)) for r in table if r["vec_id"] is not None and usable(r["embedding"]) and any(r["embedding"])]
-    dim = Counter(len(e) for _, e in good).most_common(1)[0][0]
-    good = [x for x in good if len(x[1]) == dim]
-    x = np.array([e / np.sqrt(e @ e) for _, e in good])
     links, union = Counter(), Union()
-    for i, j in zip(*np.nonzero(x @ x.T >= 0.9)):
-        if i != j:
-            links[i] += 1
-            union.join(good[i][0], good[j][0])
+    for dim in {len(e) for _, e in good}:
+        own = [(i, v, e / np.sqrt(e @ e)) for i, (v, e) in enumerate(good) if len(e) == dim]
+        x = np.array([e for *_, e in own])
+        for a, b in zip(*np.nonzero(x @ x.T >= 0.9)):
+            if a != b:
+                links[own[a][0]] += 1
+                union.join(own[a][1], own[b][1])
     by_id = {v: links[i] for i, (v, _) in enumerate(good)}
     want = [{"vec_id": r["vec_id"], "n_links": by_id.get(r["vec_id"], 0), "component_id": None if r["vec_id"] is None else union.find(r["vec_id"]), "kept": r["vec_id"] is None or union.find(r["vec_id"]) == r["vec_id"]} for r in table]
     assert multiset(rows("op5_embedding_near_dedup", spark, at)) == multiset(want)
@@ -309,12 +309,11 @@ def test_op7_with_hardly_a_rare_shingle(spark, often, room, part):
 def test_op8_by_brute_force(spark, request, at):
     at = request.getfixturevalue(at)
     table = [r for r in pq.read_table(f"{at}/embeddings.parquet").to_pylist() if r["vec_id"] is not None and usable(r["embedding"])]
-    dim = Counter(len(r["embedding"]) for r in table).most_common(1)[0][0]
-    v = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], float)).astype(np.int64)) for r in table if len(r["embedding"]) == dim]
+    v = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], float)).astype(np.int64)) for r in table]
     want = []
     for q, x in v:
         if q % 50 == 0:
-            best = sorted((-int(x @ y), i) for i, y in v if i != q)[:5]
+            best = sorted((-int(x @ y), i) for i, y in v if i != q and len(y) == len(x))[:5]
             want += [{"query_id": q, "rank": n + 1, "vec_id": i, "score": -s} for n, (s, i) in enumerate(best)]
     assert multiset(rows("op8_exact_top_k", spark, at)) == multiset(want)
 
@@ -323,7 +322,7 @@ def test_op8_over_many_pages_and_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(-3, 4, (700, 6)).astype(float)  # many ties
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
-    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, page=90, block=4).collect()}
+    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, part=90, block=4).collect()}
     for q in range(0, 700, 50):
         best = sorted((-int(v[q] @ y), i) for i, y in enumerate(v) if i != q)[:5]
         assert [got[q, n + 1] for n in range(5)] == [(-s, i) for s, i in best]
@@ -466,3 +465,56 @@ def test_op1_random_windows_of_any_length(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for length in (9, 16):
         assert Counter(map(tuple, substring.remove_repeats(df, length).collect())) == removed_by_brute_force(docs, length)
+
+
+def test_op5_ids_that_repeat_with_other_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 4))
+    table = [(i % 7, (x[i % 5] + 0.05 * x[i]).tolist()) for i in range(12)] + [(3, [1.0, 0.0]), (3, [2.0, 0.0]), (90, [1.0, 0.01])]
+    links, union = Counter(), Union()
+    for a, (i, e) in enumerate(table):
+        for b, (j, f) in enumerate(table):
+            if a != b and len(e) == len(f) and np.dot(e, f) >= 0.9 * np.linalg.norm(e) * np.linalg.norm(f):
+                links[a] += 1
+                union.join(i, j)
+    want = [{"vec_id": i, "n_links": links[a], "component_id": union.find(i), "kept": union.find(i) == i} for a, (i, _) in enumerate(table)]
+    got = embedding_dups.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>"), centres=3, cell=2)
+    assert multiset(r.asDict() for r in got.collect()) == multiset(want)
+
+
+def clustered(seed, groups, each, dim, wide=0.05):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(groups, dim)), each, 0) + wide * rng.normal(size=(groups * each, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("x", [clustered(1, 1, 1, 3), clustered(2, 9, 60, 5), clustered(3, 300, 2, 16), clustered(4, 500, 1, 24, 0), np.tile(clustered(5, 3, 1, 4), (40, 1))])
+def test_op5_cover_tree_keeps_its_invariants(x):
+    tree = embedding_dups.CoverTree(x)
+    far = lambda i, j: np.sqrt(np.maximum(2 - 2 * x[i] @ x[j].T, 0))
+    before = None
+    for (radius, owner), below in zip(tree.levels, [*tree.levels[1:], None]):
+        centres = np.unique(owner)
+        apart = far(centres, centres) + 9 * np.eye(len(centres))
+        assert apart.min() > radius - 1e-7  # separation
+        assert max(far(i, o) for i, o in enumerate(owner)) <= radius + 1e-7  # covering
+        assert before is None or set(before) <= set(centres)  # nesting
+        assert below is None or below[0] == radius / 2
+        before = centres
+    assert sorted(tree.order) == list(range(len(x)))
+    for c, cover, lo, hi in zip(tree.centre, tree.cover, tree.lo, tree.hi):
+        assert far(c, tree.order[lo:hi]).max() <= cover + 1e-9
+    same = {tuple(sorted(p)) for i, j, _ in embedding_dups.dual(tree, tree, 0.4) for p in ((a, b) for a in i for b in j) if p[0] != p[1]}
+    near = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if far(a, b) <= 0.4}
+    assert near <= same
+
+
+def test_op5_and_op8_prune_where_vectors_cluster():
+    x, count = clustered(7, 40, 50, 8), [0]
+    tree = embedding_dups.CoverTree(x)
+    list(embedding_dups.dual(tree, tree, np.sqrt(0.2), count))
+    assert count[0] < 0.35 * len(x) ** 2 / 2
+    tree = topk.MTree(np.floor(256 * x))
+    for i in range(0, len(x), 50):
+        tree.search(tree.x[i], 5, np.arange(len(x)), i)
+    assert tree.products < 0.35 * len(x) * (len(x) // 50)
