@@ -60,7 +60,8 @@ class CoverTree:
     every row is within that radius of one of them (covering), they are centres of all lower levels too (nesting), and
     the radii halve from level to level. A centre of the next level hangs below the nearest one of this level.
 
-    Levels at which a node has but itself as a child are left out; nodes of at most LEAF rows are leaves. Each node keeps
+    Levels at which a node has but itself as a child are left out; nodes of at most LEAF rows are leaves, and so are the nodes of
+    the last level that still brings rows together (random vectors of many dimensions have none). Each node keeps
     the true covering radius of its rows, which lie side by side in `order`."""
 
     LEAF, LEAST, STEP = 16, 1e-3, 64
@@ -94,7 +95,7 @@ class CoverTree:
         near[0] = 0.0
         radius = float(near.max())
         self.levels.append((radius, owner.copy()))
-        while radius > self.LEAST and (near > 0).any():
+        while radius > self.LEAST and (near > 0).any() and self._gathers(np.flatnonzero(near > radius / 2), radius / 2):
             radius /= 2
             while len(left := np.flatnonzero(near > radius)):
                 some = left[: self.STEP]
@@ -111,6 +112,17 @@ class CoverTree:
                 near[closer], owner[closer] = least[closer], centres[nearest[closer]]
             self.levels.append((radius, owner.copy()))
 
+    def _gathers(self, left: np.ndarray, radius: float) -> bool:
+        """Whether a level of this radius would bring rows together: not if most of a sample of the rows that it has to cover lie
+        apart from one another. Then the tree ends here and its leaves are compared as they are."""
+        some = left[:: max(1, len(left) // 256)][:256]
+        far, ok, taken = self._far(some, some), np.ones(len(some), bool), 0
+        for i in range(len(some)):
+            if ok[i]:
+                taken += 1
+                ok &= far[i] > radius
+        return len(some) < 64 or 2 * taken <= len(some)
+
     def _node(self, level: int, lo: int, hi: int) -> int:
         rows = self.order[lo:hi]
         while level + 1 < len(self.levels) and (self.group[level + 1][rows] == self.group[level + 1][rows[0]]).all():
@@ -163,7 +175,9 @@ def dual(a: CoverTree, b: CoverTree, reach: float, count: list[int] | None = Non
             for j in others[ends]:
                 if count is not None:
                     count[0] += int((a.hi[node] - a.lo[node]) * (b.hi[j] - b.lo[j]))
-                yield a.rows(node), b.rows(j), False
+                rows = a.rows(node)
+                for at in range(0, len(rows), step):
+                    yield rows[at : at + step], b.rows(j), False
             if not ends.all():
                 todo.append((a.below([node]), b.below(others[~ends])))
 
