@@ -38,64 +38,82 @@ PART, BLOCK, FAN, LEAF, PAGES = 16_384, 2_048, 16, 64, 1_024
 
 class MTree:
     """Inner nodes of at most FAN entries and leaves of at most LEAF vectors over the rows of x, built top-down by nearest
-    routing vectors. `products` counts the inner products that searches compute."""
+    routing vectors. The rows of a node lie side by side; the leaves below one node are searched in one go, each vector only
+    if its stored distances leave it a chance. `products` counts the inner products that searches compute."""
 
     def __init__(self, x: np.ndarray, seed: int = 7):
-        self.x, self.rng, self.products = x, np.random.default_rng(seed), 0
-        #: per node: child nodes or None, rows or None, routing vectors (of a leaf: its vectors), radii and parent distances
+        self.rng, self.products = np.random.default_rng(seed), 0
+        self.order, self.x = np.arange(len(x)), x
+        #: per node: child nodes (None above leaves), routing vectors, covering radii, distances to the parent's routing vector, first
+        #: and last row, and above leaves the leaf of each row and its distance to that leaf's routing vector
         self.nodes: list[tuple] = []
         self.middle = x.mean(0) if len(x) else x.sum(0)
-        self.root = self._build(np.arange(len(x)), self.middle)
+        self.root = self._build(0, len(x), self.middle)
+        self.x = x[self.order]
 
-    def _build(self, rows: np.ndarray, parent: np.ndarray) -> int:
+    def _build(self, lo: int, hi: int, parent: np.ndarray) -> int:
         """A node over the rows; its entries keep their distance to the parent's routing vector."""
-        if len(rows) <= LEAF:
-            own = self.x[rows]
-            self.nodes.append((None, rows, own, None, np.linalg.norm(own - parent, axis=1)))
-            return len(self.nodes) - 1
-        route = self.x[rows[self.rng.choice(len(rows), FAN, replace=False)]]
-        near = nearest(self.x[rows], route)[0]
-        if np.bincount(near).max() == len(rows):  # equal vectors: deal them out
-            near = np.arange(len(rows)) % FAN
-        kids, radii, kept = [], [], []
-        for j in range(FAN):
-            own = rows[near == j]
-            if len(own):
-                radii.append(float(np.linalg.norm(self.x[own] - route[j], axis=1).max()))
-                kids.append(self._build(own, route[j]))
-                kept.append(j)
-        route = route[kept]
-        self.nodes.append((kids, None, route, np.array(radii), np.linalg.norm(route - parent, axis=1)))
+        rows = self.order[lo:hi].copy()
+        own = self.x[rows]
+        many = min(FAN, max(1, -(-len(rows) // LEAF)))
+        route = own[self.rng.choice(len(rows), many, replace=False)] if len(rows) else own
+        near = nearest(own, route)[0] if len(rows) else np.zeros(0, np.int64)
+        sizes = np.bincount(near, minlength=len(route))
+        if len(rows) > LEAF and sizes.max() == len(rows):  # equal vectors: deal them out
+            near = np.arange(len(rows)) % many
+            sizes = np.bincount(near, minlength=many)
+        kept = np.flatnonzero(sizes)
+        route, sizes, near = route[kept], sizes[kept], np.searchsorted(kept, near)
+        sort = np.argsort(near, kind="stable")
+        self.order[lo:hi] = rows[sort]
+        near, far = near[sort], np.linalg.norm(own[sort] - route[near[sort]], axis=1) * (1 + 1e-12) + 1e-9
+        cuts = np.append(0, np.cumsum(sizes))
+        radii = np.array([far[i:j].max() for i, j in zip(cuts, cuts[1:])])
+        away = np.linalg.norm(route - parent, axis=1) * (1 + 1e-12) + 1e-9
+        kids = None if (sizes <= LEAF).all() else [self._build(lo + i, lo + j, r) for i, j, r in zip(cuts, cuts[1:], route)]
+        self.nodes.append((kids, route, radii, away, lo, hi, near if kids is None else None, far if kids is None else None))
         return len(self.nodes) - 1
 
     def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, known: float = -np.inf) -> list[tuple[float, int]]:
-        """The k best (score, -id) for q among the rows whose id is not own, of those that score `known` or more."""
-        size = length(q)
+        """The k best (score, -id) for q among the rows whose id is not own, of those that score `known` or more. `ids` are those of
+        the rows as they were given."""
+        size = float(length(q))
         best: list[tuple[float, int]] = []
-        todo = [(-np.inf, self.root, float(q @ self.middle))]
+        todo = [(-np.inf, self.root, float(q @ self.middle))] if len(self.x) else []
         while todo:
             bound, node, at_parent = heapq.heappop(todo)
             floor = max(known, best[0][0]) if len(best) == k else known
             if -bound < floor:
                 break
-            kids, rows, route, radii, away = self.nodes[node]
-            live = np.flatnonzero(at_parent + size * (away if kids is None else away + radii) >= floor)
+            kids, route, radii, away, lo, hi, leaf, far = self.nodes[node]
+            live = np.flatnonzero(at_parent + size * (away + radii) >= floor)
             self.products += len(live)
             if not len(live):
                 continue
-            dots = (route[live] if len(live) < len(route) else route) @ q
-            if kids is None:
-                name = ids[rows[live]]
-                good = (dots >= floor) & (name != own)
-                for s, i in zip(dots[good].tolist(), name[good].tolist()):
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+            dots = route[live] @ q
+            bounds = dots + size * radii[live]
+            if kids is not None:
+                for j, d, b in zip(live.tolist(), dots.tolist(), bounds.tolist()):
+                    if b >= floor:
+                        heapq.heappush(todo, (-b, kids[j], d))
                 continue
-            for j, d, b in zip(live.tolist(), dots.tolist(), (dots + size * radii[live]).tolist()):
-                if b >= floor:
-                    heapq.heappush(todo, (-b, kids[j], d))
+            # leaves: what the stored distance to the leaf's routing vector leaves a chance
+            chance = np.full(len(route), -np.inf)
+            chance[live[bounds >= floor]] = dots[bounds >= floor]
+            at = np.flatnonzero(chance[leaf] + size * far >= floor)
+            self.products += len(at)
+            score = (self.x[lo:hi] @ q)[at] if 2 * len(at) > hi - lo else self.x[lo + at] @ q
+            name = ids[self.order[lo + at]]
+            keep = (score >= floor) & (name != own)
+            score, name = score[keep], name[keep]
+            if len(score) > k:  # only what can be among the k best
+                keep = score >= np.partition(score, -k)[-k]
+                score, name = score[keep], name[keep]
+            for v, i in zip(score.tolist(), name.tolist()):
+                if len(best) < k:
+                    heapq.heappush(best, (v, -i))
+                elif (v, -i) > best[0]:
+                    heapq.heapreplace(best, (v, -i))
         return best
 
 

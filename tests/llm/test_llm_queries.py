@@ -516,5 +516,7 @@ def test_op5_and_op8_prune_where_vectors_cluster():
     assert count[0] < 0.35 * len(x) ** 2 / 2
     tree = topk.MTree(np.floor(256 * x))
     for i in range(0, len(x), 50):
-        tree.search(tree.x[i], 5, np.arange(len(x)), i)
+        q = np.floor(256 * x[i])
+        best = sorted(((float(np.floor(256 * x[j]) @ q), -j) for j in range(len(x)) if j != i), reverse=True)[:5]
+        assert sorted(tree.search(q, 5, np.arange(len(x)), i), reverse=True) == best
     assert tree.products < 0.35 * len(x) * (len(x) // 50)
