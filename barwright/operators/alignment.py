@@ -36,9 +36,11 @@ def parse_numbers(spark, sf_dir):
     return o.select("o_orderkey", parse_number(raw).alias("price"))
 
 
-@query("price_formats", "select o_orderkey, printf('%.2f', o_totalprice) as price, cast(cast(trunc(o_totalprice) as bigint) as varchar) as volume from orders")
+@query("price_formats", "select o_orderkey, case when o_orderkey % 6 = 0 then '0.00' else printf('%.2f', o_totalprice) end as price, case when o_orderkey % 6 = 0 then '0' else cast(cast(trunc(o_totalprice) as bigint) as varchar) end as volume from orders")
 def price_formats(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("price"), F.col("o_totalprice").cast("long").cast("string").alias("volume"))
+    """Prices with two places and whole volumes as text; what is missing (here every sixth) is 0.00 and 0."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("v"))
+    return x.select("o_orderkey", F.coalesce(F.format_string("%.2f", F.coalesce("v", F.lit(0.0)))).alias("price"), F.coalesce(F.col("v").cast("long"), F.lit(0)).cast("string").alias("volume"))
 
 
 # -------------------------------------------------------------------------------------------------- cleaning
@@ -126,10 +128,9 @@ def asof_forward(left: DataFrame, right: DataFrame, at: str, date: str, value: s
     return both.withColumn(value, F.coalesce(nxt, end)).where("_k = 1").select(*cols, value)
 
 
-@query("asof_forward", """, q as (select distinct l_returnflag as symbol, cast(o_orderdate as date) as at from lineitem join orders on o_orderkey = l_orderkey where o_orderkey % 7 = 0)
-  select q.symbol, q.at::varchar as at, coalesce((select min(i) from bars b where b.symbol = q.symbol and b.date >= q.at), (select max(i) from bars b where b.symbol = q.symbol)) as i from q""", bars=True)
+@query("asof_forward", """, q as (select distinct l_returnflag as symbol, cast(o_orderdate as date) as day from lineitem join orders on o_orderkey = l_orderkey), e as (select symbol, max(i) as n from bars group by 1)
+  select q.symbol, q.day::varchar as "at", coalesce(b.i, e.n) as i from q join e using (symbol) asof left join bars b on b.symbol = q.symbol and q.day <= b.date""", bars=True)
 def asof_forward_query(spark, sf_dir):
-    """All dates of orders; the SQL twin states those of every seventh order key."""
     q = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("o_orderkey = l_orderkey"))
     q = q.select(F.col("l_returnflag").alias("symbol"), F.col("o_orderdate").cast("date").alias("at")).distinct()
     return asof_forward(q, bars(spark, sf_dir), "at", "date", "i").withColumn("at", F.col("at").cast("string"))
@@ -143,9 +144,8 @@ def business_days(a, b):
     return (count(upto(b)) - count(upto(a))).cast("int")
 
 
-@query("business_day_distance", "select o_orderkey, (select count(*) from generate_series(1, 40) t(k) where k <= o_orderkey % 40 and dayofweek(cast(o_orderdate as date) + k::int) between 1 and 5)::int as bdays from orders where o_orderkey % 11 = 0")
+@query("business_day_distance", "select o_orderkey, (select count(*) from generate_series(1, 40) t(k) where k <= o_orderkey % 40 and dayofweek(cast(o_orderdate as date) + k::int) between 1 and 5)::int as bdays from orders")
 def business_day_distance(spark, sf_dir):
-    """All orders; the SQL twin states every eleventh order key."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a"))
     return o.select("o_orderkey", business_days(F.col("a"), F.date_add("a", (F.col("o_orderkey") % 40).cast("int"))).alias("bdays"))
 
@@ -187,12 +187,12 @@ def add_trading_days(spark, sf_dir):
     return a.join(b, "s", "left").select(F.col("d").cast("string").alias("d"), "n", F.col("target").cast("string").alias("target"))
 
 
-@query("stale_sessions", f"""with {CAL}, x as (select symbol, max(date) as last from (select l_returnflag as symbol, cast(l_shipdate as date) as date from lineitem where l_shipdate < timestamp '1998-03-01' and l_linenumber < 5) group by 1)
+@query("stale_sessions", f"""with {CAL}, x as (select symbol, max(date) as last from (select l_returnflag as symbol, cast(l_shipdate as date) as date from lineitem where l_shipdate < timestamp '1998-03-01') group by 1)
   select symbol, last::varchar as last, count(*) filter (d > last and d <= date '1998-03-06' and trading) as gap,
   case when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 2 then 'fresh' when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 5 then 'stale' when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 10 then 'old' else 'dead' end as grade from x, cal group by 1, 2""")
 def stale_sessions(spark, sf_dir):
     """Trading days since each symbol's last bar, as of a date, with a grade."""
-    x = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1998-03-01' and l_linenumber < 5").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
+    x = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1998-03-01'").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
     c = calendar(spark).where("trading and d <= date '1998-03-06'")
     g = x.join(c, F.col("d") > F.col("last"), "left").groupBy("symbol", "last").agg(F.count("d").alias("gap"))
     return g.select("symbol", F.col("last").cast("string").alias("last"), "gap", F.expr("case when gap <= 2 then 'fresh' when gap <= 5 then 'stale' when gap <= 10 then 'old' else 'dead' end").alias("grade"))

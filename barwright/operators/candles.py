@@ -20,14 +20,14 @@ PATTERNS = {
     "hammer": ("ls >= 2 * body and us < body and body > 0 and rng > 0", None),
     "inverted_hammer": ("us >= 2 * body and ls < body and body > 0", None),
     "shooting_star": (None, "us >= 2 * body and ls < body and body > 0 and close1 > close2"),
-    "doji": ("rng > 0 and body / rng < 0.1", None),
-    "spinning_top": ("rng > 0 and body / rng < 0.3 and body / rng >= 0.1 and us > body and ls > body", None),
+    "doji": ("rng > 0 and body < 0.1 * rng", None),
+    "spinning_top": ("rng > 0 and body < 0.3 * rng and body >= 0.1 * rng and us > body and ls > body", None),
     "engulfing": ("bear1 and bull and open <= close1 and close >= open1", "bull1 and bear and open >= close1 and close <= open1"),
     "harami": ("bear1 and bull and body < body1 and open >= close1 and close <= open1", "bull1 and bear and body < body1 and open <= close1 and close >= open1"),
     "piercing_line": ("bear1 and bull and open < low1 and close > (open1 + close1) / 2 and close < open1", None),
     "dark_cloud": (None, "bull1 and bear and open > high1 and close < (open1 + close1) / 2 and close > open1"),
-    "morning_star": ("bear2 and rng1 > 0 and body1 / rng1 < 0.3 and greatest(open1, close1) <= close2 and bull and close > (open2 + close2) / 2", None),
-    "evening_star": (None, "bull2 and rng1 > 0 and body1 / rng1 < 0.3 and least(open1, close1) >= close2 and bear and close < (open2 + close2) / 2"),
+    "morning_star": ("bear2 and rng1 > 0 and body1 < 0.3 * rng1 and greatest(open1, close1) <= close2 and bull and close > (open2 + close2) / 2", None),
+    "evening_star": (None, "bull2 and rng1 > 0 and body1 < 0.3 * rng1 and least(open1, close1) >= close2 and bear and close < (open2 + close2) / 2"),
     "white_soldiers": ("bull2 and bull1 and bull and close > close1 and close1 > close2 and open >= open1 and open <= close1 and open1 >= open2 and open1 <= close2", None),
     "black_crows": (None, "bear2 and bear1 and bear and close < close1 and close1 < close2 and open <= open1 and open >= close1 and open1 <= open2 and open1 >= close2"),
 }

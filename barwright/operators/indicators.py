@@ -3,12 +3,14 @@ what is built on them) run per symbol through pandas, as no frame expresses a re
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, clamp, full, lag, last, lead, mean, r6, std
-from ..plans.registry import query
+from ..plans.registry import BARS_SQL, query
 from ..sources.bars import WEEKS_SQL, bars, weekly_closes
 
 P = "partition by symbol order by i"
@@ -96,44 +98,62 @@ def adx_of(p: pd.DataFrame, n: int = 14) -> dict:
     return {"adx": ema(100 * (pdi - mdi).abs() / total.where(total != 0), alpha=1 / n, least=n), "plus_di": pdi, "minus_di": mdi}
 
 
-@query("adx_ewm")
+#: Directional moves and true range of each bar.
+_DM = f"""dm as (select symbol, i, case when up > dn and up > 0 then up else 0.0 end as plus, case when dn > up and dn > 0 then dn else 0.0 end as minus, tr from (
+  select symbol, i, coalesce(high - lag(high) over ({P}), 0) as up, coalesce(lag(low) over ({P}) - low, 0) as dn, greatest(high - low, abs(high - coalesce(lag(close) over ({P}), close)), abs(low - coalesce(lag(close) over ({P}), close))) as tr from bars))"""
+
+
+def _adx_sql() -> str:
+    mask = lambda x, n: f"case when i >= {n} then {x} end"
+    emas = ", ".join(sql_ema(c, "(1.0/14)", f"e_{c}", "dm") for c in ("plus", "minus", "tr"))
+    return f""", {_DM}, {emas}, di as (select p.symbol, p.i, {mask('100 * p.v / t.v', 13).replace(' i ', ' p.i ')} as pdi, {mask('100 * m.v / t.v', 13).replace(' i ', ' p.i ')} as mdi from e_plus p join e_minus m using (symbol, i) join e_tr t using (symbol, i)),
+dx as (select *, case when pdi + mdi <> 0 then 100 * abs(pdi - mdi) / (pdi + mdi) end as d from di), {sql_ema('d', '(1.0/14)', 'ax', 'dx')},
+adx as (select dx.symbol, dx.i, case when dx.i >= 26 then ax.v end as adx, pdi, mdi from dx join ax using (symbol, i))"""
+
+
+@query("adx_ewm", _adx_sql() + " select symbol, i, round(adx, 4) as adx, round(pdi, 4) as plus_di, round(mdi, 4) as minus_di from adx", bars=True)
 def adx_ewm(spark, sf_dir):
     return per_symbol(bars(spark, sf_dir), lambda p: {k: v.round(4) for k, v in adx_of(p).items()}, "adx double, plus_di double, minus_di double")
 
 
-def wilder_adx(p: pd.DataFrame, n: int = 14) -> float | None:
-    """The last ADX with sums seeded by simple sums."""
-    h, lo, c = p.high.tolist(), p.low.tolist(), p.close.tolist()
-    if len(c) < 2 * n + 1:
+def wilder_adx(p: pd.DataFrame, n: int = 14) -> tuple[float, float, float] | None:
+    """The last ADX, +DI and -DI; all means are seeded by simple means of n values and smoothed from the n-th bar on."""
+    x = pd.DataFrame({"up": p.high.diff(), "down": -p.low.diff(), "tr": pd.concat([p.high - p.low, (p.high - p.close.shift()).abs(), (p.low - p.close.shift()).abs()], axis=1).max(axis=1)}).iloc[1:]
+    if len(x) < 2 * n:
         return None
-    moves = []
-    for k in range(1, len(c)):
-        up, down = h[k] - h[k - 1], lo[k - 1] - lo[k]
-        moves.append((max(h[k] - lo[k], abs(h[k] - c[k - 1]), abs(lo[k] - c[k - 1])), up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0))
-    tr, plus, minus = (sum(m[j] for m in moves[:n]) for j in range(3))
-    dx = []
-    for k in range(n, len(moves) + 1):
-        pdi, mdi = (100 * plus / tr, 100 * minus / tr) if tr else (0.0, 0.0)
-        dx.append(100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi else 0.0)
-        if k < len(moves):
-            tr, plus, minus = tr - tr / n + moves[k][0], plus - plus / n + moves[k][1], minus - minus / n + moves[k][2]
-    adx = sum(dx[:n]) / n
-    for x in dx[n:]:
-        adx = (adx * (n - 1) + x) / n
-    return adx
-
-
-@query("adx_wilder")
+    moves = pd.DataFrame({"tr": x.tr, "plus": x.up.where((x.up > x.down) & (x.up > 0), 0.0), "minus": x.down.where((x.down > x.up) & (x.down > 0), 0.0)})
+    state, adx, first = moves.iloc[:n].mean(), None, []
+    for _, move in moves.iloc[n - 1 :].iterrows():
+        state = (state * (n - 1) + move) / n
+        pdi, mdi = (100 * state[c] / state.tr if state.tr else 0.0 for c in ("plus", "minus"))
+        dx = 100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi else 0.0
+        if adx is None:
+            first.append(dx)
+            adx = sum(first) / n if len(first) == n else None
+        else:
+            adx = (adx * (n - 1) + dx) / n
+    return adx, pdi, mdi
+
+
+TREND_OF_ADX = "case when adx >= 25 then case when pdi > mdi then 'strong, up' else 'strong, down' end when adx >= 20 then 'middling' else 'ranging' end"
+
+
+@query("adx_wilder", f"""with recursive {{bars}}, {_DM}, seed as (select symbol, avg(tr) as tr, avg(plus) as plus, avg(minus) as minus from dm where i between 1 and 14 group by 1),
+  w as (select s.symbol, 14 as i, (s.tr * 13 + d.tr) / 14 as tr, (s.plus * 13 + d.plus) / 14 as plus, (s.minus * 13 + d.minus) / 14 as minus from seed s join dm d on d.symbol = s.symbol and d.i = 14
+    union all select w.symbol, d.i, (w.tr * 13 + d.tr) / 14, (w.plus * 13 + d.plus) / 14, (w.minus * 13 + d.minus) / 14 from w join dm d on d.symbol = w.symbol and d.i = w.i + 1),
+  dx as materialized (select symbol, i, case when tr <> 0 then 100 * plus / tr else 0 end as pdi, case when tr <> 0 then 100 * minus / tr else 0 end as mdi, case when plus + minus > 0 and tr <> 0 then 100 * abs(plus - minus) / (plus + minus) else 0 end as d from w),
+  ax as (select symbol, 27 as i, avg(d) as adx from dx where i between 14 and 27 group by 1 having count(*) = 14 union all select ax.symbol, d.i, (ax.adx * 13 + d.d) / 14 from ax join dx d on d.symbol = ax.symbol and d.i = ax.i + 1),
+  lx as (select symbol, arg_max(adx, i) as adx, max(i) as i from ax group by 1)
+  select lx.symbol, round(adx, 4) as adx, round(pdi, 4) as plus_di, round(mdi, 4) as minus_di, {TREND_OF_ADX} as trend from lx join dx using (symbol, i)""".replace("{bars}", BARS_SQL))
 def adx_wilder(spark, sf_dir):
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = wilder_adx(p.sort_values("i"))
-        trend = None if x is None else "trending" if x >= 25 else "forming" if x >= 20 else "ranging"
-        return pd.DataFrame({"symbol": [p.symbol.iloc[0]], "adx": [None if x is None else round(x, 4)], "trend": [trend]})
+        adx, pdi, mdi = wilder_adx(p.sort_values("i")) or (None,) * 3
+        return pd.DataFrame({"symbol": [p.symbol.iloc[0]], "adx": [adx], "pdi": [pdi], "mdi": [mdi]}).astype({"adx": "float64", "pdi": "float64", "mdi": "float64"})
 
-    return bars(spark, sf_dir).groupBy("symbol").applyInPandas(run, "symbol string, adx double, trend string")
+    x = bars(spark, sf_dir).groupBy("symbol").applyInPandas(run, "symbol string, adx double, pdi double, mdi double").where("adx is not null and not isnan(adx)")
+    return x.select("symbol", F.round("adx", 4).alias("adx"), F.round("pdi", 4).alias("plus_di"), F.round("mdi", 4).alias("minus_di"), F.expr(TREND_OF_ADX).alias("trend"))
 
 
-# ------------------------------------------------------------------------------------------ frames over prices
 @query("bollinger", f", x as (select symbol, i, {sql_last('avg', 'close', 20)} as m, {sql_last('stddev_samp', 'close', 20)} as s from bars) select symbol, i, {r('m')} as mid, {r('m + 2 * s')} as upper, {r('m - 2 * s')} as lower from x", bars=True)
 def bollinger(spark, sf_dir):
     m, s = mean("close", 20), std("close", 20)
@@ -222,9 +242,12 @@ def parkinson_vol(spark, sf_dir):
     return with_returns(bars(spark, sf_dir)).select("symbol", "i", r6(pk).alias("pk"), r6(F.sqrt(std("ret", 20) * pk)).alias("blend"))
 
 
-@query("ewma_vol")
-def ewma_vol(spark, sf_dir):
-    """Exponentially weighted variance (0.94) seeded by the variance of the first 60 returns."""
+_EW = """with recursive {bars}{ret}, v0 as (select symbol, var_samp(ret) as v from rt where i between 1 and 60 group by 1 having count(ret) = 60),
+  ew as (select symbol, 60 as i, v from v0 union all select ew.symbol, r.i, 0.94 * ew.v + 0.06 * r.ret * r.ret from ew join rt r on r.symbol = ew.symbol and r.i = ew.i + 1) """
+
+
+def ewma_sigma(b: DataFrame) -> DataFrame:
+    """symbol, i, ret, sigma: exponentially weighted deviation (0.94), seeded by the variance of the first 60 returns."""
 
     def run(p: pd.DataFrame) -> dict:
         ret, var, out = p.ret.tolist(), None, []
@@ -233,10 +256,25 @@ def ewma_vol(spark, sf_dir):
                 var = float(pd.Series(ret[1:61]).var())
             elif k > 60:
                 var = 0.94 * var + 0.06 * x * x
-            out.append(None if var is None else round(var**0.5, 8))
-        return {"sigma": pd.Series(out, index=p.index, dtype="float64")}
+            out.append(None if var is None else var**0.5)
+        return {"ret": p.ret, "sigma": pd.Series(out, index=p.index, dtype="float64")}
 
-    return per_symbol(with_returns(bars(spark, sf_dir)), run, "sigma double")
+    x = per_symbol(with_returns(b), run, "ret double, sigma double")
+    return x.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ret", "sigma")})
+
+
+@query("ewma_vol", _EW.replace("{ret}", RET).replace("{bars}", BARS_SQL) + "select rt.symbol, rt.i, round(sqrt(v), 8) as sigma from rt left join ew using (symbol, i)")
+def ewma_vol(spark, sf_dir):
+    return ewma_sigma(bars(spark, sf_dir)).select("symbol", "i", F.round("sigma", 8).alias("sigma"))
+
+
+@query("mean_reverting_vol", _EW.replace("{ret}", RET).replace("{bars}", BARS_SQL) + f", lr as (select rt.*, v, {sql_last('var_samp', 'ret', 250)} as lv from rt left join ew using (symbol, i)) select symbol, i, h::int as h, round(sqrt(lv + (v - lv) * (1 - power(0.97::double, h)) / (h * 0.03)), 8) as sigma from lr, (select unnest([20, 60, 120]) as h) where v is not null and lv is not null")
+def mean_reverting_vol(spark, sf_dir):
+    """Mean deviation a day over the next h days where the weighted variance returns to that of 250 days, by 3 percent a day."""
+    x = ewma_sigma(bars(spark, sf_dir))
+    lv = full(F.var_samp("ret").over(last(250)), F.col("ret"), 250, last(250))
+    x = x.withColumn("lv", lv).where("sigma is not null and lv is not null").withColumn("h", F.explode(F.array(*[F.lit(h) for h in (20, 60, 120)])))
+    return x.select("symbol", "i", "h", F.round(F.expr("sqrt(lv + (sigma * sigma - lv) * (1 - power(0.97D, h)) / (h * 0.03D))"), 8).alias("sigma"))
 
 
 @query("realized_vol", f"{RET}, n as (select *, row_number() over (partition by symbol order by i desc) as k from rt) select symbol, round(stddev_pop(ret) * {244**0.5!r}, 6) as vol from n where k <= 244 group by 1", bars=True)
@@ -298,9 +336,21 @@ def vol_term_structure(spark, sf_dir):
 
 
 def expanding_rank(h: DataFrame, x: str, out: str) -> DataFrame:
-    """Share (percent) of the values of x so far that are strictly below the current one."""
-    seen = F.collect_list(x).over(by().rowsBetween(-(2**31) + 1, 0))
-    return h.withColumn("_seen", seen).withColumn(out, F.when(F.col(x).isNotNull(), 100.0 * F.size(F.filter("_seen", lambda v: v < F.col(x))) / F.size("_seen"))).drop("_seen")
+    """Adds the share (percent) of the values of x so far that are strictly below the current one: one sorted list per
+    symbol, which grows by insertion."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p, seen, share = p.sort_values("i"), [], []
+        for v in p[x].tolist():
+            if v is None or v != v:
+                share.append(None)
+            else:
+                bisect.insort(seen, v)
+                share.append(100.0 * bisect.bisect_left(seen, v) / len(seen))
+        return pd.DataFrame({"symbol": p["symbol"], "i": p["i"], out: pd.Series(share, index=p.index, dtype="float64")})
+
+    ranks = h.select("symbol", "i", x).groupBy("symbol").applyInPandas(run, f"symbol string, i int, {out} double")
+    return h.join(ranks.withColumn(out, F.when(~F.isnan(out), F.col(out))), ["symbol", "i"])
 
 
 def band_scale(p):
@@ -444,19 +494,54 @@ def forward_extremes_query(spark, sf_dir):
 AFTER = f"over ({P} rows between 1 following and unbounded following)"
 
 
-@query("price_gaps", f""", g as (select *, lag(high) over ({P}) as ph, lag(low) over ({P}) as pl, min(low) {AFTER} as nl, max(high) {AFTER} as nh from bars)
-  select symbol, i, case when low > ph then 'up' else 'down' end as dir, case when low > ph then ph else high end as lo, case when low > ph then low else pl end as hi,
-  coalesce(case when low > ph then nl <= ph else nh >= pl end, false) as filled from g where low > ph * 1.0001 or high < pl * 0.9999""", bars=True)
-def price_gaps(spark, sf_dir):
+#: Walk bars open where the last one closed and so never gap; bars of the closing price alone do.
+CLOSES_SQL = ", cl as (select symbol, date, i, close as high, close as low, close from bars)"
+
+
+def closing_bars(b: DataFrame) -> DataFrame:
+    return b.select("symbol", "date", "i", F.col("close").alias("high"), F.col("close").alias("low"), "close")
+
+
+def gaps(b: DataFrame, least: float = 0.003) -> DataFrame:
+    """symbol, i, dir, lo, hi, filled: bars that leave a gap of at least `least` to the bar before, and whether any later bar
+    comes back to its far side."""
     after = by().rowsBetween(1, 2**31 - 1)
-    g = bars(spark, sf_dir).withColumns({"ph": lag("high"), "pl": lag("low"), "nl": F.min("low").over(after), "nh": F.max("high").over(after)})
-    g = g.where("low > ph * 1.0001D or high < pl * 0.9999D")
+    g = b.withColumns({"ph": lag("high"), "pl": lag("low"), "nl": F.min("low").over(after), "nh": F.max("high").over(after)})
+    g = g.where((F.col("low") > F.col("ph")) & ((F.col("low") - F.col("ph")) / F.col("ph") >= least) | (F.col("high") < F.col("pl")) & ((F.col("pl") - F.col("high")) / F.col("high") >= least))
     up = F.col("low") > F.col("ph")
     pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     filled = F.when(up, F.col("nl") <= F.col("ph")).otherwise(F.col("nh") >= F.col("pl"))
     return g.select("symbol", "i", F.when(up, "up").otherwise("down").alias("dir"), pick("ph", "high").alias("lo"), pick("low", "pl").alias("hi"), F.coalesce(filled, F.lit(False)).alias("filled"))
 
 
+GAPS_SQL = CLOSES_SQL + f""", gp0 as (select *, lag(high) over ({P}) as ph, lag(low) over ({P}) as pl, min(low) {AFTER} as nl, max(high) {AFTER} as nh from cl),
+gp as (select symbol, i, case when low > ph then 'up' else 'down' end as dir, case when low > ph then ph else high end as lo, case when low > ph then low else pl end as hi,
+  coalesce(case when low > ph then nl <= ph else nh >= pl end, false) as filled from gp0 where (low > ph and (low - ph) / ph >= 0.003) or (high < pl and (pl - high) / high >= 0.003))"""
+
+
+@query("price_gaps", GAPS_SQL + " select * from gp", bars=True)
+def price_gaps(spark, sf_dir):
+    return gaps(closing_bars(bars(spark, sf_dir)))
+
+
+@query("nearest_gaps", GAPS_SQL + ", ng as (select gp.*, c, case when (lo + hi) / 2 <= c then 'below' else 'above' end as side from gp join (select symbol, arg_max(close, i) as c from bars group by 1) using (symbol) where not filled) select symbol, i, side, dir, lo, hi from ng qualify row_number() over (partition by symbol, side order by abs((lo + hi) / 2 - c), i desc) = 1", bars=True)
+def nearest_gaps(spark, sf_dir):
+    """The nearest open gap below and above the last close."""
+    b = bars(spark, sf_dir)
+    g = gaps(closing_bars(b)).where("not filled").join(b.groupBy("symbol").agg(F.max_by("close", "i").alias("c")), "symbol").withColumn("side", F.expr("case when (lo + hi) / 2 <= c then 'below' else 'above' end"))
+    k = F.row_number().over(Window.partitionBy("symbol", "side").orderBy(F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("c")), F.desc("i")))
+    return g.withColumn("k", k).where("k = 1").select("symbol", "i", "side", "dir", "lo", "hi")
+
+
+@query("visible_gaps", GAPS_SQL + " select symbol, i, dir, lo, hi from (select gp.*, c from gp join (select symbol, arg_max(close, i) as c from bars group by 1) using (symbol) where not filled and abs((hi + lo) / 2 / c - 1) <= 0.15) qualify row_number() over (partition by symbol order by i desc) <= 5", bars=True)
+def visible_gaps(spark, sf_dir):
+    """Open gaps within 15 percent of the last close, the latest five."""
+    b = bars(spark, sf_dir)
+    c = b.groupBy("symbol").agg(F.max_by("close", "i").alias("c"))
+    g = gaps(closing_bars(b)).where("not filled").join(c, "symbol").where("abs((hi + lo) / 2 / c - 1) <= 0.15D")
+    return g.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("i")))).where("k <= 5").select("symbol", "i", "dir", "lo", "hi")
+
+
 TR = f", tr as (select *, greatest(high - low, abs(high - lag(close) over ({P})), abs(low - lag(close) over ({P}))) as tr from bars)"
 
 

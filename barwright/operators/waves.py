@@ -110,6 +110,10 @@ def pw():
     return Window.partitionBy("symbol").orderBy("pno")
 
 
+#: Business days that a leg of a five-wave run has at least.
+RUN_LEG = 12
+
+
 def legs(z: DataFrame, least: int = 10) -> DataFrame:
     """Legs between consecutive pivots of at least so many business days: signed log return and length."""
     x = z.withColumns({"p1": F.lead("price").over(pw()), "d1": F.lead("date").over(pw())}).where("p1 is not null")
@@ -128,27 +132,42 @@ def legs_query(spark, sf_dir):
 
 
 def five_wave_runs(l: DataFrame) -> DataFrame:
-    """Five legs in a row with signs - + - + - (or mirrored) and a net move of at least 2 percent."""
-    x = l.withColumns({f"r{k}": F.lead("ret", k).over(pw()) for k in range(1, 5)})
-    x = x.withColumn("net", F.col("ret") + F.col("r1") + F.col("r2") + F.col("r3") + F.col("r4"))
-    signs = F.expr("sign(ret) = -sign(r1) and sign(r1) = -sign(r2) and sign(r2) = -sign(r3) and sign(r3) = -sign(r4)")
-    return x.where(signs & (F.abs("net") >= 0.02) & (F.signum("net") == F.signum("ret")))
+    """Five legs in a row (of legs that are long enough) with signs + - + - + and a gain of at least 2 percent from the
+    first price to the last: v0 to v5 are the turning prices, t0 to t5 their dates. Legs left out leave gaps in between."""
+    x = l.withColumns({f"r{k}": F.lead("ret", k).over(pw()) for k in range(1, 5)} | {f"v{k + 1}": F.lead("p1", k).over(pw()) for k in range(5)} | {f"t{k + 1}": F.lead("d1", k).over(pw()) for k in range(5)})
+    x = x.withColumns({"v0": F.col("price"), "t0": F.col("date")})
+    return x.where("ret > 0 and r1 < 0 and r2 > 0 and r3 < 0 and r4 > 0 and (v5 - v0) / v0 >= 0.02")
 
 
-RUNS = LEGS + """, lr as (select *, lead(ret, 1) over w as r1, lead(ret, 2) over w as r2, lead(ret, 3) over w as r3, lead(ret, 4) over w as r4 from legs window w as (partition by symbol order by pno)),
-runs as (select *, ret + r1 + r2 + r3 + r4 as net from lr where sign(ret) = -sign(r1) and sign(r1) = -sign(r2) and sign(r2) = -sign(r3) and sign(r3) = -sign(r4) and abs(ret + r1 + r2 + r3 + r4) >= 0.02 and sign(ret + r1 + r2 + r3 + r4) = sign(ret)) """
+RUNS = LEGS + f""", lr as (select *, price as v0, date as t0, lead(ret, 1) over w as r1, lead(ret, 2) over w as r2, lead(ret, 3) over w as r3, lead(ret, 4) over w as r4, {', '.join(f'lead(p1, {k}) over w as v{k + 1}, lead(d1, {k}) over w as t{k + 1}' for k in range(5))} from lg1 where days >= {RUN_LEG} window w as (partition by symbol order by pno)),
+runs as (select * from lr where ret > 0 and r1 < 0 and r2 > 0 and r3 < 0 and r4 > 0 and (v5 - v0) / v0 >= 0.02) """
 
 
-@query("five_wave_runs", zsql(RUNS + "select symbol, pno, round(net, 6) as net from runs"))
+@query("five_wave_runs", zsql(RUNS + "select symbol, pno, round(v5 / v0 - 1, 6) as net from runs"))
 def five_wave_runs_query(spark, sf_dir):
-    return five_wave_runs(legs(zigzag(bars(spark, sf_dir)))).select("symbol", "pno", F.round("net", 6).alias("net"))
+    return five_wave_runs(legs(zigzag(bars(spark, sf_dir)), RUN_LEG)).select("symbol", "pno", F.round(F.col("v5") / F.col("v0") - 1, 6).alias("net"))
+
+
+#: Ratios of the waves in a run: 2 to 1, 3 to 1, 4 to 3, 5 to 1; what counts as sane.
+RUN_RATIOS = {"q2": "(v1 - v2) / (v1 - v0)", "q3": "(v3 - v2) / (v1 - v0)", "q4": "(v3 - v4) / (v3 - v2)", "q5": "(v5 - v4) / (v1 - v0)"}
+SANE = "v1 > v0 and v1 > v2 and v3 > v2 and v3 > v4 and q2 between 0.2e0 and 0.7e0 and q3 between 1e0 and 2.2e0 and q4 between 0.2e0 and 0.6e0"
+_RQ = ", ".join(f"{v} as {k}" for k, v in RUN_RATIOS.items())
+
+
+def run_ratios(runs: DataFrame) -> DataFrame:
+    """Medians of the sane runs' ratios per symbol and over all (symbol null); null where fewer than six runs are sane."""
+    x = runs.withColumns({k: F.expr(v) for k, v in RUN_RATIOS.items()}).withColumn("sane", F.expr(SANE))
+    m = lambda c: F.when(F.count_if("sane") >= 6, F.round(F.median(F.when(F.col("sane"), F.col(c))), 4)).alias(c)
+    return x.groupingSets([["symbol"], []], "symbol").agg(F.count("*").alias("n"), F.count_if("sane").alias("sane_n"), m("q2"), m("q3"), m("q4"))
+
 
+RATIO_SQL = f""", rq as (select *, {SANE} as sane from (select *, {_RQ} from runs)),
+rr as (select symbol, count(*) as n, count(*) filter (sane) as sane_n, {', '.join(f"case when count(*) filter (sane) >= 6 then round(median({c}) filter (sane), 4) end as {c}" for c in ("q2", "q3", "q4"))} from rq group by grouping sets ((symbol), ())) """
 
-@query("subwave_ratios", zsql(RUNS + "select symbol, count(*) as n, round(median(abs(r1 / ret)), 6) as w2, round(median(abs(r2 / ret)), 6) as w3, round(median(abs(r3 / r2)), 6) as w4, round(median(abs(r4 / ret)), 6) as w5 from runs group by 1"))
+
+@query("subwave_ratios", zsql(RUNS + RATIO_SQL + "select * from rr"))
 def subwave_ratios(spark, sf_dir):
-    x = five_wave_runs(legs(zigzag(bars(spark, sf_dir))))
-    m = lambda a, b, name: F.round(F.median(F.abs(F.col(a) / F.col(b))), 6).alias(name)
-    return x.groupBy("symbol").agg(F.count("*").alias("n"), m("r1", "ret", "w2"), m("r2", "ret", "w3"), m("r3", "r2", "w4"), m("r4", "ret", "w5"))
+    return run_ratios(five_wave_runs(legs(zigzag(bars(spark, sf_dir)), RUN_LEG)))
 
 
 RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
@@ -196,7 +215,8 @@ def wave_channel(spark, sf_dir):
 def volume_by_wave(spark, sf_dir):
     """Mean volume between turning points: bars take their wave by a forward fill, not by a range join."""
     b = bars(spark, sf_dir)
-    z = zigzag(b).select("symbol", "i", "pno")
+    # two pivots may lie on one bar; the later one opens the wave
+    z = zigzag(b).groupBy("symbol", "i").agg(F.max("pno").alias("pno"))
     x = b.select("symbol", "i", "volume").join(z, ["symbol", "i"], "left")
     wave = F.last("pno", ignorenulls=True).over(by().rowsBetween(-(2**31) + 1, -1))
     end = F.max("pno").over(Window.partitionBy("symbol"))
@@ -216,33 +236,43 @@ def fib_time_zones(spark, sf_dir):
 
 
 @query("horizon_estimate", zsql(LEGS + """, t as (select symbol, m::double as m, ln(1 + m) as need from (select distinct symbol from bars), (select unnest([-0.12, -0.06, -0.03, 0.03, 0.06, 0.12]) as m)),
-  c as (select t.symbol, t.m, days, row_number() over (partition by t.symbol, m order by days, pno) as k, count(*) over (partition by t.symbol, m) as n from t join legs l on l.symbol = t.symbol and sign(l.ret) = sign(need) and abs(l.ret) >= abs(need)),
+  c as (select t.symbol, t.m, days * (abs(need) / abs(l.ret)) as days, row_number() over (partition by t.symbol, m order by days * (abs(need) / abs(l.ret)), pno) as k, count(*) over (partition by t.symbol, m) as n from t join legs l on l.symbol = t.symbol and sign(l.ret) = sign(need) and abs(l.ret) >= abs(need)),
   u as (select symbol, m, max(days) filter (k = n // 2 + 1) as med, any_value(n) as n from c group by 1, 2),
-  near as (select t.symbol, t.m, avg(days) as mean from t join lateral (select days from legs l where l.symbol = t.symbol order by abs(abs(l.ret) - abs(need)), pno limit 5) on true group by 1, 2)
-  select t.symbol, t.m, greatest(10, least(330, round(case when n >= 4 then med else mean end)))::int as bars from t left join u using (symbol, m) left join near using (symbol, m)"""))
+  near as (select t.symbol, t.m, avg(ttr) as mean from t join lateral (select l.days * (abs(need) / abs(l.ret)) as ttr from legs l where l.symbol = t.symbol and sign(l.ret) = sign(need) order by abs(abs(l.ret) - abs(need)), pno limit 5) on true group by 1, 2)
+  select t.symbol, t.m, greatest(10, least(330, round_even(coalesce(case when n >= 4 then med else mean end, 330), 0)))::int as bars from t left join u using (symbol, m) left join near using (symbol, m)"""))
 def horizon_estimate(spark, sf_dir):
-    """Bars to a target: the upper median over larger legs of its direction (4 at least), else the mean of the 5 nearest."""
+    """Bars to targets of several distances."""
     b = bars(spark, sf_dir)
-    l = legs(zigzag(b)).select("symbol", "pno", "ret", "days")
     t = b.select("symbol").distinct().withColumn("m", F.explode(F.array(*[F.lit(x) for x in (-0.12, -0.06, -0.03, 0.03, 0.06, 0.12)]))).withColumn("need", F.log1p("m"))
-    j = t.join(l, "symbol")
-    big = j.where("sign(ret) = sign(need) and abs(ret) >= abs(need)").groupBy("symbol", "m").agg(F.array_sort(F.collect_list("days")).alias("d"))
-    big = big.select("symbol", "m", F.size("d").alias("n"), F.expr("d[size(d) div 2]").alias("med"))
-    k = F.row_number().over(Window.partitionBy("symbol", "m").orderBy(F.abs(F.abs("ret") - F.abs("need")), "pno"))
-    near = j.withColumn("k", k).where("k <= 5").groupBy("symbol", "m").agg(F.avg("days").alias("mean"))
-    x = t.join(big, ["symbol", "m"], "left").join(near, ["symbol", "m"], "left")
-    return x.select("symbol", "m", F.greatest(F.lit(10), F.least(F.lit(330), F.round(F.when(F.col("n") >= 4, F.col("med")).otherwise(F.col("mean"))))).cast("int").alias("bars"))
+    return time_to_reach(t, legs(zigzag(b)), ["m"]).select("symbol", "m", "bars")
+
+
+def time_to_reach(t: DataFrame, l: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds bars: how long a move of `need` (a log distance) takes. A leg of that direction reaches it after its own length
+    times need over its size; the upper median over legs that are large enough (4 at least), else the mean over the 5
+    that are nearest in size, 330 where there is none; from 10 to 330."""
+    own = ["symbol", *keys]
+    l = l.select(F.col("symbol").alias("ls"), "pno", "ret", F.col("days").alias("leg_days"))
+    j = t.join(l, (F.col("symbol") == F.col("ls")) & (F.signum("ret") == F.signum("need"))).withColumn("ttr", F.col("leg_days") * (F.abs("need") / F.abs("ret")))
+    big = j.where("abs(ret) >= abs(need)").groupBy(*own).agg(F.array_sort(F.collect_list("ttr")).alias("d")).select(*own, F.size("d").alias("n_"), F.expr("d[size(d) div 2]").alias("med_"))
+    k = F.row_number().over(Window.partitionBy(*own).orderBy(F.abs(F.abs("ret") - F.abs("need")), "pno"))
+    near = j.withColumn("k_", k).where("k_ <= 5").groupBy(*own).agg(F.avg("ttr").alias("mean_"))
+    x = t.join(big, own, "left").join(near, own, "left")
+    return x.withColumn("bars", F.greatest(F.lit(10), F.least(F.lit(330), F.bround(F.coalesce(F.when(F.col("n_") >= 4, F.col("med_")).otherwise(F.col("mean_")), F.lit(330.0))))).cast("int")).drop("n_", "med_", "mean_")
 
 
 # ------------------------------------------------------------------------------------------- swings and patterns
-def swings(b: DataFrame, w: int = 5) -> DataFrame:
-    """Alternating swing points: centred extremes, bars that are both dropped, runs of one type reduced to their extreme."""
+def swings(b: DataFrame, w: int = 5, both: bool = False) -> DataFrame:
+    """Alternating swing points: centred extremes, runs of one type reduced to their (first) extreme. Bars that are both a high
+    and a low are dropped or, with `both`, are a high and then a low."""
     f = by().rowsBetween(-w, w)
     x = b.withColumns({"mx": F.max("high").over(f), "mn": F.min("low").over(f), "n": F.count("*").over(f)})
-    x = x.withColumns({"h": F.expr(f"n >= {w + 1} and high = mx"), "l": F.expr(f"n >= {w + 1} and low = mn")}).where("h <> l")
-    x = x.select("symbol", "i", F.when(F.col("h"), "H").otherwise("L").alias("type"), F.when(F.col("h"), F.col("high")).otherwise(F.col("low")).alias("price"))
-    new = F.coalesce((F.col("type") != F.lag("type").over(by())).cast("int"), F.lit(0))
-    x = x.withColumn("new", new).withColumn("run", F.sum("new").over(by()))
+    x = x.withColumns({"h": F.expr(f"n >= {w + 1} and high = mx"), "l": F.expr(f"n >= {w + 1} and low = mn")}).where("h or l" if both else "h <> l")
+    point = lambda on, kind, c: F.when(F.col(on), F.struct(F.lit(kind).alias("type"), F.col(c).alias("price")))
+    x = x.select("symbol", "i", F.explode(F.array_compact(F.array(point("h", "H", "high"), point("l", "L", "low")))).alias("x")).select("symbol", "i", "x.type", "x.price")
+    o = Window.partitionBy("symbol").orderBy("i", "type")
+    new = F.coalesce((F.col("type") != F.lag("type").over(o)).cast("int"), F.lit(0))
+    x = x.withColumn("new", new).withColumn("run", F.sum("new").over(o))
     best = F.max_by(F.struct("i", "price"), F.struct(F.when(F.col("type") == "H", F.col("price")).otherwise(-F.col("price")), -F.col("i")))
     x = x.groupBy("symbol", "run", "type").agg(best.alias("b"))
     return x.select("symbol", F.col("run").cast("int").alias("pno"), "b.i", "b.price", "type")
@@ -259,6 +289,15 @@ def swings_alternating(spark, sf_dir):
     return swings(bars(spark, sf_dir)).select("symbol", "pno", "i", "price", "type")
 
 
+BOTH_SWINGS = SWINGS.replace("5 preceding and 5 following", "10 preceding and 10 following").replace("""select symbol, i, case when high = mx then 'H' else 'L' end as type, case when high = mx then high else low end as price from s0 where n >= 6 and (high = mx) <> (low = mn)""",
+  """select symbol, i, 'H' as type, high as price from s0 where n >= 11 and high = mx union all select symbol, i, 'L', low from s0 where n >= 11 and low = mn""").replace(f"({P})::int, 0) as new", "(partition by symbol order by i, type))::int, 0) as new").replace(f"lag(type) over ({P})", "lag(type) over (partition by symbol order by i, type)").replace(f"sum(new) over ({P})", "sum(new) over (partition by symbol order by i, type)")
+
+
+@query("swings_both", BOTH_SWINGS + "select symbol, pno, i, price, type from sw", bars=True)
+def swings_both(spark, sf_dir):
+    return swings(bars(spark, sf_dir), 10, both=True).select("symbol", "pno", "i", "price", "type")
+
+
 SIX = ", ".join(f"lead(price, {k}) over w as p{k}, lead(i, {k}) over w as i{k}" for k in range(1, 6))
 #: Waves 1 to 5 in units of the impulse direction u (1 up, -1 down); rules, Fibonacci ranges with tolerance, lengths.
 LEN = {1: "(p1 - price) * u", 2: "(p1 - p2) * u", 3: "(p3 - p2) * u", 4: "(p3 - p4) * u", 5: "(p5 - p4) * u"}
@@ -304,9 +343,10 @@ _CLASS = "case " + " ".join(f"when b between {b0 - TOL:.4f} and {b1 + TOL:.4f} a
 _XABCD = "abs(p2 - p1) / abs(p1 - price) as b, abs(p3 - p2) / abs(p2 - p1) as bc, abs(p4 - p3) / abs(p3 - p2) as cd, abs(p4 - p1) / abs(p1 - price) as d"
 
 
-@query("sig_harmonic", SWINGS + f", x as (select *, {SIX} from sw window w as (partition by symbol order by pno)), y as (select symbol, i4 as i, type, {_XABCD} from x where p4 is not null and p1 <> price and p2 <> p1 and p3 <> p2) select symbol, i, {_CLASS} as pattern, case when type = 'L' then 1 else -1 end as signal from y where {_CLASS} is not null", bars=True)
+@query("sig_harmonic", BOTH_SWINGS + f", x as (select *, {SIX} from sw window w as (partition by symbol order by pno)), y as (select symbol, i4 as i, type, {_XABCD} from x where p4 is not null and p1 <> price and p2 <> p1 and p3 <> p2) select symbol, i, {_CLASS} as pattern, case when type = 'L' then 1 else -1 end as signal from y where {_CLASS} is not null", bars=True)
 def sig_harmonic(spark, sf_dir):
-    x = swings(bars(spark, sf_dir)).withColumns({f"{c[0]}{k}": F.lead(c, k).over(pw()) for k in range(1, 5) for c in ("price", "i")})
+    """Five points in a row whose ratios fit a pattern, on swings of ten bars either way."""
+    x = swings(bars(spark, sf_dir), 10, both=True).withColumns({f"{c[0]}{k}": F.lead(c, k).over(pw()) for k in range(1, 5) for c in ("price", "i")})
     y = x.where("p4 is not null and p1 <> price and p2 <> p1 and p3 <> p2").selectExpr("symbol", "i4 as i", "type", *_XABCD.split(", "))
     return y.select("symbol", "i", F.expr(_CLASS).alias("pattern"), F.expr("case when type = 'L' then 1 else -1 end").alias("signal")).where("pattern is not null")
 

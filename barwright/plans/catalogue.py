@@ -1,5 +1,5 @@
 """All queries: importing the operator modules registers them."""
 
-from ..operators import alignment, candles, indicators, probability, quality, relational, sentiment, strokes, waves  # noqa: F401
+from ..operators import alignment, binding, candles, indicators, plan, probability, quality, relational, reports, sentiment, strokes, waves  # noqa: F401
 from ..sources import bars, ingest  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

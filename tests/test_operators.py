@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.functions.columns import by, first_passage_sql, normal_cdf_sql
-from barwright.operators import probability, strokes, waves
+from barwright.operators import binding, candles, probability, strokes, waves
 from barwright.operators.alignment import business_days, repair_volume
 from barwright.operators.indicators import wilder_adx
 from barwright.sources import ingest
@@ -82,19 +82,81 @@ def test_upsert_adds_each_key_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
-def test_inclusion_and_strokes():
-    m = strokes.merge_inclusion([(0, 10, 8), (1, 12, 9), (2, 11, 10), (3, 14, 11)])
-    assert m == [[10, 8, 0, 0], [12, 10, 1, 2], [14, 11, 3, 3]]
+def test_inclusion_and_strokes(spark):
+    b = spark.createDataFrame([("a", i, float(h), float(lo)) for i, (h, lo) in enumerate([(10, 8), (12, 9), (11, 10), (14, 11)])], "symbol string, i int, high double, low double")
+    assert [tuple(r)[2:] for r in strokes.merged(b).orderBy("no").collect()] == [(10, 8, 0, 0), (12, 10, 1, 2), (14, 11, 3, 3)]
     path = [10, 11, 12, 13, 12, 11, 10, 9, 10, 11, 12, 13, 14]
-    m = strokes.merge_inclusion([(i, p + 0.4, p - 0.4) for i, p in enumerate(path)])
-    s = strokes.strokes(m)
-    assert [x["dir"] for x in s] == [-1]
-    assert strokes.zones(s) == [] and strokes.segments(s) == []
+    b = spark.createDataFrame([("a", i, p + 0.4, p - 0.4) for i, p in enumerate(path)], "symbol string, i int, high double, low double")
+    s = strokes.strokes(b)
+    assert [r["dir"] for r in s.collect()] == [-1]
+    # one stroke opens no zone, and is the one leg there is
+    assert strokes.zones(s).count() == 0 and [(r["dir"], r.start, r.end) for r in strokes.segments(s).collect()] == [(-1, 3, 7)]
+
+
+def test_flat_bars_have_no_pattern(spark):
+    b = spark.createDataFrame([("a", i, 10.0, 10.0, 10.0, 10.0) for i in range(5)], "symbol string, i int, open double, high double, low double, close double")
+    assert {r.signal for r in candles.candle_vote(b).collect()} == {0}
+    assert {r.f for r in candles.geometry(b).select(F.expr(candles.score("doji")).alias("f")).collect()} == {0}
+
+
+def test_first_hits_over_blocks(spark):
+    rng, rows, p = random.Random(8), [], 100.0
+    for i in range(300):
+        p *= math.exp(rng.gauss(0, 0.01))
+        rows.append(("a", i, p * 1.003, p * 0.997))
+    log = [("a", i, side, rows[i][2] * f, 50) for i in range(0, 300, 7) for side, f in (("sell", 1.04), ("buy", 0.96))]
+    got = {(r.i, r.side): (r.state, r.days) for r in probability.evaluate(spark.createDataFrame(log, "symbol string, i int, side string, price double, expect int"), spark.createDataFrame(rows, "symbol string, i int, high double, low double"), block=16).collect()}
+    for s, i, side, price, expect in log:
+        j = next((j for j in range(i + 1, 300) if (rows[j][2] >= price * 0.995 if side == "sell" else rows[j][3] <= price * 1.005)), None)
+        assert got[i, side] == (("hit", j - i) if j else ("pending" if i + expect > 299 else "miss", None))
+
+
+def test_path_samples_are_the_analyses_of_cut_series(spark, sf):
+    from barwright.sources.bars import bars
+
+    b = bars(spark, sf).where("symbol = 'A' and i < 420").cache()
+    got = {r.t: r.scenario for r in strokes.path_samples(b, horizon=60, step=50).collect()}
+    assert set(got) == {260, 310}
+    for t, scenario in got.items():
+        assert strokes.scenarios(b.where(f"i <= {t}")).first().scenario == scenario
+    b.unpersist()
+
+
+def test_sources_reject_and_degrade(spark):
+    one = spark.createDataFrame([("a", "Date,Close,Open\n2024-01-02,5,\nbad,1,1\n2024-01-03,x,2\n"), ("b", "<html>"), ("c", None)], "symbol string, payload string")
+    assert [(r.symbol, r.date, r.open, r.close, r.volume) for r in ingest.parse_csv(one, "payload").collect()] == [("a", "2024-01-02", 5.0, 5.0, 0.0)]
+    t = spark.createDataFrame([("a", "text\n| LAST | Date | Vol |\n|---|---|---|\n| 1,000.5 | 2024/01/02 | 7 |\n| x | 2024/01/03 | 7 |\n| 2 |\n")], "symbol string, body string")
+    assert [(r.date, r.close, r.high, r.volume) for r in ingest.parse_any_pipe_table(t).collect()] == [("2024-01-02", 1000.5, 1000.5, 7.0)]
+
+
+def test_written_pipe_tables_read_back(spark, sf, tmp_path):
+    from barwright.sources.bars import bars
+
+    b = bars(spark, sf).where("i < 40")
+    ingest.write_pipe_tables(b, str(tmp_path / "t"))
+    files = spark.read.text(str(tmp_path / "t"), wholetext=True).select("symbol", F.col("value").alias("body"))
+    got = ingest.parse_any_pipe_table(files).select("symbol", "date", "open", "high", "low", "close", "volume")
+    want = b.select("symbol", F.col("date").cast("string").alias("date"), "open", "high", "low", "close", "volume")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_rates_by_powers_of_two_equal_plain_windows(spark, sf):
+    from barwright.sources.bars import bars
+
+    b = bars(spark, sf).where("symbol = 'A' and i < 120")
+    m = {(r.i, r.p): (r.hi, r.lo) for r in binding.windows_ahead(b).collect()}
+    rows = [(r.high, r.low) for r in b.orderBy("i").collect()]
+    for i in range(0, 60, 7):
+        for n in (1, 3, 10, 37, 50):
+            p = 1 << (n.bit_length() - 1)
+            hi = max(m[i, p][0], m[i + n - p, p][0])
+            assert hi == max(h for h, _ in rows[i + 1 : i + 1 + n])
 
 
 def test_wilder_adx_needs_bars():
     up = pd.DataFrame({"high": range(2, 62), "low": range(1, 61), "close": [x + 0.5 for x in range(1, 61)]}).astype(float)
-    assert wilder_adx(up) > 90 and wilder_adx(up.head(20)) is None
+    adx, plus, minus = wilder_adx(up)
+    assert adx > 90 and plus > minus and wilder_adx(up.head(20)) is None
 
 
 def test_business_days(spark):
