@@ -29,7 +29,8 @@ def outcomes(b: DataFrame) -> DataFrame:
     p = points(s, z, divergences(s, z)).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
     k = F.row_number().over(Window.partitionBy("symbol", "kind", "signal").orderBy(F.desc("no"), F.desc("anchor")))
     p = p.withColumn("k", k).where("k > 1")
-    fwd = b.select("symbol", F.col("i").alias("i1"), F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.lead("close", h).over(by()) / F.col("close") - 1).alias("ret")) for h in HS])).alias("x")).select("symbol", "i1", "x.*")
+    fwd = b.withColumns({f"f{h}": F.lead("close", h).over(by()) / F.col("close") - 1 for h in HS})
+    fwd = fwd.select("symbol", F.col("i").alias("i1"), F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"f{h}").alias("ret")) for h in HS])).alias("x")).select("symbol", "i1", "x.*")
     return p.join(fwd, ["symbol", "i1"]).where("ret is not null").select("symbol", "kind", "signal", "i1", "h", "ret", (F.col("ret") * F.col("signal") > 0).cast("int").alias("win"))
 
 

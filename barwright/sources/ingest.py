@@ -88,8 +88,8 @@ def parse_any_pipe_table(files: DataFrame, aliases: dict[str, str] | None = None
     keep = [c for c in files.columns if c != "body"]
     x = files.withColumn("_l", F.filter(F.split("body", "\n"), lambda y: F.trim(y).startswith("|") & ~y.contains("---")))
     names = F.transform(cells(F.get("_l", F.lit(0))), lambda y: F.lower(y))
-    for old, new in aliases.items():
-        names = F.transform(names, lambda y, o=old, n=new: F.when(y == o, F.lit(n)).otherwise(y))
+    alias = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.create_map().cast("map<string,string>")
+    names = F.transform(names, lambda y: F.coalesce(F.try_element_at(alias, y), y))
     x = x.withColumn("_h", names).select(*keep, "_h", F.explode(F.slice("_l", 2, 1 << 30)).alias("_r")).withColumn("_c", cells(F.col("_r")))
     cell = lambda n: F.when(F.array_position("_h", n) > 0, F.get("_c", (F.array_position("_h", n) - 1).cast("int")))
     num = {n: F.regexp_replace(cell(n), ",", "").try_cast("double") for n in ("open", "high", "low", "close", "volume")}
