@@ -58,7 +58,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     lo, hi = int(t.first[d]), int(t.first[d + 1])
                     n.append(hi - lo)
                     at, _, _ = anchors_of(h[lo : hi - half + 1] if hi - lo >= length else h[:0], width)
-                    hashes.append(h[lo + at].view(np.int64))
+                    hashes.append(np.unique(h[lo + at]).view(np.int64))
             one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one(keys[0])), pa.array(one(keys[1])), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "n_words", "k1", "k2", "anchors"])
 
@@ -102,7 +102,8 @@ def hashed_windows(texts: DataFrame, length: int, starts_of) -> DataFrame:
                 for d in range(t.n):
                     lo, hi = int(t.first[d]), int(t.first[d + 1])
                     s = starts_of(w[0][lo:hi], np.asarray(known[t.first_row + d].values), length) if hi - lo >= length else np.zeros(0, np.int64)
-                    at.append(s + lo)
+                    s = lo + s[np.unique(h[0][lo + s], return_index=True)[1]]  # a window that repeats within a document counts once
+                    at.append(s)
                     rows.append(np.full(len(s), t.first_row + d))
                 at, rows = np.concatenate(at), np.concatenate(rows)
                 if len(at):
