@@ -3,6 +3,10 @@ secrets are blotted out, the sources are mixed to their target weights, and the
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. Near copies have 0.8 or more of their five-word shingles in common.
+
+Edge cases: a null text counts as empty, is no near copy of anything, holds no secret, and packs as one token; rows with a null
+id stay where ids decide; rows that repeat an id are documents of their own, which come after all others among near
+copies; an empty table goes through as empty; extra columns are carried along to the mix.
 """
 
 from __future__ import annotations
