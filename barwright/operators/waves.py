@@ -15,7 +15,7 @@ from ..functions.columns import by
 from ..plans.registry import query
 from ..sources.bars import bars
 from .alignment import business_days
-from .indicators import adx_of, ema, ICHIMOKU_SQL, ichimoku, per_symbol, rsi_of
+from .indicators import ICHIMOKU_SQL, _adx_sql, adx_of, ema, ichimoku, per_symbol, rsi_of, sql_ema, sql_last
 
 P = "partition by symbol order by i"
 PCT = 0.03
@@ -378,7 +378,16 @@ def sig_ichimoku(spark, sf_dir):
     return s.select("symbol", "i", F.expr("case when i < 78 then 0 when tenkan > kijun and t1 <= k1 and close > greatest(span_a, span_b) and span_a > span_b then 1 when tenkan < kijun and t1 >= k1 and close < least(span_a, span_b) and span_a < span_b then -1 else 0 end").alias("signal"))
 
 
-@query("sig_indicator_vote")
+_VOTE = _adx_sql() + f""", {sql_ema('close', '(2.0/13)', 'vf', 'bars')}, {sql_ema('close', '(2.0/27)', 'vs', 'bars')}, vm as (select symbol, i, close, volume, close - lag(close) over ({P}) as x from bars),
+vu as (select symbol, i, case when x > 0 then x else x * 0 end as u, case when x < 0 then -x else x * 0 end as d from vm), {sql_ema('u', '(1.0/14)', 'va', 'vu')}, {sql_ema('d', '(1.0/14)', 'vb', 'vu')},
+vr as (select a.symbol, a.i, case when a.i >= 14 and b.v <> 0 then 100 - 100 / (1 + a.v / b.v) end as rsi from va a join vb b using (symbol, i)),
+vw as (select *, sum(volume * coalesce(sign(x), 0)) over ({P}) as flow, {sql_last('avg', 'close', 20)} as m, {sql_last('stddev_samp', 'close', 20)} as s from vm), vx as (select *, {sql_last('avg', 'flow', 20)} as fm from vw),
+vv as (select vx.symbol, vx.i, coalesce(((vf.v > vs.v and coalesce(adx, 0) > 25) or coalesce(close < m - 2 * s and rsi < 30, false)) and flow > fm and not coalesce(rsi > 70, false), false) as buy,
+  coalesce(((vf.v < vs.v and coalesce(adx, 0) > 25) or coalesce(close > m + 2 * s and rsi > 70, false)) and flow < fm and not coalesce(rsi < 30, false), false) as sell
+  from vx join vf using (symbol, i) join vs using (symbol, i) join vr using (symbol, i) join adx using (symbol, i))"""
+
+
+@query("sig_indicator_vote", _VOTE + " select symbol, i, case when buy then 1 when sell then -1 else 0 end as signal from vv", bars=True)
 def sig_indicator_vote(spark, sf_dir):
     """Trend (crossing means with directional strength) or reversal (band and RSI), confirmed by volume flow."""
 
