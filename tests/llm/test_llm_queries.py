@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest_llm import duck
@@ -520,3 +521,84 @@ def test_op5_and_op8_prune_where_vectors_cluster():
         best = sorted(((float(np.floor(256 * x[j]) @ q), -j) for j in range(len(x)) if j != i), reverse=True)[:5]
         assert sorted(tree.search(q, 5, np.arange(len(x)), i), reverse=True) == best
     assert tree.products < 0.35 * len(x) * (len(x) // 50)
+
+
+def mixture_by_plain_em(text, languages, logp, penalty=2.0, steps=8):
+    """Word by word: likelihoods of byte trigrams, expectation-maximisation, nested sets by penalised likelihood."""
+    found = [w.lower() for w in re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.encode())]
+    if not found:
+        return {}
+    lik = []
+    for w in found:
+        padded, row = b" " + w + b" ", np.zeros(len(languages))
+        for j in range(len(w)):
+            code = ((padded[j] << 16 | padded[j + 1] << 8 | padded[j + 2]) * 0x9E3779B1 % (1 << 32)) >> 16
+            row += logp[code].astype(float)
+        lik.append(row)
+    lik = np.array(lik)
+
+    def em(own):
+        pi = np.array([own[k] / sum(own) for k in range(len(languages))], float)
+        for _ in range(steps):
+            r = np.array([np.exp(x - x.max()) * pi / (np.exp(x - x.max()) * pi).sum() for x in lik])
+            pi = r.mean(0)
+        return pi, sum(float(np.log((np.exp(x - x.max()) * pi).sum()) + x.max()) for x in lik)
+
+    full, _ = em([1] * len(languages))
+    single = lik.sum(0)
+    order = sorted(range(len(languages)), key=lambda k: -(full[k] + 1e-9 * (single[k] - single.max()) / len(lik)))
+    best, chosen = single.max(), {languages[int(single.argmax())]: 1.0}
+    for k in range(2, len(languages) + 1):
+        pi, ll = em([1 if j in order[:k] else 0 for j in range(len(languages))])
+        if ll - penalty * (k - 1) * np.log(len(lik) + 1) > best:
+            best, chosen = ll - penalty * (k - 1) * np.log(len(lik) + 1), {languages[j]: float(pi[j]) for j in range(len(languages)) if pi[j] > 0}
+    return chosen
+
+
+def test_op3_by_plain_em(spark):
+    rng = random.Random(9)
+    letters = {"xa": "abcde", "xb": "defgh", "xc": "ghijk"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 6)))
+    train = spark.createDataFrame([(i, " ".join(word(k) for _ in range(60)), k) for i, k in enumerate(["xa", "xb", "xc"] * 8)], "doc_id long, text string, lang string")
+    texts = [" ".join(word(rng.choice(ks)) for _ in range(rng.randint(1, 40))) for ks in (["xa"], ["xb", "xc"], ["xa", "xb", "xc"], ["xc"], ["xa", "xc"]) for _ in range(6)]
+    languages, logp = langid.fit(train)
+    got = langid.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), languages, logp).orderBy("doc_id").collect()
+    for r, text in zip(got, texts):
+        want = mixture_by_plain_em(text, languages, logp)
+        assert set(r.mixture) == set(want) and all(abs(r.mixture[k] - want[k]) < 1e-5 for k in want), text
+        assert r.lang_pred == max(want, key=want.get) and abs(r.score - max(want.values())) < 1e-5
+
+
+def test_op6_statistic_by_its_formula():
+    import math
+
+    model, rng = toxicity.Model(np.array([1, 2], np.uint64), np.array([0.5, 0.7]), 0.5), random.Random(3)
+    model.rate, model.k = 0.8, 0.2
+    for _ in range(200):
+        n, segments = rng.randint(1, 3000), [rng.uniform(0.1, 30) for _ in range(rng.randint(0, 8))]
+        best, total = 0.0, 0.0
+        for r, s in enumerate(sorted(segments, reverse=True), 1):
+            total += 0.8 * s - math.log(0.2 * n)
+            if total <= 0:
+                break
+            best = max(best, -math.log(math.exp(-total) * total ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))))
+        assert abs(model.statistic(n, segments) - best) < 1e-6
+
+
+def test_op6_scores_by_hand(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for d in documents(sf)[:60]:
+        if isinstance(model, float):
+            assert got[d["doc_id"]] == model
+            continue
+        # token by token: the score of the longest listed feature, then all maximal segments of the whole sequence
+        scores = []
+        for t in common.slices(pa.array([d["text"] or ""]), fold=True, space=toxicity.SEPARATOR):
+            if len(t.starts):
+                for levels in zip(*toxicity.features(t)):
+                    at = [int(i[0]) for i in (model.lexicon.find(np.array([h])) for h in levels[::-1]) if i[0] >= 0]
+                    scores.append(float(model.scores[at[0]]) if at else -model.drift)
+        want = model.score(model.statistic(len(scores), toxicity.maximal_segments(scores)))
+        assert abs(got[d["doc_id"]] - want) < 1e-6
