@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..plans.registry import query
 from ..sources.bars import table
@@ -76,10 +74,7 @@ def session_window(spark, sf_dir):
 
 @query("udaf_upper_median", "select event_type, list_sort(list(value))[len(list(value)) // 2 + 1] as median from events group by 1")
 def udaf_upper_median(spark, sf_dir):
-    """The upper median through a grouped-aggregate pandas function (on the JVM it is a sort and an index)."""
-
-    @F.pandas_udf(DoubleType())
-    def upper(v: pd.Series) -> float:
-        return float(v.sort_values().iloc[len(v) // 2])
-
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(upper("value").alias("median"))
+    """The upper median as a distributed aggregate: the value at which the share passes one half. Counts by value are combined on
+    the map side; no group is gathered as a list."""
+    above = F.expr("percentile_disc(0.500000000001D) within group (order by value)")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(above.alias("median"))

@@ -1,11 +1,11 @@
-"""Streaming twins: tick bars with a watermark, the zigzag as keyed state, and an exactly-once log upsert."""
+"""Streaming twins: tick bars with a watermark, the zigzag as keyed state, and a log upsert that repeated batches do not change."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = "i long, trend int, low double, low_i long, high double, high_i long, ext double, ext_i long"
@@ -21,7 +21,8 @@ def streaming_tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2
 
 
 def streaming_zigzag(stream: DataFrame, pct: float) -> DataFrame:
-    """Confirmed zigzag pivots of a stream of bars (symbol, i, high, low): the batch result without its pending pivot."""
+    """Confirmed zigzag pivots of a stream of bars (symbol, i, high, low): the batch result without its pending pivot. A bar that
+    comes after a later one, or again, cannot change what was confirmed; it is given back with type `late` and its high."""
     from ..operators.waves import Zigzag
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -33,7 +34,8 @@ def streaming_zigzag(stream: DataFrame, pct: float) -> DataFrame:
             z.trend, z.low, z.high, z.extreme = trend, (low, low_i), (high, high_i), (ext, ext_i)
         for i, high, low in zip(bars.i.tolist(), bars.high.tolist(), bars.low.tolist()):
             if i <= seen:
-                continue  # late or repeated
+                out.append((key[0], i, high, "late"))
+                continue
             seen = i
             if z is None:
                 z = Zigzag(pct, i, high, low)
@@ -47,11 +49,14 @@ def streaming_zigzag(stream: DataFrame, pct: float) -> DataFrame:
 
 
 def upsert_batches(path: str, keys: tuple[str, ...]):
-    """A foreachBatch sink that appends only rows whose key the log does not have; a repeated batch adds nothing."""
+    """A foreachBatch sink that appends only rows whose key the log does not have; a repeated batch adds nothing. Of rows of one
+    batch with one key, the one that sorts first by its other columns is taken. One writer at a time: two would not see each
+    other's rows."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(list(keys))
+        rest = [c for c in batch.columns if c not in keys] or list(keys)
+        new = batch.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))).where("_k = 1").drop("_k")
         try:
             new = new.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
         except Exception as e:  # the first batch finds no log

@@ -79,7 +79,8 @@ def test_upsert_adds_each_key_once(spark, tmp_path):
     sink = upsert_batches(str(tmp_path / "log"), ("k",))
     sink(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
     sink(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    sink(spark.createDataFrame([(4, "f"), (4, "e")], "k int, v string"), 2)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(1, "a"), (2, "b"), (3, "d"), (4, "e")]
 
 
 def test_inclusion_and_strokes(spark):
