@@ -3,7 +3,8 @@
 The rules' regular expressions are compiled (position sets, subset construction, minimisation) into one table of
 transition arrays over bytes that runs all rules at once; a single pass over the bytes of a text tells where each
 rule's matches end, and a small reversed automaton of that rule finds the leftmost start. Per rule, matches are
-leftmost, longest and non-overlapping.
+leftmost, longest and non-overlapping. A rule with an open tail over hexadecimal digits multiplies the states by those of the
+hex rule's count: these five rules have 697 states, three more such rules 13,489.
 
 Edge cases: a null text is empty and has no span; offsets are code points, end exclusive; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are not read.
@@ -30,13 +31,10 @@ RULES = {
     "hex": r"[0-9a-f]{32,}",
     "github": r"gh[opsu]_[A-Za-z0-9]+",
     "pem": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]+",
-    "google": r"AIza[A-Za-z0-9_-]+",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
 }
 BASE = ("assign", "access", "hex")
 #: Matches that are shorter are dropped after they have been found (for assign, the length of the value).
-LEAST = {"assign": 8, "access": 16, "github": 24, "slack": 20, "google": 39}
+LEAST = {"assign": 8, "access": 16, "github": 24}
 _VALUE = re.compile(ASSIGN.encode(), re.IGNORECASE)
 
 
