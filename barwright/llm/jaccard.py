@@ -35,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, mix, prefix_sum, slices, table, write_shared
@@ -346,17 +346,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component of docs, with all columns: the one with the smallest doc_id. Rows whose id is repeated are
-    documents of their own, which come after all others; rows with a null id stay."""
-    again = write_shared(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
+    """One row of each component of docs, with all columns: the one with the smallest doc_id. Rows that repeat an id with another
+    text are documents of their own (the one whose text has the smaller hash comes first), with the same text one document;
+    rows with a null id stay."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         gone = jaccard_classes(docs, **options).where("component_id <> doc_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.lit(1).alias("one"))
-    last = docs.agg(F.max("doc_id")).first()[0]
-    ranked = prefix_sum(rows.join(again, "id", "left_semi"), [], "id", "one", "rank", ties=["row"])
-    named = rows.join(again, "id", "left_anti").select("row", F.col("id").alias("doc_id")).union(ranked.select("row", F.col("rank") + (last + 1)))
-    named = write_shared(named.select("row", "doc_id", F.col("row.text").alias("text")))
+    # ids that repeat: documents are numbered in the order of their ids
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    pairs = rows.where("id is not null").select("id", "h").distinct().withColumn("one", F.lit(1))
+    ranked = prefix_sum(pairs, [], "id", "one", "rank", ties=["h"]).select("id", "h", "rank")
+    named = rows.join(ranked, ["id", "h"], "left").withColumn("k", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0))))
+    named = write_shared(named.where("id is null or k = 1").select("row", F.col("rank").alias("doc_id"), F.col("row.text").alias("text")))
     gone = jaccard_classes(named, **options).where("component_id <> doc_id").select("doc_id")
     return named.join(gone, "doc_id", "left_anti").select("row.*")
 

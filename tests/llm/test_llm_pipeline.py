@@ -37,6 +37,9 @@ def test_toxic_documents_go_and_no_others(spark, stages):
 def test_one_document_of_each_group_stays(stages):
     before, after = stages[1][1:3]
     want = [d for d, r in zip(before, jaccard_brute(before, 5, Fraction(4, 5))) if r["component_id"] is None or r["component_id"] == d["doc_id"]]
+    # rows that repeat an id and its text are one document
+    once = {(d["doc_id"], d["text"]): d for d in want if d["doc_id"] is not None}
+    want = [*once.values(), *[d for d in want if d["doc_id"] is None]]
     assert Counter(map(str, after)) == Counter(map(str, want))
 
 

@@ -418,7 +418,7 @@ def test_op7_ids_that_repeat_with_other_texts_are_one_node(spark):
 def test_near_copies_tell_rows_of_one_id_apart(spark):
     one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     df = spark.createDataFrame([(1, one, "x"), (5, one, "y"), (5, two, "z"), (5, two, "z"), (6, two + " end", "v"), (None, two, "w")], "doc_id long, text string, id string")
-    assert sorted(map(tuple, jaccard.drop_near_copies(df).collect()), key=str) == sorted([(1, one, "x"), (6, two + " end", "v"), (None, two, "w")], key=str)
+    assert sorted(map(tuple, jaccard.drop_near_copies(df).collect()), key=str) == sorted([(1, one, "x"), (5, two, "z"), (None, two, "w")], key=str)
 
 
 def removed_by_brute_force(docs, length):
