@@ -271,7 +271,8 @@ def banded(log: DataFrame, b: DataFrame) -> DataFrame:
     volatility regime, at most 0.235; 0 before there is a deviation."""
     t = term_structure(b)
     vol = t.join(expanding_rank(hv20(b), "hv", "pct").select("symbol", "i", F.when(F.col("pct").isNull(), 1.0).otherwise(band_scale(F.col("pct"))).alias("scale")), ["symbol", "i"]).select("symbol", "i", "scale", *[f"s{w}" for w in WINDOWS])
-    sigma = interpolated({w: f"s{w}" for w in WINDOWS}, F.col("expect"))
+    # a horizon that is a window needs no other window to be full
+    sigma = F.coalesce(*[F.when(F.col("expect") == w, F.col(f"s{w}")) for w in WINDOWS], interpolated({w: f"s{w}" for w in WINDOWS}, F.col("expect")))
     return log.join(vol, ["symbol", "i"]).select(*log.columns, F.coalesce(F.least(sigma * F.sqrt("expect") * F.col("scale"), F.lit(0.235)), F.lit(0.0)).alias("frac"))
 
 
