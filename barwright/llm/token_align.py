@@ -60,7 +60,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts, little-endian unsigned 32-bit."""
-        cut = [_ITEM.findall(" " + x) if x else [] for x in texts]
+        # U+2581 is the library's own sign for a space: texts that hold it are not cut
+        cut = [([" " + x] if "▁" in x else _ITEM.findall(" " + x)) if x else [] for x in texts]
         if len(self.cache) > self.ROOM:
             self.cache = {" ": self.space}
         new = list({p for parts in cut for p in parts if p not in self.cache})
