@@ -55,20 +55,32 @@ class PieceEncoder:
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("pieces that join words cannot be cut at spaces")
         self.bytes = [bytes([int(x[3:5], 16)]) if self.library.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.cache = {" ": array("I", [self.library.piece_to_id("▁")]).tobytes()}
-        self.space = self.cache[" "]
+        self.space = array("I", [self.library.piece_to_id("▁")]).tobytes()
+        self.cache = {" ": self.space}
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, which go into the cache unless they are long; none of a piece that its ids do not spell."""
+        ids = self.library.encode([p[1:] for p in new], num_threads=1)
+        got = {p: array("I", x).tobytes() if b"".join([self.bytes[i] for i in x]) == p.encode() else b"" for p, x in zip(new, ids)}
+        self.cache.update((p, x) for p, x in got.items() if len(p) <= self.LONGEST)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of the texts, little-endian unsigned 32-bit."""
+        """Ids of the texts, little-endian unsigned 32-bit; none where they do not spell the space and the text."""
         # U+2581 is the library's own sign for a space: texts that hold it are not cut
         cut = [([" " + x] if "▁" in x else _ITEM.findall(" " + x)) if x else [] for x in texts]
         if len(self.cache) > self.ROOM:
             self.cache = {" ": self.space}
-        new = list({p for parts in cut for p in parts if p not in self.cache})
-        fresh = dict(zip(new, (array("I", ids).tobytes() for ids in self.library.encode([p[1:] for p in new], num_threads=1)))) if new else {}
-        long = {p: ids for p, ids in fresh.items() if len(p) > self.LONGEST}
-        self.cache.update((p, ids) for p, ids in fresh.items() if p not in long)
-        return [b"".join([self.cache.get(p) or long[p] for p in parts]) for parts in cut]
+        look = self.cache.get
+        found = [list(map(look, parts)) for parts in cut]
+        new = {p for parts, got in zip(cut, found) if None in got for p, x in zip(parts, got) if x is None}
+        fresh = self._learn(list(new)) if new else {}
+        out = []
+        for parts, got in zip(cut, found):
+            if None in got:
+                got = [fresh[p] if x is None else x for p, x in zip(parts, got)]
+            out.append(b"" if b"" in got else b"".join(got))
+        return out
 
 
 class Tokens:
@@ -99,11 +111,10 @@ class Tokens:
         out = [none] * len(texts), [none] * len(texts)
         at = [i for i, x in enumerate(texts) if x]
         spaced = [" " + texts[i] for i in at]
-        both = self.a.encode(spaced), self.b.encode([texts[i] for i in at])
-        for i, text, *codes in zip(at, spaced, *both):
-            ids, data = [np.frombuffer(x, "<u4") for x in codes], text.encode()
-            if all(b"".join(map(spelt.__getitem__, x.tolist())) == data for x, spelt in zip(ids, self.spelt)):
-                out[0][i], out[1][i] = ids
+        for i, text, a, b in zip(at, spaced, self.a.encode(spaced), self.b.encode([texts[i] for i in at])):
+            a = np.frombuffer(a, "<u4")
+            if b and b"".join(map(self.spelt[0].__getitem__, a.tolist())) == text.encode():
+                out[0][i], out[1][i] = a, np.frombuffer(b, "<u4")
         return out
 
 
