@@ -125,7 +125,7 @@ def whole(b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 @query("empirical_target_rates", zsql(DATED + PRICED + " select * from er"))
 def empirical_target_rates(spark, sf_dir):
-    return whole(bars(spark, sf_dir))[3]
+    return whole(kept(bars(spark, sf_dir)))[3]
 
 
 @query("target_priors", zsql(DATED + PRICED + " select symbol, cat, name, round(frac, 6) as frac, round(raw, 5) as raw from pt"))
@@ -208,7 +208,7 @@ rc as (select symbol, cat, name, greatest(2.0, least(98.0, arg_min(cap, k))) as
 
 @query("leg_reach", zsql(DATED + PRICED + REACH + " select symbol, cat, name, round(cap, 4) as cap from rc"))
 def leg_reach(spark, sf_dir):
-    x, _, l, _ = whole(bars(spark, sf_dir))
+    x, _, l, _ = whole(kept(bars(spark, sf_dir)))
     return reach_of_legs(x, l).withColumn("cap", F.round("cap", 4))
 
 
@@ -239,12 +239,12 @@ bn as materialized (select symbol, cat, name, price, expect, close, round(price
 @query("bound_targets", zsql(BOUND + " select * from bn"))
 def bound_targets(spark, sf_dir):
     """The published table of targets: band and probability, and which of the three sources gave it."""
-    return bind(bars(spark, sf_dir))
+    return bind(kept(bars(spark, sf_dir)))
 
 
 @query("probability_sources", zsql(BOUND + " select cat, source, count(*) as n, round(avg(prob), 4) as prob from bn group by grouping sets ((cat, source), (source))"))
 def probability_sources(spark, sf_dir):
-    return bind(bars(spark, sf_dir)).groupingSets([["cat", "source"], ["source"]], "cat", "source").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 4).alias("prob"))
+    return bind(kept(bars(spark, sf_dir))).groupingSets([["cat", "source"], ["source"]], "cat", "source").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 4).alias("prob"))
 
 
 # ------------------------------------------------------------------------------------------------------------- gates
@@ -264,20 +264,20 @@ _LOCKSQL = " union all ".join(f"select '{n}' as \"check\", count(*) as n, count(
 
 @query("gate_probability_lock", zsql(BOUND + " " + _LOCKSQL.replace("{t}", "bn")))
 def gate_probability_lock(spark, sf_dir):
-    return lock(bind(bars(spark, sf_dir)))
+    return lock(bind(kept(bars(spark, sf_dir))))
 
 
 @query("gate_probability_lock_spoilt", zsql(BOUND + ", sp as (select * replace (" + ", ".join(f"{e} as {c}" for c, e in _SPOIL.items()) + ") from (select *, row_number() over (partition by symbol, cat order by name) as k from bn)) " + _LOCKSQL.replace("{t}", "sp")))
 def gate_probability_lock_spoilt(spark, sf_dir):
     """The lock over a table with wrong rows: it has to find them."""
-    x = bind(bars(spark, sf_dir)).withColumn("k", F.row_number().over(Window.partitionBy("symbol", "cat").orderBy("name")))
+    x = bind(kept(bars(spark, sf_dir))).withColumn("k", F.row_number().over(Window.partitionBy("symbol", "cat").orderBy("name")))
     return lock(x.withColumns({c: F.expr(e) for c, e in _SPOIL.items()}))
 
 
 @query("gate_parts_end", zsql(BOUND + " select p.symbol, abs(p.price - s.price) <= 0.0002 as locked, s.expect >= p.expect as in_time, (select bool_and(q.expect >= coalesce(l, 0)) from (select expect, lag(expect) over (partition by symbol order by name) as l, symbol from bn where cat = 'part') q where q.symbol = p.symbol) as in_order from bn p join bn s on s.symbol = p.symbol and s.name = 'sell 1' where p.name = 'part 5'"))
 def gate_parts_end(spark, sf_dir):
     """The last part of wave 5 ends at the first sell target, not after its time, and the parts' times do not go back."""
-    x = bind(bars(spark, sf_dir))
+    x = bind(kept(bars(spark, sf_dir)))
     s = x.where("name = 'sell 1'").select("symbol", F.col("price").alias("sp"), F.col("expect").alias("se"))
     up = x.where("cat = 'part'").withColumn("l", F.lag("expect").over(Window.partitionBy("symbol").orderBy("name"))).groupBy("symbol").agg(F.every(F.col("expect") >= F.coalesce("l", F.lit(0))).alias("in_order"))
     return x.where("name = 'part 5'").join(s, "symbol").join(up, "symbol").select("symbol", (F.abs(F.col("price") - F.col("sp")) <= 0.0002).alias("locked"), (F.col("se") >= F.col("expect")).alias("in_time"), "in_order")
@@ -295,7 +295,7 @@ def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
   select key, coalesce(nw.rate, ol.rate) as rate, coalesce(nw.days, ol.days) as days, case when nw.rate is not null then 'history' else 'log' end as source from ol full join nw using (key)""", bars=True)
 def hit_rate_overlay(spark, sf_dir):
     """Back-test rates of the written log, overlaid by the rates that similar days give the same distances and horizons."""
-    return hit_rates(bars(spark, sf_dir))
+    return hit_rates(kept(bars(spark, sf_dir)))
 
 
 def hit_rates(b: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """Rolling and window indicators. Frame statistics share one window per symbol; recursive filters (exponential means and
-what is built on them) run per symbol through pandas, as no frame expresses a recursion."""
+what is built on them) are affine maps composed over blocks of bars (`functions/recursions.py`)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, clamp, full, lag, last, lead, mean, r6, std
+from ..functions.recursions import exponential
 from ..plans.registry import BARS_SQL, query
 from ..sources.bars import WEEKS_SQL, bars, weekly_closes
 
@@ -25,77 +26,67 @@ def r(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
 
-def per_symbol(b: DataFrame, f, columns: str) -> DataFrame:
-    """Adds the columns that f(pdf) computes on one symbol's bars in order."""
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        out = f(pdf)
-        return pd.DataFrame({"symbol": pdf["symbol"], "i": pdf["i"], **{n: out[n] for n in names}})
-
-    return b.groupBy("symbol").applyInPandas(run, f"symbol string, i int, {columns}")
-
-
 # ---------------------------------------------------------------------------------------------- moving averages
 @query("sma_set", f"select symbol, i, {', '.join(f'{r(sql_last("avg", "close", n))} as ma{n}' for n in (20, 60, 120, 250))} from bars", bars=True)
 def sma_set(spark, sf_dir):
     return bars(spark, sf_dir).select("symbol", "i", *[r6(mean("close", n)).alias(f"ma{n}") for n in (20, 60, 120, 250)])
 
 
-def ema(x: pd.Series, span: float | None = None, alpha: float | None = None, least: int = 0) -> pd.Series:
-    return x.ewm(span=span, alpha=alpha, adjust=False, min_periods=least).mean()
-
-
 def sql_ema(x: str, alpha: str, out: str, source: str) -> str:
     """A CTE of exponential means seeded by the first non-null value, as folds over prefixes."""
     return f"""{out} as (select symbol, i, case when {x} is not null then list_reduce(list({x}) filter ({x} is not null) over ({P}), lambda a, b: a + {alpha} * (b - a)) end as v from {source})"""
 
 
-def ema_pair(b: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    return per_symbol(b, lambda p: {"fast": ema(p.close, fast).round(4), "slow": ema(p.close, slow).round(4)}, "fast double, slow double")
-
-
 @query("ema_fast_slow", f", {sql_ema('close', '(2.0/13)', 'f', 'bars')}, {sql_ema('close', '(2.0/27)', 's', 'bars')} select f.symbol, f.i, round(f.v, 4) as fast, round(s.v, 4) as slow from f join s using (symbol, i)", bars=True)
 def ema_fast_slow(spark, sf_dir):
-    return ema_pair(bars(spark, sf_dir))
+    x = exponential(bars(spark, sf_dir), {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)})
+    return x.select("symbol", "i", F.round("fast", 4).alias("fast"), F.round("slow", 4).alias("slow"))
 
 
-def macd_of(p: pd.DataFrame) -> dict:
-    dif = ema(p.close, 12) - ema(p.close, 26)
-    dea = ema(dif, 9)
-    return {"dif": dif, "dea": dea, "hist": 2 * (dif - dea)}
+def macd_columns(b: DataFrame) -> DataFrame:
+    """Adds dif, dea and hist."""
+    x = exponential(b, {"_f": ("close", 2 / 13), "_g": ("close", 2 / 27)}).withColumn("dif", F.col("_f") - F.col("_g")).drop("_f", "_g")
+    return exponential(x, {"dea": ("dif", 2 / 10)}).withColumn("hist", 2 * (F.col("dif") - F.col("dea")))
 
 
 @query("macd", f""", {sql_ema('close', '(2.0/13)', 'f', 'bars')}, {sql_ema('close', '(2.0/27)', 's', 'bars')},
   dif as (select f.symbol, f.i, f.v - s.v as x from f join s using (symbol, i)), {sql_ema('x', '(2.0/10)', 'dea', 'dif')}
   select dif.symbol, dif.i, round(x, 4) + 0.0 as dif, round(v, 4) + 0.0 as dea, round(2 * (x - v), 4) + 0.0 as hist from dif join dea using (symbol, i)""", bars=True)
 def macd(spark, sf_dir):
-    return per_symbol(bars(spark, sf_dir), lambda p: {k: v.round(4) + 0.0 for k, v in macd_of(p).items()}, "dif double, dea double, hist double")
+    return macd_columns(bars(spark, sf_dir)).select("symbol", "i", *[(F.round(c, 4) + 0.0).alias(c) for c in ("dif", "dea", "hist")])
 
 
-def rsi_of(close: pd.Series, n: int = 14, masked: bool = True) -> pd.Series:
-    move = close.diff()
-    least = n if masked else 0
-    up, down = ema(move.clip(lower=0), alpha=1 / n, least=least), ema((-move).clip(lower=0), alpha=1 / n, least=least)
-    return 100 - 100 / (1 + up / down.where(down != 0))
+def rsi_columns(b: DataFrame, n: int = 14) -> DataFrame:
+    """Adds rsi, null in the first n bars and where nothing has fallen."""
+    x = b.withColumn("_m", F.col("close") - F.lag("close").over(by())).withColumns({"_u": F.greatest("_m", F.col("_m") * 0), "_d": F.greatest(-F.col("_m"), F.col("_m") * 0)})
+    x = x.withColumns({c: F.when(F.col("_m").isNotNull(), F.col(c)) for c in ("_u", "_d")})
+    x = exponential(x, {"_a": ("_u", 1 / n), "_e": ("_d", 1 / n)})
+    return x.withColumn("rsi", F.when((F.col("i") >= n) & (F.col("_e") != 0), 100 - 100 / (1 + F.col("_a") / F.col("_e")))).drop("_m", "_u", "_d", "_a", "_e")
 
 
 @query("rsi14", f""", m as (select symbol, i, close - lag(close) over ({P}) as x from bars), ud as (select symbol, i, case when x > 0 then x else x * 0 end as u, case when x < 0 then -x else x * 0 end as d from m),
   {sql_ema('u', '(1.0/14)', 'a', 'ud')}, {sql_ema('d', '(1.0/14)', 'b', 'ud')}
   select a.symbol, a.i, case when a.i >= 14 and b.v <> 0 then round(100 - 100 / (1 + a.v / b.v), 4) end as rsi from a join b using (symbol, i)""", bars=True)
 def rsi14(spark, sf_dir):
-    return per_symbol(bars(spark, sf_dir), lambda p: {"rsi": rsi_of(p.close).round(4)}, "rsi double")
+    return rsi_columns(bars(spark, sf_dir)).select("symbol", "i", F.round("rsi", 4).alias("rsi"))
 
 
-def adx_of(p: pd.DataFrame, n: int = 14) -> dict:
-    up, down, before = p.high.diff(), -p.low.diff(), p.close.shift()
-    plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-    tr = pd.concat([p.high - p.low, (p.high - before).abs(), (p.low - before).abs()], axis=1).max(axis=1)
-    atr = ema(tr, alpha=1 / n, least=n)
-    pdi, mdi = 100 * ema(plus, alpha=1 / n, least=n) / atr, 100 * ema(minus, alpha=1 / n, least=n) / atr
-    total = pdi + mdi
-    return {"adx": ema(100 * (pdi - mdi).abs() / total.where(total != 0), alpha=1 / n, least=n), "plus_di": pdi, "minus_di": mdi}
+def moves(b: DataFrame) -> DataFrame:
+    """Adds _p and _q (directional moves up and down) and _t (true range)."""
+    x = b.withColumns({"_up": F.coalesce(F.col("high") - F.lag("high").over(by()), F.lit(0.0)), "_dn": F.coalesce(F.lag("low").over(by()) - F.col("low"), F.lit(0.0)), "_c": F.coalesce(F.lag("close").over(by()), "close")})
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_c")), F.abs(F.col("low") - F.col("_c")))
+    one = lambda a, b: F.when((F.col(a) > F.col(b)) & (F.col(a) > 0), F.col(a)).otherwise(0.0)
+    return x.withColumns({"_p": one("_up", "_dn"), "_q": one("_dn", "_up"), "_t": tr}).drop("_up", "_dn", "_c")
+
+
+def adx_columns(b: DataFrame, n: int = 14) -> DataFrame:
+    """Adds adx, plus_di and minus_di by exponential means."""
+    x = exponential(moves(b), {f"_e{c}": (f"_{c}", 1 / n) for c in "pqt"})
+    di = lambda c: F.when(F.col("i") >= n - 1, 100 * F.col(c) / F.col("_et"))
+    x = x.withColumns({"plus_di": di("_ep"), "minus_di": di("_eq")})
+    total = F.col("plus_di") + F.col("minus_di")
+    x = exponential(x.withColumn("_d", F.when(total != 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)), {"_a": ("_d", 1 / n)})
+    return x.withColumn("adx", F.when(F.col("i") >= 2 * n - 2, F.col("_a"))).drop("_p", "_q", "_t", "_ep", "_eq", "_et", "_d", "_a")
 
 
 #: Directional moves and true range of each bar.
@@ -113,44 +104,40 @@ adx as (select dx.symbol, dx.i, case when dx.i >= 26 then ax.v end as adx, pdi,
 
 @query("adx_ewm", _adx_sql() + " select symbol, i, round(adx, 4) as adx, round(pdi, 4) as plus_di, round(mdi, 4) as minus_di from adx", bars=True)
 def adx_ewm(spark, sf_dir):
-    return per_symbol(bars(spark, sf_dir), lambda p: {k: v.round(4) for k, v in adx_of(p).items()}, "adx double, plus_di double, minus_di double")
-
-
-def wilder_adx(p: pd.DataFrame, n: int = 14) -> tuple[float, float, float] | None:
-    """The last ADX, +DI and -DI; all means are seeded by simple means of n values and smoothed from the n-th bar on."""
-    x = pd.DataFrame({"up": p.high.diff(), "down": -p.low.diff(), "tr": pd.concat([p.high - p.low, (p.high - p.close.shift()).abs(), (p.low - p.close.shift()).abs()], axis=1).max(axis=1)}).iloc[1:]
-    if len(x) < 2 * n:
-        return None
-    moves = pd.DataFrame({"tr": x.tr, "plus": x.up.where((x.up > x.down) & (x.up > 0), 0.0), "minus": x.down.where((x.down > x.up) & (x.down > 0), 0.0)})
-    state, adx, first = moves.iloc[:n].mean(), None, []
-    for _, move in moves.iloc[n - 1 :].iterrows():
-        state = (state * (n - 1) + move) / n
-        pdi, mdi = (100 * state[c] / state.tr if state.tr else 0.0 for c in ("plus", "minus"))
-        dx = 100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi else 0.0
-        if adx is None:
-            first.append(dx)
-            adx = sum(first) / n if len(first) == n else None
-        else:
-            adx = (adx * (n - 1) + dx) / n
-    return adx, pdi, mdi
+    return adx_columns(bars(spark, sf_dir)).select("symbol", "i", *[F.round(c, 4).alias(c) for c in ("adx", "plus_di", "minus_di")])
+
+
+def trend_strength(b: DataFrame, n: int = 14) -> DataFrame:
+    """symbol, adx, pdi, mdi of the last bar; all means begin at simple means of n values and are smoothed from the n-th move on.
+    Symbols with fewer than 2 n moves have none."""
+    x = moves(b)
+    seed = x.where(F.col("i").between(1, n)).groupBy("symbol").agg(*[F.avg(f"_{c}").alias(f"_s{c}") for c in "pqt"])
+    x = x.join(seed, "symbol").withColumns({f"_x{c}": F.when(F.col("i") >= n, F.col(f"_{c}")) for c in "pqt"})
+    x = exponential(x, {f"_e{c}": (f"_x{c}", 1 / n, f"_s{c}") for c in "pqt"}).where(F.col("i") >= n)
+    x = x.withColumns({f"{d}di": F.when(F.col("_et") != 0, 100 * F.col(f"_e{c}") / F.col("_et")).otherwise(0.0) for d, c in (("p", "p"), ("m", "q"))})
+    total = F.col("pdi") + F.col("mdi")
+    x = x.withColumn("_d", F.when(total > 0, 100 * F.abs(F.col("pdi") - F.col("mdi")) / total).otherwise(0.0)).select("symbol", "i", "pdi", "mdi", "_d")
+    first = x.where(F.col("i") < 2 * n).groupBy("symbol").agg(F.avg("_d").alias("_f"), F.count("*").alias("_k")).where(F.col("_k") == n)
+    x = exponential(x.join(first, "symbol").withColumn("_x", F.when(F.col("i") >= 2 * n, F.col("_d"))), {"_a": ("_x", 1 / n, "_f")})
+    return x.where(F.col("i") >= 2 * n - 1).groupBy("symbol").agg(F.max_by(F.coalesce("_a", "_f"), "i").alias("adx"), F.max_by("pdi", "i").alias("pdi"), F.max_by("mdi", "i").alias("mdi"))
 
 
 TREND_OF_ADX = "case when adx >= 25 then case when pdi > mdi then 'strong, up' else 'strong, down' end when adx >= 20 then 'middling' else 'ranging' end"
 
 
-@query("adx_wilder", f"""with recursive {{bars}}, {_DM}, seed as (select symbol, avg(tr) as tr, avg(plus) as plus, avg(minus) as minus from dm where i between 1 and 14 group by 1),
+#: The same means as recursive tables, for a WITH RECURSIVE list: lx has the last adx of each symbol, dx the two directions.
+WILDER_SQL = f""", {_DM}, seed as (select symbol, avg(tr) as tr, avg(plus) as plus, avg(minus) as minus from dm where i between 1 and 14 group by 1),
   w as (select s.symbol, 14 as i, (s.tr * 13 + d.tr) / 14 as tr, (s.plus * 13 + d.plus) / 14 as plus, (s.minus * 13 + d.minus) / 14 as minus from seed s join dm d on d.symbol = s.symbol and d.i = 14
     union all select w.symbol, d.i, (w.tr * 13 + d.tr) / 14, (w.plus * 13 + d.plus) / 14, (w.minus * 13 + d.minus) / 14 from w join dm d on d.symbol = w.symbol and d.i = w.i + 1),
   dx as materialized (select symbol, i, case when tr <> 0 then 100 * plus / tr else 0 end as pdi, case when tr <> 0 then 100 * minus / tr else 0 end as mdi, case when plus + minus > 0 and tr <> 0 then 100 * abs(plus - minus) / (plus + minus) else 0 end as d from w),
   ax as (select symbol, 27 as i, avg(d) as adx from dx where i between 14 and 27 group by 1 having count(*) = 14 union all select ax.symbol, d.i, (ax.adx * 13 + d.d) / 14 from ax join dx d on d.symbol = ax.symbol and d.i = ax.i + 1),
-  lx as (select symbol, arg_max(adx, i) as adx, max(i) as i from ax group by 1)
+  lx as (select symbol, arg_max(adx, i) as adx, max(i) as i from ax group by 1)"""
+
+
+@query("adx_wilder", f"""with recursive {{bars}}{WILDER_SQL}
   select lx.symbol, round(adx, 4) as adx, round(pdi, 4) as plus_di, round(mdi, 4) as minus_di, {TREND_OF_ADX} as trend from lx join dx using (symbol, i)""".replace("{bars}", BARS_SQL))
 def adx_wilder(spark, sf_dir):
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        adx, pdi, mdi = wilder_adx(p.sort_values("i")) or (None,) * 3
-        return pd.DataFrame({"symbol": [p.symbol.iloc[0]], "adx": [adx], "pdi": [pdi], "mdi": [mdi]}).astype({"adx": "float64", "pdi": "float64", "mdi": "float64"})
-
-    x = bars(spark, sf_dir).groupBy("symbol").applyInPandas(run, "symbol string, adx double, pdi double, mdi double").where("adx is not null and not isnan(adx)")
+    x = trend_strength(bars(spark, sf_dir))
     return x.select("symbol", F.round("adx", 4).alias("adx"), F.round("pdi", 4).alias("plus_di"), F.round("mdi", 4).alias("minus_di"), F.expr(TREND_OF_ADX).alias("trend"))
 
 
@@ -249,18 +236,11 @@ _EW = """with recursive {bars}{ret}, v0 as (select symbol, var_samp(ret) as v fr
 def ewma_sigma(b: DataFrame) -> DataFrame:
     """symbol, i, ret, sigma: exponentially weighted deviation (0.94), seeded by the variance of the first 60 returns."""
 
-    def run(p: pd.DataFrame) -> dict:
-        ret, var, out = p.ret.tolist(), None, []
-        for k, x in enumerate(ret):
-            if k == 60:
-                var = float(pd.Series(ret[1:61]).var())
-            elif k > 60:
-                var = 0.94 * var + 0.06 * x * x
-            out.append(None if var is None else var**0.5)
-        return {"ret": p.ret, "sigma": pd.Series(out, index=p.index, dtype="float64")}
-
-    x = per_symbol(with_returns(b), run, "ret double, sigma double")
-    return x.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ret", "sigma")})
+    x = with_returns(b)
+    first = F.when(F.col("i").between(1, 60), F.col("ret"))
+    seed = x.groupBy("symbol").agg(F.when(F.count(first) == 60, F.var_samp(first)).alias("_v"))
+    x = exponential(x.join(seed, "symbol").withColumn("_q", F.when(F.col("i") > 60, F.col("ret") * F.col("ret"))), {"_w": ("_q", 0.06, "_v")})
+    return x.select("symbol", "i", "ret", F.sqrt(F.when(F.col("i") == 60, F.col("_v")).when(F.col("i") > 60, F.col("_w"))).alias("sigma"))
 
 
 @query("ewma_vol", _EW.replace("{ret}", RET).replace("{bars}", BARS_SQL) + "select rt.symbol, rt.i, round(sqrt(v), 8) as sigma from rt left join ew using (symbol, i)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import by, clamp, finite, first_passage_sql, last, normal_cdf_sql, r6, std
 from ..plans.registry import query
 from ..sources.bars import bars, table
+from ..sources.shared import kept
 from .alignment import BREADTH
 from .indicators import RET, closing_bars, sql_last, with_returns
 from .plan import LABELS, wave_labels
@@ -42,13 +43,13 @@ oc as materialized (select ox.symbol, kind, signal, i1, h, ret, (ret * signal >
 @query("point_backtest", sql("select symbol, kind, signal::int as signal, h, count(*) as n, round(avg(win), 6) as win, round(avg(ret), 6) + 0.0 as ret from oc group by 1, 2, 3, 4", ALL + OUT))
 def point_backtest(spark, sf_dir):
     """Number, share of wins and mean return of every kind of point, for each symbol and horizon."""
-    return outcomes(bars(spark, sf_dir)).groupBy("symbol", "kind", "signal", "h").agg(F.count("*").alias("n"), F.round(F.avg("win"), 6).alias("win"), (F.round(F.avg("ret"), 6) + F.lit(0.0)).alias("ret"))
+    return outcomes(kept(bars(spark, sf_dir))).groupBy("symbol", "kind", "signal", "h").agg(F.count("*").alias("n"), F.round(F.avg("win"), 6).alias("win"), (F.round(F.avg("ret"), 6) + F.lit(0.0)).alias("ret"))
 
 
 @query("backtest_rollup", sql("select kind, signal::int as signal, h, sum(n)::bigint as n, round(sum(win * n) / sum(n), 6) as win, round(sum(ret * n) / sum(n), 6) + 0.0 as ret from (select symbol, kind, signal, h, count(*) as n, avg(win) as win, avg(ret) as ret from oc group by 1, 2, 3, 4) group by 1, 2, 3", ALL + OUT))
 def backtest_rollup(spark, sf_dir):
     """The same over all symbols, weighed by the number of points."""
-    x = outcomes(bars(spark, sf_dir)).groupBy("symbol", "kind", "signal", "h").agg(F.count("*").alias("n"), F.avg("win").alias("win"), F.avg("ret").alias("ret"))
+    x = outcomes(kept(bars(spark, sf_dir))).groupBy("symbol", "kind", "signal", "h").agg(F.count("*").alias("n"), F.avg("win").alias("win"), F.avg("ret").alias("ret"))
     w = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     return x.groupBy("kind", "signal", "h").agg(F.sum("n").alias("n"), F.round(w("win"), 6).alias("win"), (F.round(w("ret"), 6) + F.lit(0.0)).alias("ret"))
 
@@ -87,7 +88,7 @@ def robustness_verdict(spark, sf_dir):
 @query("win_rate_interval", sql("select kind, signal::int as signal, h, count(*) as n, round(greatest(0, avg(win) - 1.96 * sqrt(avg(win) * (1 - avg(win)) / count(*))), 6) as lo, round(least(1, avg(win) + 1.96 * sqrt(avg(win) * (1 - avg(win)) / count(*))), 6) as hi from oc group by 1, 2, 3", ALL + OUT))
 def win_rate_interval(spark, sf_dir):
     """95 percent interval of the share of wins."""
-    x = outcomes(bars(spark, sf_dir)).groupBy("kind", "signal", "h").agg(F.count("*").alias("n"), F.avg("win").alias("p"))
+    x = outcomes(kept(bars(spark, sf_dir))).groupBy("kind", "signal", "h").agg(F.count("*").alias("n"), F.avg("win").alias("p"))
     half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
     return x.select("kind", "signal", "h", "n", F.round(F.greatest(F.lit(0.0), F.col("p") - half), 6).alias("lo"), F.round(F.least(F.lit(1.0), F.col("p") + half), 6).alias("hi"))
 
@@ -95,7 +96,7 @@ def win_rate_interval(spark, sf_dir):
 @query("overall_kpis", sql("select count(*) as symbols, round(avg(strokes), 4) as strokes, round(avg(zones), 4) as zones, round(avg(polarity), 4) + 0.0 as polarity, round(avg((trend = 'up')::int), 4) as rising from sc", scenario_sql()))
 def overall_kpis(spark, sf_dir):
     """Means over all symbols."""
-    x = scenarios(bars(spark, sf_dir))
+    x = scenarios(kept(bars(spark, sf_dir)))
     return x.agg(F.count("*").alias("symbols"), F.round(F.avg("strokes"), 4).alias("strokes"), F.round(F.avg("zones"), 4).alias("zones"), (F.round(F.avg("polarity"), 4) + F.lit(0.0)).alias("polarity"), F.round(F.avg((F.col("trend") == "up").cast("int")), 4).alias("rising"))
 
 

@@ -11,15 +11,16 @@ analysis is one job over all of them. The tables are small: a symbol has one str
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recursions import fold
 from ..plans.registry import BARS_SQL, query
 from ..sources.bars import bars, friday, resample
 from ..sources.shared import kept
-from .indicators import macd_of, per_symbol, sql_ema
+from .indicators import WILDER_SQL, macd_columns, sql_ema, trend_strength
 
 # The least height of a stroke in daily, weekly and monthly bars, of a leg, and the divergence's share of area.
 DAY, WEEK, MONTH = 0.018, 0.04, 0.08
@@ -29,20 +30,6 @@ STRICT = {"least": -1.0, "gap": 3}
 
 
 # ----------------------------------------------------------------------------------------------------- recursions
-def fold(rows: DataFrame, state, order: str, columns: str) -> DataFrame:
-    """(symbol, no, columns) of the rows that a new state per symbol gives back, in order."""
-    names = ["symbol", "no", *[c.split()[0] for c in columns.split(", ")]]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        one, out = state(), []
-        for row in p.sort_values(order).itertuples(index=False):
-            out += one.take(row)
-        out += one.rest()
-        return pd.DataFrame([(p["symbol"].iloc[0], n, *x) for n, x in enumerate(out)], columns=names)
-
-    return rows.groupBy("symbol").applyInPandas(run, f"symbol string, no int, {columns}")
-
-
 class Merging:
     """Joins a bar to the open one if one holds the other: their upper edges in a rise, their lower ones otherwise. A rise
     is an open bar that is higher than the bar before it; the first bar has none before it and stays alone."""
@@ -198,7 +185,7 @@ def no() -> Window:
 def spans(s: DataFrame, b: DataFrame) -> DataFrame:
     """Adds area (of the momentum histogram, on the side of dir) and traded (volume) over the bars i0 to i1: differences of
     running sums, joined by bar."""
-    h = per_symbol(b, lambda p: {"hist": macd_of(p)["hist"], "volume": p.volume}, "hist double, volume double")
+    h = (b if "hist" in b.columns else macd_columns(b)).select("symbol", "i", "hist", "volume")
     upto = Window.partitionBy("symbol").orderBy("i")
     h = h.withColumns({"up": F.greatest("hist", F.lit(0.0)), "down": F.greatest(-F.col("hist"), F.lit(0.0))})
     run = h.select("symbol", "i", *[F.sum(x).over(upto).alias(x) for x in ("up", "down", "volume")], *[(F.sum(x).over(upto) - F.col(x)).alias(f"{x}0") for x in ("up", "down", "volume")])
@@ -209,6 +196,11 @@ def spans(s: DataFrame, b: DataFrame) -> DataFrame:
     return kept(x.select(*s.columns, F.round(area, 6).alias("area"), (F.col("volume") - F.col("volume0")).alias("traded")))
 
 
+def momentum(b: DataFrame) -> DataFrame:
+    """Bars with their momentum, kept: what several steps of an analysis read."""
+    return kept(b if "hist" in b.columns else macd_columns(b))
+
+
 def completed(s: DataFrame) -> DataFrame:
     """All strokes but the last, which may still grow; a single one counts."""
     w = Window.partitionBy("symbol")
@@ -247,7 +239,8 @@ def points(s: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
     second = second.groupBy("symbol", "no", "dir").agg(F.min_by(F.struct("later", "lp"), "later").alias("x")).select("symbol", "x.later", F.lit(2), -F.col("dir"), "x.lp", "no")
     back = F.expr("lstart > end and ((ldir = -1 and lp0 > zg and lp > zd) or (ldir = 1 and lp0 < zd and lp < zg))")
     third = z.join(later, (F.col("symbol") == F.col("ls")) & back).groupBy("symbol", "no").agg(F.min_by(F.struct("later", "lp", "ldir"), "later").alias("x"))
-    return first.union(second).union(third.select("symbol", "x.later", F.lit(3), -F.col("x.ldir"), "x.lp", "no"))
+    # kept: joined as it is, the union would be read by partitions that adaptive execution has changed
+    return kept(first.union(second).union(third.select("symbol", "x.later", F.lit(3), -F.col("x.ldir"), "x.lp", "no")))
 
 
 def plans(p: DataFrame, s: DataFrame, z: DataFrame, b: DataFrame) -> DataFrame:
@@ -270,7 +263,7 @@ STOP = """case when signal = 1 then least(case when kind = 3 and zd is not null
 TARGET = """case when signal = 1 then greatest(price * 1.06e0, coalesce(hi, price), coalesce(case when zg <= price * 1.2e0 then zg end, 0e0), coalesce(zg + (zg - zd) * 0.618e0 * 0.9e0, 0e0))
   else least(price * 0.94e0, coalesce(lo, price), coalesce(case when zd >= price * 0.8e0 then zd end, 1e300), coalesce(zd - (zg - zd) * 0.618e0 * 0.9e0, 1e300)) end"""
 CAPPED = "case when signal = 1 then least(target0, price + abs(price - stop) * 6e0) else greatest(target0, price - abs(price - stop) * 6e0) end"
-RR = "case when abs(price - stop) > 0 and abs(target - price) > 0 then round(abs(target - price) / abs(price - stop), 4) end"
+RR = "case when abs(price - stop) > 0 and abs(target - price) > 0 then round(abs(target - price) / abs(price - stop), 2) end"
 QUALITY = "case when rr is null then 'none' when rr >= 2.5e0 then 'best' when rr >= 1.5e0 then 'good' when rr >= 1e0 then 'fair' else 'poor' end"
 
 # The scenario by the last stroke, its place against the last zone, and divergences of the last three strokes.
@@ -286,12 +279,28 @@ TREND = """case when zones < 3 then 'sideways' when slope / level > 0.008e0 and
   when slope / level < -0.008e0 and scenario not in ('rising', 'pause below the high', 'bottoming divergence') then 'down' else 'mixed' end"""
 
 
-def scenarios(b: DataFrame, least: float = DAY) -> DataFrame:
+class Structure(NamedTuple):
+    """What the readings of a table of bars have in common, each built once."""
+
+    bars: DataFrame
+    strokes: DataFrame
+    zones: DataFrame
+    legs: DataFrame
+    divergences: DataFrame
+
+
+def structure(b: DataFrame, least: float = DAY) -> Structure:
+    """Bars with momentum, strokes and legs with their spans, zones, divergences; b is read once."""
+    b = momentum(b)
+    s = spans(strokes(b, least), b)
+    z = zones(s)
+    return Structure(b, s, z, spans(segments(s), b), divergences(s, z))
+
+
+def scenarios(b: DataFrame, least: float = DAY, of: Structure | None = None) -> DataFrame:
     """One row per symbol: the last stroke, the last zone, recent divergences, the scenario, the kind of trend, and what the
     scores need."""
-    s = spans(strokes(b, least), b)
-    z, g = zones(s), spans(segments(s), b)
-    d = divergences(s, z)
+    b, s, z, g, d = of or structure(b, least)
     n = s.groupBy("symbol").agg(F.count("*").alias("strokes"), F.max_by("dir", "no").alias("dir"), F.max_by(F.col("p1") / F.col("p0") - 1, "no").alias("pct"), F.max_by(F.col("i1") - F.col("i0") + 1, "no").alias("bars"))
     recent = d.join(n.select("symbol", "strokes"), "symbol").where("no >= strokes - 3").groupBy("symbol").agg(F.count_if(F.col("type") == "top").alias("tops"), F.count_if(F.col("type") == "bottom").alias("bottoms"), F.count_if(F.col("vol_confirm")).alias("confirmed"))
     legs = waning(g, ("high", "low")).groupBy("symbol").agg(F.count_if(F.col("type") == "top").alias("leg_tops"), F.count_if(F.col("type") == "bottom").alias("leg_bottoms"))
@@ -423,7 +432,7 @@ def fractals_query(spark, sf_dir):
 
 @query("strokes", sql("select symbol, no, start, \"end\", dir::int as dir, p0, p1, high, low, i0, i1, round(area, 4) + 0.0 as area from sa", ALL))
 def strokes_query(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     return spans(strokes(b), b).drop("traded").withColumn("area", F.round("area", 4) + F.lit(0.0))
 
 
@@ -444,7 +453,7 @@ def segments_query(spark, sf_dir):
 
 @query("stroke_divergence", sql("select symbol, no, type, round(area_ratio, 4) as area_ratio from dv", ALL))
 def stroke_divergence(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     return divergences(s, zones(s)).select("symbol", "no", "type", F.round("area_ratio", 4).alias("area_ratio"))
 
@@ -452,14 +461,14 @@ def stroke_divergence(spark, sf_dir):
 @query("divergence_class", sql("select symbol, no, type, zones, case when zones >= 2 then 'trend' when zones = 1 then 'range' else 'none' end as class from dv", ALL))
 def divergence_class(spark, sf_dir):
     """Trend divergence after two or more zones that ended before the stroke, one of the range after one."""
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     return divergences(s, zones(s)).select("symbol", "no", "type", "zones", "class")
 
 
 @query("divergence_volume", sql("select symbol, no, vol_ratio, vol_confirm from dv", ALL))
 def divergence_volume(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     return divergences(s, zones(s)).select("symbol", "no", "vol_ratio", "vol_confirm")
 
@@ -467,13 +476,13 @@ def divergence_volume(spark, sf_dir):
 @query("segment_divergence", sql("select symbol, no, type, round(area_ratio, 4) as area_ratio from gw", ALL))
 def segment_divergence(spark, sf_dir):
     """Legs that go further than the one two before on less momentum."""
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     return waning(spans(segments(strokes(b)), b), ("high", "low")).select("symbol", "no", "type", F.round("area_ratio", 4).alias("area_ratio"))
 
 
 @query("stroke_signals", sql("select symbol, no, kind, signal::int as signal, price, anchor::int as anchor from pt", ALL + POINTS))
 def stroke_signals(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     z = zones(s)
     return points(s, z, divergences(s, z))
@@ -482,7 +491,7 @@ def stroke_signals(spark, sf_dir):
 @query("signal_plans", sql(f"select symbol, no, kind, signal::int as signal, price, anchor::int as anchor, round(stop, 4) as stop, round(target, 4) as target, rr, {QUALITY} as quality from pl", ALL + PLANS))
 def signal_plans(spark, sf_dir):
     """Stop, target, reward to risk and quality of every buy and sell point."""
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     z = zones(s)
     return plans(points(s, z, divergences(s, z)), s, z, b).withColumns({"stop": F.round("stop", 4), "target": F.round("target", 4)})
@@ -503,9 +512,10 @@ NESTING = """case when bottoms > 0 and w = -1 then 'bottom within a falling week
   when tops > 0 and w = -1 then 'top of a rebound in a falling week' else 'none' end"""
 
 
-def frames(b: DataFrame) -> DataFrame:
+def frames(b: DataFrame, of: Structure | None = None) -> DataFrame:
     """Daily scenario with those of weeks and months: directions d, w, m, how they agree, the months' polarity."""
-    day = scenarios(b)
+    of = of or structure(b)
+    b, day = of.bars, scenarios(b, of=of)
     week = scenarios(weeks(b), WEEK).select("symbol", F.col("dir").alias("w"), F.col("scenario").alias("week_scenario"), F.col("polarity").alias("week_polarity"))
     month = scenarios(months(b), MONTH).select("symbol", F.col("dir").alias("m"), F.col("scenario").alias("month_scenario"), F.col("polarity").alias("month_polarity"))
     x = day.withColumn("d", F.col("dir")).join(week, "symbol").join(month, "symbol")
@@ -546,7 +556,7 @@ def adaptive_horizon(spark, sf_dir):
 @query("method_agreement", sql("select a.symbol, count(*) as n, count(*) filter (near) as agree, round(count(*) filter (near) / count(*)::double, 6) as rate from (select s.symbol, exists (select 1 from xsk x join bars c on c.symbol = x.symbol and c.i = x.i1 where x.symbol = s.symbol and abs(datediff('day', c.date, b.date)) <= 2) as near from sk s join bars b on b.symbol = s.symbol and b.i = s.i1) a group by 1", structure_sql() + structure_sql(p="x", least=-1.0, gap=3)))
 def method_agreement(spark, sf_dir):
     """Share of stroke ends that the strict method has within two days: its dates are spread by two days and joined by day."""
-    b = bars(spark, sf_dir)
+    b = kept(bars(spark, sf_dir))
     day = b.select("symbol", F.col("i").alias("i1"), "date")
     a = strokes(b).join(day, ["symbol", "i1"]).select("symbol", "no", "date")
     c = strokes(b, **STRICT).join(day, ["symbol", "i1"]).select("symbol", F.explode(F.sequence(F.date_sub("date", 2), F.date_add("date", 2))).alias("date")).distinct().withColumn("hit", F.lit(1))
@@ -557,7 +567,7 @@ def method_agreement(spark, sf_dir):
   structure_sql() + """, kp as (select symbol, year(date) as y, arg_max(date, (high, -i)) as date, 1 as dir from bars group by 1, 2 union all select symbol, year(date), arg_min(date, (low, i)), -1 from bars group by 1, 2)"""))
 def known_pivots(spark, sf_dir):
     """Labelled turning points (here each year's high and low) with a stroke of their direction ending within twelve days."""
-    b = bars(spark, sf_dir)
+    b = kept(bars(spark, sf_dir))
     known = lambda agg, x, d: b.groupBy("symbol", F.year("date").alias("y")).agg(agg("date", x).alias("date")).select("symbol", "y", "date", F.lit(d).alias("dir"))
     k = known(F.max_by, F.struct("high", -F.col("i")), 1).union(known(F.min_by, F.struct("low", "i"), -1))
     return captured(k, strokes(b), b)
@@ -569,7 +579,7 @@ def captured(known: DataFrame, s: DataFrame, b: DataFrame, days: int = 12) -> Da
 
 
 STABLE = """case when polarity_moves > 0 then 'to be confirmed' when bars < 12 then 'borderline' else 'firm' end"""
-_CUTS = ", cb as (select symbol || '#' || k as symbol, b.i, high, low, close, volume from bars b join (select symbol as s, max(i) as n from bars group by 1) on s = b.symbol, (select unnest([0, 1, 2, 3]) as k) where b.i <= n - k)"
+_CUTS = ", cb as (select symbol || '#' || k as symbol, b.i, high, low, close, volume from bars b join (select symbol as s, max(i) as n from bars group by 1) on s = b.symbol, (select unnest([0, 1, 2, 3]) as k) where b.i <= n - k and (k = 0 or n + 1 > k + 30))"
 
 
 @query("classification_stability", sql(f"""select symbol, bars::int as bars, moves > 0 as moved, case when bars >= 12 then 'established' else 'young' end as maturity, {STABLE} as level from (
@@ -577,10 +587,10 @@ _CUTS = ", cb as (select symbol || '#' || k as symbol, b.i, high, low, close, vo
   from st4 b join st4 c on c.symbol = b.symbol and c.k > 0 where b.k = 0 group by 1, 2, b.polarity, b.side)""", _CUTS + scenario_sql("cb", "c") + """, st4 as (select split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2)::int as k, coalesce(bars, 1) as bars, polarity, case trend when 'up' then 1 when 'down' then -1 else 0 end as side from csc)"""))
 def classification_stability(spark, sf_dir):
     """The scenario again without the last one, two and three bars (fewer than the last stroke has): each cut is a symbol of
-    its own. A last stroke under twelve bars is young; strokes alternate, so no run of them has one direction."""
-    b = bars(spark, sf_dir)
+    its own, made where more than 30 bars are left. A last stroke under twelve bars is young; strokes alternate, so no run of them has one direction."""
+    b = momentum(bars(spark, sf_dir))
     n = b.groupBy("symbol").agg(F.max("i").alias("n"))
-    cut = b.join(n, "symbol").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).where("i <= n - k").withColumn("symbol", F.concat_ws("#", "symbol", "k"))
+    cut = b.join(n, "symbol").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).where("i <= n - k and (k = 0 or n + 1 > k + 30)").withColumn("symbol", F.concat_ws("#", "symbol", "k"))
     x = scenarios(cut.drop("n", "k")).select(F.split("symbol", "#")[0].alias("symbol"), F.split("symbol", "#")[1].cast("int").alias("k"), F.coalesce("bars", F.lit(1)).alias("bars"), "polarity", F.expr("case trend when 'up' then 1 when 'down' then -1 else 0 end").alias("side"))
     base = x.where("k = 0").select("symbol", "bars", F.col("polarity").alias("polarity0"), F.col("side").alias("side0"))
     c = x.where("k > 0").drop("bars").join(base, "symbol").groupBy("symbol", "bars").agg(F.count_if(F.expr("k < bars and polarity <> polarity0")).alias("polarity_moves"), F.count_if(F.expr("k < bars and (polarity <> polarity0 or side <> side0)")).alias("moves"))
@@ -607,21 +617,21 @@ def wins(p: DataFrame, s: DataFrame, b: DataFrame, h: int = 20) -> DataFrame:
     return x.groupBy("symbol").agg(F.coalesce(part(1), part(-1)).alias("win"))
 
 
-@query("forecast_confidence", sql(f"select symbol, {CONFIDENCE}::int as confidence from fc", FRAMES + scenario_sql() + scenario_sql("wk", "w", WEEK) + POINTS + """, wn as (select symbol, coalesce(case when count(*) filter (signal = 1) >= 3 then avg((ret > 0)::int) filter (signal = 1) end, case when count(*) filter (signal = -1) >= 3 then avg((ret < 0)::int) filter (signal = -1) end) as win
+@query("forecast_confidence", sql(f"select symbol, {CONFIDENCE}::int as confidence from fc", FRAMES + scenario_sql() + scenario_sql("wk", "w", WEEK) + POINTS + WILDER_SQL + """, wn as (select symbol, coalesce(case when count(*) filter (signal = 1) >= 3 then avg((ret > 0)::int) filter (signal = 1) end, case when count(*) filter (signal = -1) >= 3 then avg((ret < 0)::int) filter (signal = -1) end) as win
   from (select p.symbol, p.signal, r.ret from pt p join dn s on s.symbol = p.symbol and s.no = p.no join (select symbol, i, lead(close, 20) over (partition by symbol order by i) / close - 1 as ret from bars) r on r.symbol = p.symbol and r.i = s.i1 where p.kind = 1 and ret is not null) group by 1),
 ma as (select symbol, arg_max(al, i) as alignment from (select symbol, i, case when count(close) over (partition by symbol order by i rows between 249 preceding and current row) = 250 then case when close > a and a > b and b > c and c > d then 'bull' when close < a and a < b and b < c and c < d then 'bear' else 'mixed' end end as al
   from (select symbol, i, close, avg(close) over (partition by symbol order by i rows between 19 preceding and current row) as a, avg(close) over (partition by symbol order by i rows between 59 preceding and current row) as b, avg(close) over (partition by symbol order by i rows between 119 preceding and current row) as c, avg(close) over (partition by symbol order by i rows between 249 preceding and current row) as d from bars)) group by 1),
-fc as (select sc.*, sc.dir as d, wsc.dir as w, win, alignment, null::double as adx from sc join wsc using (symbol) left join wn using (symbol) left join ma using (symbol))"""))
+fc as (select sc.*, sc.dir as d, wsc.dir as w, win, alignment, lx.adx from sc join wsc using (symbol) left join wn using (symbol) left join ma using (symbol) left join lx on lx.symbol = sc.symbol)"""))
 def forecast_confidence(spark, sf_dir):
-    """The confidence without the trend's strength (adx null), which `adx_wilder` gives."""
-    b = bars(spark, sf_dir)
-    s = spans(strokes(b), b)
-    z = zones(s)
+    """The confidence, with the trend's strength as `adx_wilder` gives it."""
+    of = structure(bars(spark, sf_dir))
+    b = of.bars
     w = lambda n: F.avg("close").over(Window.partitionBy("symbol").orderBy("i").rowsBetween(-(n - 1), 0))
     m = b.select("symbol", "i", "close", *[w(n).alias(f"m{n}") for n in (20, 60, 120, 250)])
     order = F.expr("case when i >= 249 then case when close > m20 and m20 > m60 and m60 > m120 and m120 > m250 then 'bull' when close < m20 and m20 < m60 and m60 < m120 and m120 < m250 then 'bear' else 'mixed' end end")
     m = m.groupBy("symbol").agg(F.max_by(order, "i").alias("alignment"))
-    x = frames(b).join(wins(points(s, z, divergences(s, z)), s, b), "symbol", "left").join(m, "symbol", "left").withColumn("adx", F.lit(None).cast("double"))
+    strength = trend_strength(b).select("symbol", "adx")
+    x = frames(b, of).join(wins(points(of.strokes, of.zones, of.divergences), of.strokes, b), "symbol", "left").join(m, "symbol", "left").join(strength, "symbol", "left")
     return x.selectExpr("symbol", f"cast({CONFIDENCE} as int) as confidence")
 
 
@@ -630,12 +640,12 @@ def forecast_confidence(spark, sf_dir):
 def structure_summary(spark, sf_dir):
     """The whole analysis of each symbol in one row."""
     b = bars(spark, sf_dir)
-    s = spans(strokes(b), b)
-    z, g = zones(s), spans(segments(s), b)
-    d = divergences(s, z)
+    of = structure(b)
+    of = of._replace(divergences=kept(of.divergences))
+    b, s, z, g, d = of
     count = lambda f, c: f.groupBy("symbol").agg(F.count("*").alias(c))
     kinds = points(s, z, d).groupBy("symbol").agg(*[F.count_if(F.col("kind") == k).alias(f"kind{k}") for k in (1, 2, 3)])
-    x = scenarios(b).select("symbol", "strokes", "zones", "scenario", "trend")
+    x = scenarios(b, of=of).select("symbol", "strokes", "zones", "scenario", "trend")
     for f in (count(g, "legs"), count(d, "divergences"), count(waning(g, ("high", "low")), "leg_divergences"), kinds):
         x = x.join(f, "symbol", "left")
     return x.fillna(0).select("symbol", "strokes", "zones", "legs", "divergences", "leg_divergences", "kind1", "kind2", "kind3", "scenario", "trend")
@@ -687,7 +697,7 @@ def recent_zones(spark, sf_dir):
   case when g.dir = 1 then arg_max(b.i, (b.high, -b.i)) else arg_min(b.i, (b.low, b.i)) end as spot, case when g.dir = 1 then max(b.high) else min(b.low) end as pv from sg g join bars b on b.symbol = g.symbol and b.i between g.i0 and g.i1 group by g.symbol, g.no, g.dir, g.i1, g.high, g.low)"""))
 def segment_extremes(spark, sf_dir):
     """Bar and price of the far end of each of the last 14 legs; the leg's last bar where no bar has that price."""
-    b = bars(spark, sf_dir)
+    b = kept(bars(spark, sf_dir))
     g = segments(strokes(b)).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("no")))).where("k <= 14")
     inside = b.select(F.col("symbol").alias("bs"), "i", F.col("high").alias("bh"), F.col("low").alias("bl"))
     x = g.join(inside, (F.col("symbol") == F.col("bs")) & F.col("i").between(F.col("i0"), F.col("i1"))).groupBy("symbol", "no", "dir", "high", "low", "i1").agg(F.max_by("i", F.struct("bh", -F.col("i"))).alias("hi_at"), F.min_by("i", F.struct("bl", "i")).alias("lo_at"), F.max("bh").alias("hi"), F.min("bl").alias("lo"))
@@ -716,7 +726,7 @@ ts as (select symbol, o, i1, kind, signal, true as keep, case when signal = 1 th
   union all select t.symbol, t.o, t.i1, t.kind, t.signal, t.i1 - case when t.signal = 1 then ts.up else ts.dn end >= 55, case when t.signal = 1 and t.i1 - ts.up >= 55 then t.i1 else ts.up end, case when t.signal = -1 and t.i1 - ts.dn >= 55 then t.i1 else ts.dn end from ts join to0 t on t.symbol = ts.symbol and t.o = ts.o + 1)"""))
 def thinned_signals(spark, sf_dir):
     """Buy and sell points of the last 500 bars, those of one direction at least 55 bars apart."""
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     s = spans(strokes(b), b)
     z = zones(s)
     n = b.groupBy("symbol").agg((F.max("i") + 1).alias("n"))
@@ -737,7 +747,7 @@ def quarter_flags(spark, sf_dir):
 def nearest_bar(spark, sf_dir):
     """The bar nearest to an event's day (here the 15th of each month), the earlier of two: the last bar up to it and the
     first one after it, by one sorted union, without a range join."""
-    b = bars(spark, sf_dir)
+    b = momentum(bars(spark, sf_dir))
     e = b.select("symbol", F.date_add(F.trunc("date", "month"), 14).alias("day")).distinct()
     every = b.select("symbol", F.col("date").alias("t"), "i", F.lit(None).cast("date").alias("day")).union(e.select("symbol", "day", F.lit(None).cast("int"), "day"))
     w = Window.partitionBy("symbol").orderBy("t", F.col("day").asc_nulls_first())
@@ -782,7 +792,7 @@ def path_samples(b: DataFrame, horizon: int = 60, step: int = 20, first: int = 2
 def path_hit_rates(spark, sf_dir):
     """Weighted counts of the paths taken, by scenario, by direction, and in all. SQL would need the recursion once per bar;
     the test holds it against analyses of cut series one by one."""
-    x = path_samples(bars(spark, sf_dir))
+    x = path_samples(momentum(bars(spark, sf_dir)))
     part = lambda h: F.round(F.sum(F.when(F.col("hit") == h, F.col("weight")).otherwise(0.0)), 6).alias(h)
     return x.groupingSets([["symbol", "scenario"], ["symbol", "main_dir"], ["symbol"]], "symbol", "scenario", "main_dir").agg(F.count("*").alias("samples"), F.round(F.sum("weight"), 6).alias("n"), part("main"), part("alt"), part("risk"))
 
@@ -794,5 +804,5 @@ VERDICT = "case when n < 3 then 'few samples' when stated - 100 * main / n > 8 t
 @query("path_verdict")
 def path_verdict(spark, sf_dir):
     """Stated chance of the main path (here 55 percent) against its history, eight points either way."""
-    x = path_samples(bars(spark, sf_dir)).groupBy("main_dir").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("hit") == "main", F.col("weight")).otherwise(0.0)).alias("main")).withColumn("stated", F.lit(55.0))
+    x = path_samples(momentum(bars(spark, sf_dir))).groupBy("main_dir").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("hit") == "main", F.col("weight")).otherwise(0.0)).alias("main")).withColumn("stated", F.lit(55.0))
     return x.selectExpr("main_dir", "round(n, 4) as n", "round(100 * main / n, 4) as realized", f"{VERDICT} as verdict")

@@ -1,7 +1,7 @@
 """Pivots, waves and pattern signals.
 
-Zigzag and strokes are true folds (each step depends on the state), so they run per symbol in one pass of Python over that
-symbol's bars; everything that follows works on the small pno tables with windows and joins."""
+Zigzag and strokes are true folds (each step depends on the state): the sorted bars of a symbol pass through a small
+state; everything that follows works on the small pno tables with windows and joins."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by
+from ..functions.recursions import exponential, fold
 from ..plans.registry import query
 from ..sources.bars import bars
 from .alignment import business_days
-from .indicators import ICHIMOKU_SQL, _adx_sql, adx_of, ema, ichimoku, per_symbol, rsi_of, sql_ema, sql_last
+from .indicators import ICHIMOKU_SQL, _adx_sql, adx_columns, ichimoku, rsi_columns, sql_ema, sql_last
 
 P = "partition by symbol order by i"
 PCT = 0.03
@@ -52,26 +53,30 @@ class Zigzag:
         return (*self.extreme, "H" if self.trend > 0 else "L") if self.trend else None
 
 
-def zigzag_rows(rows: Iterable[tuple[int, float, float]], pct: float) -> list[tuple]:
-    rows = iter(rows)
-    first = next(rows, None)
-    if first is None:
-        return []
-    z = Zigzag(pct, *first)
-    out = [(*p, False) for p in (z.step(*x) for x in rows) if p]
-    return out + ([(*z.pending(), True)] if z.pending() else [])
+def zigzag_state(pct: float):
+    """The zigzag for `fold`: it gives back confirmed pivots, and the pending one at the end."""
 
+    class State:
+        z: Zigzag | None = None
 
-def zigzag(b: DataFrame, pct: float = PCT) -> DataFrame:
-    """symbol, pno, i, date, price, type, unconfirmed."""
+        def take(self, b) -> list[tuple]:
+            if self.z is None:
+                self.z = Zigzag(pct, b.i, b.high, b.low)
+                return []
+            p = self.z.step(b.i, b.high, b.low)
+            return [(p[1], p[0], p[2], False)] if p else []
+
+        def rest(self) -> list[tuple]:
+            p = self.z.pending()
+            return [(p[1], p[0], p[2], True)] if p else []
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        z = zigzag_rows(zip(p.i.tolist(), p.high.tolist(), p.low.tolist()), pct)
-        return pd.DataFrame({"symbol": p.symbol.iloc[0], "pno": range(len(z)), "i": [x[1] for x in z], "price": [x[0] for x in z], "type": [x[2] for x in z], "unconfirmed": [x[3] for x in z]})
+    return State
 
-    z = b.groupBy("symbol").applyInPandas(run, "symbol string, pno int, i int, price double, type string, unconfirmed boolean")
-    return z.join(b.select("symbol", "i", "date"), ["symbol", "i"])
+
+def zigzag(b: DataFrame, pct: float = PCT) -> DataFrame:
+    """symbol, pno, i, date, price, type, unconfirmed."""
+    z = fold(b.select("symbol", "i", "high", "low"), zigzag_state(pct), "i", "i int, price double, type string, unconfirmed boolean")
+    return z.withColumnRenamed("no", "pno").join(b.select("symbol", "i", "date"), ["symbol", "i"])
 
 
 ZIGZAG_SQL = f"""with recursive {{bars}}, z as (
@@ -390,16 +395,14 @@ vv as (select vx.symbol, vx.i, coalesce(((vf.v > vs.v and coalesce(adx, 0) > 25)
 @query("sig_indicator_vote", _VOTE + " select symbol, i, case when buy then 1 when sell then -1 else 0 end as signal from vv", bars=True)
 def sig_indicator_vote(spark, sf_dir):
     """Trend (crossing means with directional strength) or reversal (band and RSI), confirmed by volume flow."""
+    x = rsi_columns(adx_columns(exponential(bars(spark, sf_dir), {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)})))
+    w = by().rowsBetween(-19, 0)
+    x = x.withColumns({"n": F.count("*").over(w), "m": F.avg("close").over(w), "s": F.stddev_samp("close").over(w), "before": F.lag("close").over(by())})
+    x = x.withColumn("flow", F.sum(F.col("volume") * F.coalesce(F.signum(F.col("close") - F.col("before")), F.lit(0.0))).over(by())).withColumn("mean", F.avg("flow").over(w))
+    return x.selectExpr("symbol", "i", f"case when n = 20 and ({_BUY}) then 1 when n = 20 and ({_SELL}) then -1 else 0 end as signal")
 
-    def run(p: pd.DataFrame) -> dict:
-        m, s = p.close.rolling(20).mean(), p.close.rolling(20).std()
-        flow = (p.volume * p.close.diff().apply(lambda x: (x > 0) - (x < 0)).fillna(0)).cumsum()
-        rsi, adx, fast, slow, mean = rsi_of(p.close), adx_of(p)["adx"], ema(p.close, 12), ema(p.close, 26), flow.rolling(20).mean()
-        buy = (((fast > slow) & (adx > 25)) | ((p.close < m - 2 * s) & (rsi < 30))) & (flow > mean) & ~(rsi > 70)
-        sell = (((fast < slow) & (adx > 25)) | ((p.close > m + 2 * s) & (rsi > 70))) & (flow < mean) & ~(rsi < 30)
-        return {"signal": buy.astype(int) - (sell & ~buy).astype(int)}
 
-    return per_symbol(bars(spark, sf_dir), run, "signal int")
+_BUY, _SELL = (f"((fast {a} slow and coalesce(adx, 0) > 25) or coalesce(close {a2} and rsi {r}, false)) and flow {a} mean and not coalesce(rsi {no}, false)" for a, a2, r, no in ((">", "< m - 2 * s", "< 30", "> 70"), ("<", "> m + 2 * s", "> 70", "< 30")))
 
 
 @query("top_divergence", f""", hl as (select symbol, i, high, volume, max(i) over (partition by symbol) as mi, max(high) over ({P} rows between 5 preceding and 5 following) as m, count(*) over ({P} rows between 5 preceding and 5 following) as n from bars),

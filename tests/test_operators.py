@@ -2,15 +2,15 @@
 
 import math
 import random
+from types import SimpleNamespace
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barwright.functions.columns import by, first_passage_sql, normal_cdf_sql
 from barwright.operators import binding, candles, probability, strokes, waves
 from barwright.operators.alignment import business_days, repair_volume
-from barwright.operators.indicators import wilder_adx
+from barwright.operators.indicators import trend_strength
 from barwright.sources import ingest
 
 
@@ -29,15 +29,22 @@ def test_windows_refuse_an_empty_key():
         by(())
 
 
+def zigzag_rows(rows, pct):
+    """(price, bar, type, pending) of the state over plain rows (bar, high, low)."""
+    z = waves.zigzag_state(pct)()
+    found = [x for i, high, low in rows for x in z.take(SimpleNamespace(i=i, high=high, low=low))]
+    return [(price, i, kind, pending) for i, price, kind, pending in found + (z.rest() if rows else [])]
+
+
 def test_zigzag_alternates_and_moves_enough():
     rng, p, rows = random.Random(3), 100.0, []
     for i in range(500):
         p *= math.exp(rng.gauss(0, 0.02))
         rows.append((i, p * 1.005, p * 0.995))
-    z = waves.zigzag_rows(rows, 0.08)
+    z = zigzag_rows(rows, 0.08)
     assert len(z) > 5 and all(a[2] != b[2] for a, b in zip(z, z[1:]))
     assert all(abs(b[0] / a[0] - 1) >= 0.07 for a, b in zip(z[:-2], z[1:-1]))
-    assert waves.zigzag_rows([], 0.1) == [] and waves.zigzag_rows(rows[:1], 0.1) == []
+    assert zigzag_rows([], 0.1) == [] and zigzag_rows(rows[:1], 0.1) == []
 
 
 def test_streaming_zigzag_equals_batch(spark, tmp_path):
@@ -55,7 +62,7 @@ def test_streaming_zigzag_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = sorted((r.symbol, r.i, r.price, r.type) for r in spark.table("zz").collect())
-    want = sorted((s, i, price, kind) for s in "ab" for price, i, kind, pending in waves.zigzag_rows([x[1:] for x in rows if x[0] == s], 0.05) if not pending)
+    want = sorted((s, i, price, kind) for s in "ab" for price, i, kind, pending in zigzag_rows([x[1:] for x in rows if x[0] == s], 0.05) if not pending)
     assert got == want
 
 
@@ -154,10 +161,10 @@ def test_rates_by_powers_of_two_equal_plain_windows(spark, sf):
             assert hi == max(h for h, _ in rows[i + 1 : i + 1 + n])
 
 
-def test_wilder_adx_needs_bars():
-    up = pd.DataFrame({"high": range(2, 62), "low": range(1, 61), "close": [x + 0.5 for x in range(1, 61)]}).astype(float)
-    adx, plus, minus = wilder_adx(up)
-    assert adx > 90 and plus > minus and wilder_adx(up.head(20)) is None
+def test_wilder_adx_needs_bars(spark):
+    rows = [("long", i, i + 2.0, i + 1.0, i + 1.5) for i in range(60)] + [("short", i, i + 2.0, i + 1.0, i + 1.5) for i in range(20)]
+    got = trend_strength(spark.createDataFrame(rows, "symbol string, i int, high double, low double, close double")).collect()
+    assert [r.symbol for r in got] == ["long"] and got[0].adx > 90 and got[0].pdi > got[0].mdi
 
 
 def test_business_days(spark):
