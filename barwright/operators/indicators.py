@@ -233,14 +233,14 @@ _EW = """with recursive {bars}{ret}, v0 as (select symbol, var_samp(ret) as v fr
   ew as (select symbol, 60 as i, v from v0 union all select ew.symbol, r.i, 0.94 * ew.v + 0.06 * r.ret * r.ret from ew join rt r on r.symbol = ew.symbol and r.i = ew.i + 1) """
 
 
-def ewma_sigma(b: DataFrame) -> DataFrame:
-    """symbol, i, ret, sigma: exponentially weighted deviation (0.94), seeded by the variance of the first 60 returns."""
+def ewma_sigma(b: DataFrame, columns: list[str] = ("symbol", "i", "ret")) -> DataFrame:
+    """The columns and sigma: exponentially weighted deviation (0.94), seeded by the variance of the first 60 returns."""
 
     x = with_returns(b)
     first = F.when(F.col("i").between(1, 60), F.col("ret"))
     seed = x.groupBy("symbol").agg(F.when(F.count(first) == 60, F.var_samp(first)).alias("_v"))
     x = exponential(x.join(seed, "symbol").withColumn("_q", F.when(F.col("i") > 60, F.col("ret") * F.col("ret"))), {"_w": ("_q", 0.06, "_v")})
-    return x.select("symbol", "i", "ret", F.sqrt(F.when(F.col("i") == 60, F.col("_v")).when(F.col("i") > 60, F.col("_w"))).alias("sigma"))
+    return x.select(*columns, F.sqrt(F.when(F.col("i") == 60, F.col("_v")).when(F.col("i") > 60, F.col("_w"))).alias("sigma"))
 
 
 @query("ewma_vol", _EW.replace("{ret}", RET).replace("{bars}", BARS_SQL) + "select rt.symbol, rt.i, round(sqrt(v), 8) as sigma from rt left join ew using (symbol, i)")

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, clamp, finite, first_passage_sql, last, normal_cdf_sql, r6, std
-from ..plans.registry import query
+from ..plans.registry import BARS_SQL, query
 from ..sources.bars import bars, table
 from ..sources.shared import kept
 from .alignment import BREADTH
-from .indicators import RET, closing_bars, sql_last, with_returns
+from .indicators import _EW, RET, closing_bars, ewma_sigma, rsi_columns, sql_ema, sql_last, with_returns
 from .plan import LABELS, wave_labels
-from .probability import EVAL, banded, evaluate, target_log
+from .probability import AMPLITUDES, EVAL, HORIZONS, banded, evaluate, target_log
 from .strokes import ALL, DAY, POINTS, completed, divergences, points, scenario_sql, scenarios, spans, sql, strokes, zones
 from .waves import ABC, IMPULSE, LEGS, SIX, SWINGS, impulses, legs, pw, swings, zigzag, zsql
 
@@ -160,41 +160,49 @@ def _samples_with(name: str) -> str:
     return f"case when (1 - bar) * dir >= 0 then 1e0 else greatest(0.001e0, least(0.999e0, {first_passage_sql('ln(bar)', '0e0', name, 'h')})) end"
 
 
-BAKE_H, BAKE_R = (20, 40, 60, 90, 120), (0.03, 0.05, 0.08, 0.12)
-ESTIMATES = {"rolling": "s20", "parkinson": "pk", "blend": "sqrt(s20 * pk)", "long": "s120"}
+BAKE_H, BAKE_R = HORIZONS, AMPLITUDES
+#: v: the exponentially weighted variance; it returns to that of 250 bars, lv, by 3 percent a bar.
+ESTIMATES = {"rolling": "s20", "parkinson": "pk", "blend": "sqrt(s20 * pk)", "long": "s120", "weighted": "sqrt(v)", "reverting": "sqrt(lv + (v - lv) * (1 - power(0.97e0, h0)) / (h0 * 0.03e0))"}
 _AHEAD = ", ".join(f"max(high) over ({P} rows between 1 following and {h} following) as hi{h}, min(low) over ({P} rows between 1 following and {h} following) as lo{h}" for h in BAKE_H)
 _PICKH = lambda k: "case " + " ".join(f"when h0 = {h} then {k}{h}" for h in BAKE_H) + " end"
-_BAKE = f"""{RET}, bk0 as (select *, {sql_last('stddev_samp', 'ret', 20)} as s20, {sql_last('stddev_samp', 'ret', 120)} as s120, sqrt({sql_last('avg', 'power(ln(high / low), 2)', 20)} / (4 * ln(2.0))) as pk, max(i) over (partition by symbol) as n, {_AHEAD} from rt),
-bk1 as (select symbol, close, h0, h0::double as h, r::double as r, dir, {_PICKH('hi')} / close as hi, {_PICKH('lo')} / close as lo, unnest([{', '.join(f"{{'name': '{k}', 'sigma': {v}}}" for k, v in ESTIMATES.items())}]) as e from bk0, (select unnest({list(BAKE_H)})::int as h0), (select unnest({list(BAKE_R)}) as r), (select unnest([1, -1]) as dir) where i >= 120 and i + {max(BAKE_H)} <= n),
+_BAKE = _EW.replace("{ret}", RET).replace("{bars}", BARS_SQL) + f""", bk0 as (select rt.*, ew.v, {sql_last('var_samp', 'ret', 250)} as lv, {sql_last('stddev_samp', 'ret', 20)} as s20, {sql_last('stddev_samp', 'ret', 120)} as s120, sqrt({sql_last('avg', 'power(ln(high / low), 2)', 20)} / (4 * ln(2.0))) as pk, max(i) over (partition by symbol) as n, {_AHEAD} from rt left join ew using (symbol, i)),
+bk1 as (select symbol, close, h0, h0::double as h, r::double as r, dir, {_PICKH('hi')} / close as hi, {_PICKH('lo')} / close as lo, unnest([{', '.join(f"{{'name': '{k}', 'sigma': {v}}}" for k, v in ESTIMATES.items())}]) as e from bk0, (select unnest({list(BAKE_H)})::int as h0), (select unnest({list(BAKE_R)}) as r), (select unnest([1, -1]) as dir) where i >= 250 and i + {max(BAKE_H)} <= n),
 bk2 as (select *, e.name as name, e.sigma as sigma, 1 + dir * r as bar from bk1 where e.sigma > 0), bk as (select name, h0 as h, {_samples_with('sigma')} as p, (case when dir = 1 then hi >= bar else lo <= bar end)::int as y from bk2)"""
 
 
-@query("volatility_bakeoff", _BAKE + " select name, h, count(*) as n, round(avg(power(p - y, 2)), 5) as brier from bk group by grouping sets ((name), (name, h))", bars=True)
+@query("volatility_bakeoff", _BAKE + " select name, h, count(*) as n, round(avg(power(p - y, 2)), 5) as brier from bk group by grouping sets ((name), (name, h))")
 def volatility_bakeoff(spark, sf_dir):
-    """Brier scores of first-passage chances without drift, with four estimates of the deviation: 20 bars, 120 bars, from ranges,
-    and the geometric mean of closes and ranges."""
+    """Brier scores of first-passage chances without drift over the whole grid of horizons and amplitudes, with six estimates of
+    the deviation: 20 bars, 120 bars, from ranges, the geometric mean of closes and ranges, exponentially weighted, and that one
+    returning to its long mean."""
     b = with_returns(bars(spark, sf_dir))
+    lv = F.var_samp("ret").over(last(250))
+    b = ewma_sigma(b.drop("ret", "simple"), b.columns).withColumns({"v": F.col("sigma") * F.col("sigma"), "lv": F.when(F.count("ret").over(last(250)) == 250, lv)})
     pk = F.sqrt(F.when(F.count("*").over(last(20)) == 20, F.avg(F.pow(F.ln(F.col("high") / F.col("low")), 2)).over(last(20))) / (4 * F.ln(F.lit(2.0))))
-    x = b.withColumns({"s20": std("ret", 20), "s120": std("ret", 120), "pk": pk, "n": F.max("i").over(Window.partitionBy("symbol"))} | {f"{c}{h}": f(k).over(by().rowsBetween(1, h)) for h in BAKE_H for c, f, k in (("hi", F.max, "high"), ("lo", F.min, "low"))}).where(f"i >= 120 and i + {max(BAKE_H)} <= n")
-    x = x.select("close", F.explode(F.array(*[F.struct(F.lit(h).alias("h0"), (F.col(f"hi{h}") / F.col("close")).alias("hi"), (F.col(f"lo{h}") / F.col("close")).alias("lo")) for h in BAKE_H])).alias("a"), F.array(*[F.struct(F.lit(k).alias("name"), F.expr(v).alias("sigma")) for k, v in ESTIMATES.items()]).alias("es"))
-    x = x.select("a.*", F.explode("es").alias("e")).where("e.sigma > 0").select("*", F.explode(F.array(*[F.struct(F.lit(1 + d * r).alias("bar"), F.lit(d).alias("dir")) for r in BAKE_R for d in (1, -1)])).alias("g"))
+    x = b.withColumns({"s20": std("ret", 20), "s120": std("ret", 120), "pk": pk, "n": F.max("i").over(Window.partitionBy("symbol"))} | {f"{c}{h}": f(k).over(by().rowsBetween(1, h)) for h in BAKE_H for c, f, k in (("hi", F.max, "high"), ("lo", F.min, "low"))}).where(f"i >= 250 and i + {max(BAKE_H)} <= n")
+    x = x.select("close", F.explode(F.array(*[F.struct(F.lit(h).alias("h0"), (F.col(f"hi{h}") / F.col("close")).alias("hi"), (F.col(f"lo{h}") / F.col("close")).alias("lo")) for h in BAKE_H])).alias("a"), *[c for c in ("s20", "s120", "pk", "v", "lv")]).select("a.*", "s20", "s120", "pk", "v", "lv")
+    x = x.select("h0", "hi", "lo", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.expr(v).alias("sigma")) for k, v in ESTIMATES.items()])).alias("e")).where("e.sigma > 0").select("*", F.explode(F.array(*[F.struct(F.lit(1 + d * r).alias("bar"), F.lit(d).alias("dir")) for r in BAKE_R for d in (1, -1)])).alias("g"))
     x = x.selectExpr("e.name as name", "h0", "cast(h0 as double) as h", "hi", "lo", "g.bar as bar", "g.dir as dir", "e.sigma as sigma").selectExpr("name", "h0 as h", f"{_samples_with('sigma')} as p", "cast(case when dir = 1 then hi >= bar else lo <= bar end as int) as y")
     return x.groupingSets([["name"], ["name", "h"]], "name", "h").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 5).alias("brier"))
 
 
 # --------------------------------------------------------------------------------------------------------- time model
-TIME_R = (0.01, 0.02, 0.03, 0.05)
+TIME_R = (0.05, 0.08, 0.12, 0.15, 0.20)
+#: Anchors: from the first bar with a year behind it, every 15th bar with a whole window ahead of it.
+TIME_FIRST, TIME_STEP, TIME_AHEAD = 250, 15, 330
+TIME_AT = f"i >= {TIME_FIRST} and (i - {TIME_FIRST}) % {TIME_STEP} = 0 and i + {TIME_AHEAD} <= n"
 _TIME = LEGS + f""", tm0 as (select symbol, count(*) as legs, median(days / abs(ret)) as pace from legs where ret > 0 group by 1 having count(*) >= 4),
-tm1 as (select b.symbol, b.i, r::double as r, ln(1 + r) * pace as pred, (select min(c.i) from bars c where c.symbol = b.symbol and c.i > b.i and c.i <= b.i + 330 and c.high >= b.close * (1 + r)) - b.i as actual from bars b join tm0 using (symbol), (select unnest({list(TIME_R)}) as r) where b.i % 15 = 0)"""
+tm1 as (select b.symbol, b.i, r::double as r, ln(1 + r) * pace as pred, (select min(c.i) from bars c where c.symbol = b.symbol and c.i > b.i and c.i <= b.i + 330 and c.high >= b.close * (1 + r)) - b.i as actual from (select *, max(i) over (partition by symbol) as n from bars) b join tm0 using (symbol), (select unnest({list(TIME_R)}) as r) where {TIME_AT})"""
 
 
 @query("time_model_error", zsql(_TIME + " select r, count(*) as n, round(avg(abs(pred - actual) / actual), 4) as mape, round(avg(pred - actual), 4) + 0.0 as bias from tm1 where actual is not null group by grouping sets ((r), ())"))
 def time_model_error(spark, sf_dir):
     """Days to a rise of r, by the median pace of past legs, against the first bar that reached it within 330 bars; anchors are
-    every 15th bar, as the study takes them. Bars that never reach it are left out."""
-    b = bars(spark, sf_dir)
+    every 15th bar, as the study takes them, from the 250th to the last one with 330 bars ahead. Bars that never reach it are
+    left out."""
+    b = kept(bars(spark, sf_dir))
     pace = legs(zigzag(b)).where("ret > 0").groupBy("symbol").agg(F.count("*").alias("legs"), F.median(F.col("days") / F.col("ret")).alias("pace")).where("legs >= 4")
-    log = b.where("i % 15 = 0").join(pace, "symbol").select("symbol", "i", "pace", "close", F.explode(F.array(*[F.lit(r) for r in TIME_R])).alias("r"))
+    log = b.withColumn("n", F.max("i").over(Window.partitionBy("symbol"))).where(TIME_AT).join(pace, "symbol").select("symbol", "i", "pace", "close", F.explode(F.array(*[F.lit(r) for r in TIME_R])).alias("r"))
     log = log.select("symbol", "i", "r", F.expr("ln(1 + r) * pace").alias("pred"), F.lit("sell").alias("side"), F.expr("close * (1 + r)").alias("price"), F.lit(330).alias("expect"), F.lit(0.0).alias("frac"))
     x = evaluate(log, b).where("days is not null and days <= 330")
     return x.groupingSets([["r"], []], "r").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("days")) / F.col("days")), 4).alias("mape"), (F.round(F.avg(F.col("pred") - F.col("days")), 4) + F.lit(0.0)).alias("bias"))
@@ -311,11 +319,15 @@ def sparkline_tail(spark, sf_dir):
     return x.select("symbol", "n", F.array_join(F.col("l.step"), "").alias("line"))
 
 
-@query("sig_by_rsi_divergence", f", dv0 as (select symbol, i, high, max(i) over (partition by symbol) as mi, max(high) over ({P} rows between 5 preceding and 5 following) as m, count(*) over ({P} rows between 5 preceding and 5 following) as n, close / lag(close, 14) over ({P}) - 1 as mom from bars), pk as (select * from dv0 where n = 11 and high = m and i > mi - 90) select a.symbol, a.i as peak, arg_max(b.i, (b.high, -b.i)) as before, a.high > max(b.high) and a.mom < arg_max(b.mom, (b.high, -b.i)) as divergence from pk a join pk b on a.symbol = b.symbol and a.i - b.i between 8 and 60 group by a.symbol, a.i, a.high, a.mom", bars=True)
+_RSI = f""", rm as (select symbol, i, close - lag(close) over ({P}) as x from bars), ru as (select symbol, i, case when x > 0 then x else x * 0 end as u, case when x < 0 then -x else x * 0 end as d from rm), {sql_ema('u', '(1.0/14)', 'ra', 'ru')}, {sql_ema('d', '(1.0/14)', 'rb', 'ru')},
+rs as (select ra.symbol, ra.i, case when ra.i >= 14 and rb.v <> 0 then 100 - 100 / (1 + ra.v / rb.v) end as rsi from ra join rb using (symbol, i))"""
+
+
+@query("sig_by_rsi_divergence", f"{_RSI}, dv0 as (select symbol, i, high, rsi, max(i) over (partition by symbol) as mi, max(high) over ({P} rows between 5 preceding and 5 following) as m, count(*) over ({P} rows between 5 preceding and 5 following) as n from bars join rs using (symbol, i)), pk as (select * from dv0 where n = 11 and high = m and i > mi - 90) select a.symbol, a.i as peak, arg_max(b.i, (b.high, -b.i)) as before, a.high > max(b.high) and a.rsi < arg_max(b.rsi, (b.high, -b.i)) as divergence from pk a join pk b on a.symbol = b.symbol and a.i - b.i between 8 and 60 group by a.symbol, a.i, a.high, a.rsi", bars=True)
 def sig_by_rsi_divergence(spark, sf_dir):
-    """Recent peaks against the best peak 8 to 60 bars before: a higher high on less momentum (of 14 bars)."""
+    """Recent peaks against the best peak 8 to 60 bars before: a higher high at a lower RSI."""
     w = by().rowsBetween(-5, 5)
-    x = bars(spark, sf_dir).withColumns({"m": F.max("high").over(w), "n": F.count("*").over(w), "mi": F.max("i").over(Window.partitionBy("symbol")), "mom": F.col("close") / F.lag("close", 14).over(by()) - 1}).where("n = 11 and high = m and i > mi - 90")
-    a, b = x.select("symbol", F.col("i").alias("peak"), F.col("high").alias("ah"), F.col("mom").alias("am")), x.select("symbol", "i", "high", "mom")
-    best = a.join(b, "symbol").where("peak - i between 8 and 60").groupBy("symbol", "peak").agg(F.max_by(F.struct("i", "high", "mom"), F.struct("high", -F.col("i"))).alias("b"), F.first("ah").alias("ah"), F.first("am").alias("am"))
-    return best.select("symbol", "peak", F.col("b.i").alias("before"), ((F.col("ah") > F.col("b.high")) & (F.col("am") < F.col("b.mom"))).alias("divergence"))
+    x = rsi_columns(bars(spark, sf_dir)).withColumns({"m": F.max("high").over(w), "n": F.count("*").over(w), "mi": F.max("i").over(Window.partitionBy("symbol"))}).where("n = 11 and high = m and i > mi - 90")
+    a, b = x.select("symbol", F.col("i").alias("peak"), F.col("high").alias("ah"), F.col("rsi").alias("ar")), x.select("symbol", "i", "high", "rsi")
+    best = a.join(b, "symbol").where("peak - i between 8 and 60").groupBy("symbol", "peak").agg(F.max_by(F.struct("i", "high", "rsi"), F.struct("high", -F.col("i"))).alias("b"), F.first("ah").alias("ah"), F.first("ar").alias("ar"))
+    return best.select("symbol", "peak", F.col("b.i").alias("before"), ((F.col("ah") > F.col("b.high")) & (F.col("ar") < F.col("b.rsi"))).alias("divergence"))

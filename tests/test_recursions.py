@@ -133,3 +133,43 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copytree(ROOT, at, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(x.startswith('op1') for x in q) and len(q) > 250; e.oracle_sql(); import bench"
     subprocess.run([sys.executable, "-c", code], cwd=at, check=True, env=os.environ | {"PYTHONPATH": str(at)})
+
+
+def test_weight_search_by_plain_ranks(spark, sf):
+    import numpy as np
+
+    from barwright.operators import sentiment
+    from barwright.sources.bars import bars
+
+    x = sentiment.search_rows(bars(spark, sf)).where("i < 420").cache()
+    got = sentiment.searched(x, sets=60, a_task=16).collect()
+    rows = x.orderBy("symbol", "i").collect()
+
+    def spearman(a, b):
+        if len(a) < 10:
+            return 0.0
+        ranks = []
+        for v in (a, b):
+            order = sorted(range(len(v)), key=lambda k: v[k])
+            place = [0] * len(v)
+            for r, k in enumerate(order):
+                place[k] = r
+            ranks.append(place)
+        return float(np.corrcoef(*ranks)[0, 1])
+
+    for symbol in {r.symbol for r in rows}:
+        own = [r for r in rows if r.symbol == symbol]
+        cut, found = int(len(own) * 0.7), []
+        for k in range(1, 61):
+            (w,), (span,) = sentiment.weight_sets(k, k)
+            assert abs(sum(w) - 1) < 1e-12 and min(w) > 0.03
+            mom = {10: "mom10", 20: "mom", 30: "mom30", 40: "mom40"}[int(span)]
+            score = [min(100, max(0, 50 + 50 * (w[0] * r[mom] + w[1] * r.pos + w[2] * r.vol + w[3] * r.volat))) for r in own]
+            ahead = [r.fwd for r in own]
+            found.append((spearman(score[:cut], ahead[:cut]), k, spearman(score[cut:], ahead[cut:])))
+        want = [f for f in sorted(found) if f[0] < 0][:10]
+        mine = sorted((r.place, r.k, r.r_train, r.r_test, r.n_train + r.n_test) for r in got if r.symbol == symbol)
+        assert len(mine) == len(want)
+        for (_, _, train, test, n), (t, _, o) in zip(mine, want):
+            assert abs(train - t) < 1e-3 and n == len(own)
+        assert all(abs(m[3] - dict((k, o) for _, k, o in found)[m[1]]) < 2e-3 for m in mine)
