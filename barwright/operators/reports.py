@@ -276,7 +276,10 @@ def sig_smart_money(spark, sf_dir):
     return x.select("symbol", "i", F.expr("case when lastbrk is not null and lastbrk <> brk then 'change' else 'break' end").alias("kind"), F.expr("case when brk * fvg >= 0 then brk else 0 end").alias("signal"))
 
 
-@query("sig_strokes", sql("select symbol, i1 as i, arg_min(signal, (kind, signal))::int as signal, min(kind) as kind from (select p.symbol, s.i1, p.kind, p.signal from pt p join dn s on s.symbol = p.symbol and s.no = p.no) group by 1, 2", ALL + POINTS))
+SIG_STROKES_SQL = sql("select symbol, i1 as i, arg_min(signal, (kind, signal))::int as signal, min(kind) as kind from (select p.symbol, s.i1, p.kind, p.signal from pt p join dn s on s.symbol = p.symbol and s.no = p.no) group by 1, 2", ALL + POINTS)
+
+
+@query("sig_strokes", SIG_STROKES_SQL)
 def sig_strokes(spark, sf_dir):
     """One signal a bar of the structure: of several points on one bar, the kind with the smallest number stands."""
     b = bars(spark, sf_dir)

@@ -2,4 +2,5 @@
 
 from ..operators import alignment, binding, candles, indicators, plan, probability, quality, relational, reports, sentiment, strokes, waves  # noqa: F401
 from ..sources import bars, ingest  # noqa: F401
+from ..streaming import signals  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
