@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, first_passage_sql, normal_cdf_sql
+from ..functions.isotonic import pools
 from ..plans.registry import query
 from ..sources.bars import bars
 from .indicators import PIT, TERM, WINDOWS, band_scale, expanding_rank, hv20, interpolated, term_structure
@@ -217,6 +218,15 @@ def isotonic_steps(spark, sf_dir):
     return pr.withColumn("low", low).groupBy("k").agg(F.first("g").alias("hundredths"), F.first("n").alias("n"), F.round(F.max("low"), 5).alias("iso")).drop("k")
 
 
+@query("isotonic_samples")
+def isotonic_samples(spark, sf_dir):
+    """Isotonic regression of outcomes on all samples of each symbol, on the probability in ten-thousandths: its steps. A test
+    restates it plainly; SQL has no pooling."""
+    x = calibration_samples(bars(spark, sf_dir))
+    x = pools(x, F.floor(F.col("p") * 10000 + 0.001), F.col("y"))
+    return x.select("symbol", "no", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "n", F.round("value", 6).alias("value"))
+
+
 @query("dominant_tier", SAMPLES + ", tb as (select least(floor(p * 10), 9)::int as bin, h, r, dir, count(*) as n, sum(p) as sp, sum(y) as sy from samples group by 1, 2, 3, 4) select bin, sum(n)::bigint as n, arg_max(h, (n, -h, -r, dir))::int as h, arg_max(r, (n, -h, -r, dir)) as r, arg_max(dir, (n, -h, -r, dir))::int as dir, round(max(n) / sum(n), 6) as share, round((sum(sp) - sum(sy)) / sum(n), 5) + 0.0 as gap from tb group by 1", bars=True)
 def dominant_tier(spark, sf_dir):
     """Of each bucket, the grid point that most samples come from, its share, and the bucket's gap."""
