@@ -157,45 +157,66 @@ _RANGES = " or ".join(f"d between date '{a}' and date '{b}'" for a, b in HOLIDAY
 TRADING = f"d in ({', '.join(f"date '{x}'" for x in MAKE_UP)}) or (WD and not ({_RANGES}))"
 
 
-def calendar(spark: SparkSession, first: str = "1998-01-01", last: str = "1998-12-31") -> DataFrame:
-    """d, trading, session (trading days up to and including d): a dimension bounded by the years it covers."""
+#: What the calendar covers (days beyond it have no answer); make-up days and holidays are given for 1998, other years have weekends.
+FIRST_DAY, LAST_DAY = "1990-01-01", "2010-12-31"
+
+
+def calendar(spark: SparkSession, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
+    """d, trading, session (trading days up to and including d), snapped (the first trading day from d on): a dimension bounded
+    by the years it covers."""
     days = spark.sql(f"select explode(sequence(date '{first}', date '{last}')) as d")
     days = days.withColumn("trading", F.expr(TRADING.replace("WD", "weekday(d) < 5")))
-    return days.withColumn("session", F.sum(F.col("trading").cast("int")).over(Window.partitionBy(F.lit(1)).orderBy("d")))
+    w = Window.partitionBy(F.lit(1)).orderBy("d")  # some thousands of days
+    snapped = F.first(F.when(F.col("trading"), F.col("d")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return days.withColumns({"session": F.sum(F.col("trading").cast("int")).over(w), "snapped": snapped})
+
 
+CAL = f"""cal as (select d, trading, (sum(trading::int) over (order by d))::bigint as session from (select d, ({TRADING.replace('WD', 'dayofweek(d) between 1 and 5')}) as trading from (select unnest(generate_series(date '{FIRST_DAY}', date '{LAST_DAY}', interval 1 day))::date as d))),
+od as (select cast(o_orderdate as date) as d, count(*) as orders from orders group by 1)"""
 
-CAL = f"cal as (select d, trading, (sum(trading::int) over (order by d))::bigint as session from (select d, ({TRADING.replace('WD', 'dayofweek(d) between 1 and 5')}) as trading from (select unnest(generate_series(date '1998-01-01', date '1998-12-31', interval 1 day))::date as d)))"
 
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """d, orders: the days of all orders."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("orders"))
 
-@query("trading_days", f"with {CAL} select d::varchar as d, trading, session from cal")
+
+@query("trading_days", f"with {CAL} select d::varchar as d, orders, trading, session from od left join cal using (d)")
 def trading_days(spark, sf_dir):
-    return calendar(spark).select(F.col("d").cast("string").alias("d"), "trading", "session")
+    """The days of all orders: whether trading took place, and how many trading days there had been."""
+    return order_days(spark, sf_dir).join(calendar(spark), "d", "left").select(F.col("d").cast("string").alias("d"), "orders", "trading", "session")
 
 
-@query("next_trading_day", f"with {CAL} select a.d::varchar as d, (select min(b.d) from cal b where b.trading and b.d >= a.d)::varchar as snapped from cal a")
+@query("next_trading_day", f"with {CAL} select a.d::varchar as d, (select min(b.d) from cal b where b.trading and b.d >= a.d)::varchar as snapped from od a")
 def next_trading_day(spark, sf_dir):
-    c = calendar(spark)
-    w = Window.partitionBy(F.lit(1)).orderBy("d").rowsBetween(0, 2**31 - 1)
-    return c.select(F.col("d").cast("string").alias("d"), F.first(F.when(F.col("trading"), F.col("d")), ignorenulls=True).over(w).cast("string").alias("snapped"))
+    """The trading day on which an order of each day is carried out."""
+    return order_days(spark, sf_dir).join(calendar(spark), "d", "left").select(F.col("d").cast("string").alias("d"), F.col("snapped").cast("string").alias("snapped"))
 
 
-@query("add_trading_days", f"with {CAL} select a.d::varchar as d, n::int as n, min(b.d)::varchar as target from cal a cross join (select unnest([1, 5, 20]) as n) left join cal b on b.trading and b.session = a.session + n group by 1, 2")
+@query("add_trading_days", f"with {CAL} select a.d::varchar as d, n::int as n, min(b.d)::varchar as target from (select d, session from od join cal using (d)) a cross join (select unnest([1, 5, 20]) as n) left join cal b on b.trading and b.session = a.session + n group by 1, 2")
 def add_trading_days(spark, sf_dir):
+    """1, 5 and 20 trading days after the day of each order."""
     c = calendar(spark)
-    a = c.select("d", "session", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20))).alias("n")).withColumn("s", F.col("session") + F.col("n")).drop("session")
+    a = order_days(spark, sf_dir).join(c, "d").select("d", "session", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20))).alias("n")).withColumn("s", F.col("session") + F.col("n")).drop("session")
     b = c.where("trading").select(F.col("session").alias("s"), F.col("d").alias("target"))
     return a.join(b, "s", "left").select(F.col("d").cast("string").alias("d"), "n", F.col("target").cast("string").alias("target"))
 
 
-@query("stale_sessions", f"""with {CAL}, x as (select symbol, max(date) as last from (select l_returnflag as symbol, cast(l_shipdate as date) as date from lineitem where l_shipdate < timestamp '1998-03-01') group by 1)
-  select symbol, last::varchar as last, count(*) filter (d > last and d <= date '1998-03-06' and trading) as gap,
-  case when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 2 then 'fresh' when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 5 then 'stale' when count(*) filter (d > last and d <= date '1998-03-06' and trading) <= 10 then 'old' else 'dead' end as grade from x, cal group by 1, 2""")
+AS_OF = "2001-11-10"
+_GRADE = "case when gap <= 2 then 'fresh' when gap <= 5 then 'stale' when gap <= 10 then 'old' else 'dead' end"
+
+
+@query("stale_sessions", f"""with {CAL}, x as (select l_returnflag as symbol, cast(max(l_shipdate) as date) as last from lineitem group by 1), g as (select symbol, last, count(d) as gap from x left join cal on d > last and d <= date '{AS_OF}' and trading group by 1, 2)
+  select symbol, last::varchar as last, gap, {_GRADE} as grade from g""")
 def stale_sessions(spark, sf_dir):
-    """Trading days since each symbol's last bar, as of a date, with a grade."""
-    x = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1998-03-01'").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
-    c = calendar(spark).where("trading and d <= date '1998-03-06'")
-    g = x.join(c, F.col("d") > F.col("last"), "left").groupBy("symbol", "last").agg(F.count("d").alias("gap"))
-    return g.select("symbol", F.col("last").cast("string").alias("last"), "gap", F.expr("case when gap <= 2 then 'fresh' when gap <= 5 then 'stale' when gap <= 10 then 'old' else 'dead' end").alias("grade"))
+    return stale(table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last")), AS_OF)
+
+
+def stale(x: DataFrame, as_of: str) -> DataFrame:
+    """Trading days from each symbol's last bar to a day, with a grade: the difference of two session numbers."""
+    c = calendar(x.sparkSession)
+    now = c.where(F.col("d") == F.lit(as_of).cast("date")).select(F.col("session").alias("now"))  # one row
+    g = x.join(c.select(F.col("d").alias("last"), "session"), "last").crossJoin(now).withColumn("gap", F.greatest(F.lit(0), F.col("now") - F.col("session")))
+    return g.select("symbol", F.col("last").cast("string").alias("last"), "gap", F.expr(_GRADE).alias("grade"))
 
 
 # ------------------------------------------------------------------------------------------- breadth and rotation

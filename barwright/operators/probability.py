@@ -12,7 +12,7 @@ from ..functions.columns import by, first_passage_sql, normal_cdf_sql
 from ..functions.isotonic import pools
 from ..plans.registry import query
 from ..sources.bars import bars
-from .indicators import PIT, TERM, WINDOWS, band_scale, expanding_rank, hv20, interpolated, term_structure
+from .indicators import PIT, RET, TERM, WINDOWS, band_scale, expanding_rank, hv20, interpolated, term_structure, with_returns
 
 P = "partition by symbol order by i"
 #: The grid of the samples: every bar from the first whose shortest volatility window is full, 84 samples a bar.
@@ -20,15 +20,19 @@ GRID_HORIZONS, GRID_AMPLITUDES, GRID_FIRST = (20, 40, 60, 90, 120, 180, 250), (0
 HORIZONS, AMPLITUDES, STEP, FIRST = GRID_HORIZONS, GRID_AMPLITUDES, 1, GRID_FIRST
 
 
-@query("normal_cdf_grid", f"select k::int as k, round({normal_cdf_sql('x')}, 7) as cdf from (select k, k / 10.0::double as x from (select unnest(generate_series(-40, 40)) as k))")
+@query("normal_cdf_grid", f"{RET}, x as (select symbol, i, round(ret * 100, 4) as x from rt where ret is not null) select symbol, i, x + 0.0 as x, round({normal_cdf_sql('x')}, 6) as cdf from x", bars=True)
 def normal_cdf_grid(spark, sf_dir):
-    return spark.sql(f"select k, round({normal_cdf_sql('x')}, 7) as cdf from (select cast(id as int) as k, id / 10.0D as x from range(-40, 41))")
+    """The normal distribution function at every bar's return, in percent."""
+    x = with_returns(bars(spark, sf_dir)).where("ret is not null").select("symbol", "i", F.round(F.col("ret") * 100, 4).alias("x"))
+    return x.selectExpr("symbol", "i", "x + 0.0D as x", f"round({normal_cdf_sql('x')}, 6) as cdf")
 
 
-@query("first_passage_grid", f"select round(a, 4) + 0.0 as a, mu, sigma, t, round({first_passage_sql('a', 'mu', 'sigma', 't')}, 6) as p from (select (i - 5) / 20.0::double as a, (m - 1) / 1000.0::double as mu, s / 100.0::double as sigma, h * 40.0::double as t from (select unnest(generate_series(0, 10)) as i), (select unnest(generate_series(0, 2)) as m), (select unnest(generate_series(1, 3)) as s), (select unnest(generate_series(1, 3)) as h))")
+@query("first_passage_grid", f"{RET}, m as (select symbol, round(avg(ret), 6) as mu, round(stddev_samp(ret), 6) as sigma from rt group by 1), g as (select symbol, mu, sigma, (k - 5) / 20.0::double as a, h * 40.0::double as t from m, (select unnest(generate_series(0, 10)) as k), (select unnest(generate_series(1, 3)) as h)) select symbol, round(a, 4) + 0.0 as a, t, round({first_passage_sql('a', 'mu', 'sigma', 't')}, 5) as p from g", bars=True)
 def first_passage_grid(spark, sf_dir):
-    g = spark.sql("select (i.id - 5) / 20.0D as a, (m.id - 1) / 1000.0D as mu, s.id / 100.0D as sigma, h.id * 40.0D as t from range(11) i cross join range(3) m cross join range(1, 4) s cross join range(1, 4) h")
-    return g.selectExpr("round(a, 4) + 0.0D as a", "mu", "sigma", "t", f"round({first_passage_sql('a', 'mu', 'sigma', 't')}, 6) as p")
+    """Chances of reaching distances of up to half, with the drift and deviation of each symbol's bars."""
+    m = with_returns(bars(spark, sf_dir)).groupBy("symbol").agg(F.round(F.avg("ret"), 6).alias("mu"), F.round(F.stddev_samp("ret"), 6).alias("sigma"))
+    g = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(3)))).selectExpr("symbol", "mu", "sigma", "(k - 5) / 20.0D as a", "h * 40.0D as t")
+    return g.selectExpr("symbol", "round(a, 4) + 0.0D as a", "t", f"round({first_passage_sql('a', 'mu', 'sigma', 't')}, 5) as p")
 
 
 def at_horizon(prefix: str, h: int):

@@ -155,31 +155,26 @@ def gate_structure(spark, sf_dir):
     return out.union(check(z, "zones are open", F.expr("zg <= zd or gg < zg or dd > zd"))).union(check(z, "zones in order", F.col("start") < F.lag("end").over(w)))
 
 
-#: Days of targets (as bars after the last one, by the calendar's pace); on a day without trading they move on.
-@query("gate_target_days", f"with {CAL}, tg as (select k, (date '1998-03-02' + (k * 7 % 300)::int) as day from (select unnest(generate_series(1, 60))::int as k)) select k, day::varchar as day, c.trading, (select min(d) from cal x where x.trading and x.d >= day)::varchar as moved from tg join cal c on c.d = day")
+@query("gate_target_days", f"{TLOG}, {CAL}, tg as (select t.symbol, t.i, t.key, (b.date + t.expect::int)::date as day from tlog t join bars b using (symbol, i)) select tg.symbol, tg.i, tg.key, day::varchar as day, c.trading, (select min(d) from cal x where x.trading and x.d >= day)::varchar as moved from tg join cal c on c.d = day", bars=True)
 def gate_target_days(spark, sf_dir):
-    """Days of targets that are no trading days, and the trading day that each moves to."""
-    t = spark.range(1, 61).select(F.col("id").cast("int").alias("k")).withColumn("day", F.expr("date_add(date '1998-03-02', cast(k * 7 % 300 as int))"))
-    c = calendar(spark)
-    nxt = F.first(F.when(F.col("trading"), F.col("d")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("d").rowsBetween(0, Window.unboundedFollowing))  # days of a calendar
-    c = c.withColumn("moved", nxt)
-    return t.join(c, F.col("day") == F.col("d")).select("k", F.col("day").cast("string").alias("day"), "trading", F.col("moved").cast("string").alias("moved"))
+    """The day on which the window of each written target ends, whether it is a trading day, and the one that it moves to."""
+    b = bars(spark, sf_dir)
+    t = target_log(b).join(b.select("symbol", "i", "date"), ["symbol", "i"]).withColumn("d", F.expr("date_add(date, expect)"))
+    return t.join(calendar(spark), "d").select("symbol", "i", "key", F.col("d").cast("string").alias("day"), "trading", F.col("snapped").cast("string").alias("moved"))
 
 
-@query("rising_days", f"""with recursive {CAL}, tg as (select g, k, (date '1998-03-02' + (g * 11 + k * (13 - g)) % 40)::date as day from (select unnest(generate_series(0, 9))::int as g), (select unnest(generate_series(0, 5))::int as k)),
-  sn as (select g, k, (select min(session) from cal x where x.trading and x.d >= day) as s from tg), ri as (select g, k, s from sn where k = 0 union all select n.g, n.k, greatest(n.s, r.s + 1) from ri r join sn n on n.g = r.g and n.k = r.k + 1)
-  select g, k, s::bigint as session, (select min(d) from cal x where x.trading and x.session = ri.s)::varchar as day from ri""")
+@query("rising_days", f"""with recursive {CAL}, tg as (select o_custkey as g, o_orderkey as o, (row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1)::int as k, cast(o_orderdate as date) as day from orders),
+  sn as (select g, o, k, (select min(session) from cal x where x.trading and x.d >= day) as s from tg), ri as (select g, o, k, s from sn where k = 0 union all select n.g, n.o, n.k, greatest(n.s, r.s + 1) from ri r join sn n on n.g = r.g and n.k = r.k + 1)
+  select g, o, k, s::bigint as session, (select min(d) from cal x where x.trading and x.session = ri.s)::varchar as day from ri""")
 def rising_days(spark, sf_dir):
-    """Points of a series moved to trading days, each at least one session after the one before: with session numbers that is
-    k plus the running maximum of session less k."""
-    c = calendar(spark)
-    w = Window.partitionBy(F.lit(1)).orderBy("d").rowsBetween(0, Window.unboundedFollowing)  # days of a calendar
-    c = c.withColumn("next_", F.first(F.when(F.col("trading"), F.col("session")), ignorenulls=True).over(w))
-    t = spark.range(60).select((F.col("id") / 6).cast("int").alias("g"), (F.col("id") % 6).cast("int").alias("k")).withColumn("day", F.expr("date_add(date '1998-03-02', cast((g * 11 + k * (13 - g)) % 40 as int))"))
-    x = t.join(c.select("d", "next_"), F.col("day") == F.col("d"))
-    up = F.max(F.col("next_") - F.col("k")).over(Window.partitionBy("g").orderBy("k"))
-    x = x.withColumn("session", F.col("k") + up).select("g", "k", "session")
-    return x.join(c.where("trading").select("session", F.col("d").cast("string").alias("day")), "session").select("g", "k", "session", "day")
+    """The orders of each customer moved to trading days, each at least one session after the one before: with session numbers
+    that is k plus the running maximum of session less k."""
+    c, w = calendar(spark), Window.partitionBy("g").orderBy("o_orderdate", "o")
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("o"), "o_orderdate", F.col("o_orderdate").cast("date").alias("d")).withColumn("k", F.row_number().over(w) - 1)
+    # a day without trading has the session before it, so the next one is one more
+    x = t.join(c.select("d", (F.col("session") + F.when(F.col("trading"), 0).otherwise(1)).alias("next_")), "d")
+    x = x.withColumn("session", F.col("k") + F.max(F.col("next_") - F.col("k")).over(Window.partitionBy("g").orderBy("k")))
+    return x.select("g", "o", "k", "session").join(c.where("trading").select("session", F.col("d").cast("string").alias("day")), "session").select("g", "o", "k", "session", "day")
 
 
 @query("gate_consistency", ", ev as (select symbol, arg_max(close, i) as close, max(date) as last, count(*) as n from bars group by 1)" + WEEKS_SQL.replace(" we as", " we as", 1).rstrip() + ", wl as (select symbol, arg_max(close, wi) as week_close, max(week) as week from weeks group by 1) select ev.symbol, week <= last as week_complete, abs(wl.week_close - b.close) < 1e-9 as week_agrees from ev join wl using (symbol) join bars b on b.symbol = ev.symbol and b.date = (select max(date) from bars x where x.symbol = ev.symbol and x.date <= wl.week)", bars=True)
@@ -212,9 +207,9 @@ def replay_status(spark, sf_dir):
 CONTRACT = ("symbol", "date", "open", "high", "low", "close", "volume", "amount")
 
 
-@query("field_contract", "select f as field, f <> 'amount' as present from (select unnest(['symbol', 'date', 'open', 'high', 'low', 'close', 'volume', 'amount']) as f)")
+@query("field_contract", " union all ".join(f"select '{c}' as field, {'false' if c == 'amount' else 'true'} as present, {'count(*) * 0' if c == 'amount' else f'count({c})'}::bigint as filled from bars" for c in CONTRACT) , bars=True)
 def field_contract(spark, sf_dir):
-    """Fields of the contract and whether the table has them (it has no amount)."""
-    have = spark.createDataFrame([(c,) for c in bars(spark, sf_dir).columns], "field string")
-    want = spark.createDataFrame([(c,) for c in CONTRACT], "field string")
-    return want.join(have.withColumn("present", F.lit(True)), "field", "left").select("field", F.coalesce("present", F.lit(False)).alias("present"))
+    """Fields of the contract, whether the table has them (it has no amount), and in how many of its rows they are filled."""
+    b = bars(spark, sf_dir)
+    one = b.agg(*[(F.count(c) if c in b.columns else F.lit(0).cast("long")).alias(c) for c in CONTRACT])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(c in b.columns).alias("present"), F.col(c).alias("filled")) for c in CONTRACT])).alias("x")).select("x.*")
