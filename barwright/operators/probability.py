@@ -5,6 +5,8 @@ explode, never by a join, and aggregated at once."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.columns import by, first_passage_sql, normal_cdf_sql
 from ..functions.isotonic import pools
 from ..plans.registry import query
 from ..sources.bars import bars
+from ..sources.shared import kept, shared_folder
+from ..streaming.commits import KeyedLog
 from .indicators import PIT, RET, TERM, WINDOWS, band_scale, expanding_rank, hv20, interpolated, term_structure, with_returns
 
 P = "partition by symbol order by i"
@@ -346,6 +350,16 @@ def target_log_dedupe(spark, sf_dir):
     return upsert_log(old, log.union(log)).groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("target_log_commits", TLOG + "select symbol, i, key, side, price, expect::int as expect from tlog", bars=True)
+def target_log_commits(spark, sf_dir):
+    """The log as three writers leave it, whose parts overlap and repeat."""
+    log = kept(target_log(bars(spark, sf_dir)))
+    to = KeyedLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", "symbol string, i int, key string, side string, price double, expect int", ("symbol", "i", "key"))
+    for part in (log.where("i % 40 = 0"), log, log.union(log)):
+        to.upsert(part)
+    return to.read()
+
+
 @query("log_quality", TLOG + "select side, key, count(*) as n, count(*) filter (price <= 0) as bad_price, count(distinct (symbol, i)) as anchors, round(max(price) - min(price), 2) as spread from tlog group by 1, 2", bars=True)
 def log_quality(spark, sf_dir):
     return target_log(bars(spark, sf_dir)).groupBy("side", "key").agg(F.count("*").alias("n"), F.count_if(F.col("price") <= 0).alias("bad_price"), F.countDistinct("symbol", "i").alias("anchors"), F.round(F.max("price") - F.min("price"), 2).alias("spread"))
