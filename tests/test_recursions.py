@@ -100,8 +100,10 @@ def test_states_pass_over_small_batches_and_many_symbols(spark, three_row_batche
     assert got == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["structure_summary", "signal_plans", "sig_strokes", "thinned_signals", "forecast_confidence", "point_backtest"])
-@pytest.mark.parametrize("shuffles", ["4", "12"])
+READERS = ["structure_summary", "signal_plans", "sig_strokes", "thinned_signals", "forecast_confidence", "point_backtest"]
+
+
+@pytest.mark.parametrize("name,shuffles", [("structure_summary", "4"), *((n, "12") for n in READERS)])
 def test_readers_of_points_on_more_rows(spark, name, shuffles):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", shuffles)
