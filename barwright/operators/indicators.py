@@ -3,9 +3,6 @@ what is built on them) are affine maps composed over blocks of bars (`functions/
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -316,21 +313,19 @@ def vol_term_structure(spark, sf_dir):
 
 
 def expanding_rank(h: DataFrame, x: str, out: str) -> DataFrame:
-    """Adds the share (percent) of the values of x so far that are strictly below the current one: one sorted list per
-    symbol, which grows by insertion."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p, seen, share = p.sort_values("i"), [], []
-        for v in p[x].tolist():
-            if v is None or v != v:
-                share.append(None)
-            else:
-                bisect.insort(seen, v)
-                share.append(100.0 * bisect.bisect_left(seen, v) / len(seen))
-        return pd.DataFrame({"symbol": p["symbol"], "i": p["i"], out: pd.Series(share, index=p.index, dtype="float64")})
-
-    ranks = h.select("symbol", "i", x).groupBy("symbol").applyInPandas(run, f"symbol string, i int, {out} double")
-    return h.join(ranks.withColumn(out, F.when(~F.isnan(out), F.col(out))), ["symbol", "i"])
+    """Adds the share (percent) of the values of x so far that are strictly below the current one; null where x is null or no
+    number.
+
+    By halves: at level l, blocks of 2^(l+1) rows have a left and a right half, and each row of a right half counts the smaller
+    values of its left half, by a running sum over the block sorted by value. Any two rows meet at one level only, the highest
+    bit in which their numbers differ. So a row is sorted once a level, Spark sorts (and spills), and no worker holds a series."""
+    v = h.select("symbol", "i", F.when(~F.isnan(x), F.col(x)).alias("v"))
+    v = v.withColumns({"seen": F.count("v").over(by()), "n": F.max("i").over(Window.partitionBy("symbol"))}).where("v is not null")
+    bit = F.expr("array_max(filter(sequence(0, 30), l -> l = 0 or shiftleft(1, l) <= n))")
+    v = v.withColumn("l", F.explode(F.sequence(F.lit(0), bit))).selectExpr("symbol", "i", "v", "seen", "l", "shiftright(i, l + 1) as block", "1 - (shiftright(i, l) & 1) as left")
+    w = Window.partitionBy("symbol", "l", "block").orderBy("v", "left").rowsBetween(Window.unboundedPreceding, 0)  # at ties the right half comes first
+    share = v.withColumn("below", F.sum("left").over(w)).groupBy("symbol", "i").agg((100.0 * F.sum(F.when(F.col("left") == 0, F.col("below")).otherwise(0)) / F.first("seen")).alias(out))
+    return h.join(share, ["symbol", "i"], "left")
 
 
 def band_scale(p):

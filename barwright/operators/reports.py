@@ -15,7 +15,7 @@ from .alignment import BREADTH
 from .indicators import _EW, RET, closing_bars, ewma_sigma, rsi_columns, sql_ema, sql_last, with_returns
 from .plan import LABELS, wave_labels
 from .probability import AMPLITUDES, EVAL, HORIZONS, banded, evaluate, target_log
-from .strokes import ALL, DAY, POINTS, completed, divergences, points, scenario_sql, scenarios, spans, sql, strokes, zones
+from .strokes import ALL, DAY, POINTS, Structure, completed, divergences, points, scenario_sql, scenarios, spans, sql, strokes, zones
 from .waves import ABC, IMPULSE, LEGS, SIX, SWINGS, impulses, legs, pw, swings, zigzag, zsql
 
 P = "partition by symbol order by i"
@@ -23,12 +23,12 @@ HS = (5, 10, 20, 60)
 
 
 # --------------------------------------------------------------------------------------- back-test of buy and sell points
-def outcomes(b: DataFrame) -> DataFrame:
+def outcomes(b: DataFrame, of: Structure | None = None) -> DataFrame:
     """symbol, kind, signal, i1, h, ret, win of every point but the latest of its kind: the return of the next h bars, and
     whether it went the point's way."""
-    s = spans(strokes(b), b)
-    z = zones(s)
-    p = points(s, z, divergences(s, z)).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
+    s = spans(strokes(b), b) if of is None else of.strokes
+    z = zones(s) if of is None else of.zones
+    p = points(s, z, divergences(s, z) if of is None else of.divergences).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
     k = F.row_number().over(Window.partitionBy("symbol", "kind", "signal").orderBy(F.desc("no"), F.desc("anchor")))
     p = p.withColumn("k", k).where("k > 1")
     fwd = b.withColumns({f"f{h}": F.lead("close", h).over(by()) / F.col("close") - 1 for h in HS})
@@ -307,9 +307,9 @@ SIG_STROKES_SQL = sql("select symbol, i1 as i, arg_min(signal, (kind, signal))::
 def sig_strokes(spark, sf_dir):
     """One signal a bar of the structure: of several points on one bar, the kind with the smallest number stands."""
     b = bars(spark, sf_dir)
-    s = spans(strokes(b), b)
-    z = zones(s)
-    p = points(s, z, divergences(s, z)).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
+    s = spans(strokes(b), b) if of is None else of.strokes
+    z = zones(s) if of is None else of.zones
+    p = points(s, z, divergences(s, z) if of is None else of.divergences).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
     return p.groupBy("symbol", F.col("i1").alias("i")).agg(F.min_by("signal", F.struct("kind", "signal")).alias("signal"), F.min("kind").alias("kind"))
 
 

@@ -536,8 +536,11 @@ CONCLUSION = """case when month_bull >= total * 0.6e0 and week_bear >= total * 0
   count(*) filter (msc.polarity = 1) as month_bull, count(*) filter (msc.polarity = -1) as month_bear from sc join wsc using (symbol) join msc using (symbol)),
   bc2 as (select *, round((0.2 * (day_bull - day_bear) + 0.4 * (week_bull - week_bear) + 0.4 * (month_bull - month_bear)) / total::double, 3) as score from bc1)"""))
 def breadth_composite(spark, sf_dir):
-    """Polarities over all symbols: days weigh 0.2, weeks and months 0.4 each; one score, its label and what the levels say."""
-    x = frames(bars(spark, sf_dir))
+    return composite(frames(bars(spark, sf_dir)))
+
+
+def composite(x: DataFrame) -> DataFrame:
+    """Polarities over all symbols of frames(): days weigh 0.2, weeks and months 0.4 each; one score, its label and what the levels say."""
     n = lambda c, v: F.count_if(F.col(c) == v)
     cols = {f"{frame}_{side}": n(c, v) for frame, c in (("day", "polarity"), ("week", "week_polarity"), ("month", "month_polarity")) for side, v in (("bull", 1), ("bear", -1))}
     x = x.agg(F.count("*").alias("total"), *[v.alias(k) for k, v in cols.items()])
@@ -547,8 +550,12 @@ def breadth_composite(spark, sf_dir):
 
 @query("adaptive_horizon", sql("select n.symbol, case when n < 4 then 60 else greatest(30, least(90, round_even(avg * 1.6, 0)))::int end as horizon from (select symbol, avg(i1 - i0 + 1) as avg from (select * from sk qualify row_number() over (partition by symbol order by no desc) <= 8) group by 1) a join nn n using (symbol)", structure_sql()))
 def adaptive_horizon(spark, sf_dir):
+    return horizons(strokes(bars(spark, sf_dir)))
+
+
+def horizons(s: DataFrame) -> DataFrame:
     """1.6 times the mean length of the last 8 strokes, from 30 to 90 bars; 60 with fewer than four strokes."""
-    s = strokes(bars(spark, sf_dir)).withColumns({"k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("no")))}).where("k <= 8")
+    s = s.withColumns({"k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("no")))}).where("k <= 8")
     mean = F.bround(F.avg(F.col("i1") - F.col("i0") + 1) * 1.6)
     return s.groupBy("symbol").agg(F.when(F.count("*") < 4, 60).otherwise(F.greatest(F.lit(30), F.least(F.lit(90), mean)).cast("int")).alias("horizon"))
 
@@ -586,9 +593,13 @@ _CUTS = ", cb as (select symbol || '#' || k as symbol, b.i, high, low, close, vo
   select b.symbol, b.bars, count(*) filter (c.k < b.bars and c.polarity <> b.polarity) as polarity_moves, count(*) filter (c.k < b.bars and (c.polarity <> b.polarity or c.side <> b.side)) as moves
   from st4 b join st4 c on c.symbol = b.symbol and c.k > 0 where b.k = 0 group by 1, 2, b.polarity, b.side)""", _CUTS + scenario_sql("cb", "c") + """, st4 as (select split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2)::int as k, coalesce(bars, 1) as bars, polarity, case trend when 'up' then 1 when 'down' then -1 else 0 end as side from csc)"""))
 def classification_stability(spark, sf_dir):
+    return stability(bars(spark, sf_dir))
+
+
+def stability(b: DataFrame) -> DataFrame:
     """The scenario again without the last one, two and three bars (fewer than the last stroke has): each cut is a symbol of
     its own, made where more than 30 bars are left. A last stroke under twelve bars is young; strokes alternate, so no run of them has one direction."""
-    b = momentum(bars(spark, sf_dir))
+    b = momentum(b)
     n = b.groupBy("symbol").agg(F.max("i").alias("n"))
     cut = b.join(n, "symbol").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).where("i <= n - k and (k = 0 or n + 1 > k + 30)").withColumn("symbol", F.concat_ws("#", "symbol", "k"))
     x = scenarios(cut.drop("n", "k")).select(F.split("symbol", "#")[0].alias("symbol"), F.split("symbol", "#")[1].cast("int").alias("k"), F.coalesce("bars", F.lit(1)).alias("bars"), "polarity", F.expr("case trend when 'up' then 1 when 'down' then -1 else 0 end").alias("side"))
@@ -623,8 +634,11 @@ ma as (select symbol, arg_max(al, i) as alignment from (select symbol, i, case w
   from (select symbol, i, close, avg(close) over (partition by symbol order by i rows between 19 preceding and current row) as a, avg(close) over (partition by symbol order by i rows between 59 preceding and current row) as b, avg(close) over (partition by symbol order by i rows between 119 preceding and current row) as c, avg(close) over (partition by symbol order by i rows between 249 preceding and current row) as d from bars)) group by 1),
 fc as (select sc.*, sc.dir as d, wsc.dir as w, win, alignment, lx.adx from sc join wsc using (symbol) left join wn using (symbol) left join ma using (symbol) left join lx on lx.symbol = sc.symbol)"""))
 def forecast_confidence(spark, sf_dir):
-    """The confidence, with the trend's strength as `adx_wilder` gives it."""
-    of = structure(bars(spark, sf_dir))
+    return confidences(structure(bars(spark, sf_dir))).select("symbol", "confidence")
+
+
+def confidences(of: Structure) -> DataFrame:
+    """frames() with the confidence, in which the trend's strength is that of `adx_wilder`."""
     b = of.bars
     w = lambda n: F.avg("close").over(Window.partitionBy("symbol").orderBy("i").rowsBetween(-(n - 1), 0))
     m = b.select("symbol", "i", "close", *[w(n).alias(f"m{n}") for n in (20, 60, 120, 250)])
@@ -632,7 +646,7 @@ def forecast_confidence(spark, sf_dir):
     m = m.groupBy("symbol").agg(F.max_by(order, "i").alias("alignment"))
     strength = trend_strength(b).select("symbol", "adx")
     x = frames(b, of).join(wins(points(of.strokes, of.zones, of.divergences), of.strokes, b), "symbol", "left").join(m, "symbol", "left").join(strength, "symbol", "left")
-    return x.selectExpr("symbol", f"cast({CONFIDENCE} as int) as confidence")
+    return x.withColumn("confidence", F.expr(f"cast({CONFIDENCE} as int)"))
 
 
 @query("structure_summary", sql("""select sc.symbol, strokes, zones, (select count(*) from sg g where g.symbol = sc.symbol) as legs, (select count(*) from dv d where d.symbol = sc.symbol) as divergences, (select count(*) from gw g where g.symbol = sc.symbol) as leg_divergences,
