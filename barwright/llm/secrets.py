@@ -1,10 +1,12 @@
 """Secret scans with one combined deterministic automaton.
 
-The rules' regular expressions are compiled (position sets, subset construction, minimisation) into one table of
-transition arrays over bytes that runs all rules at once; a single pass over the bytes of a text tells where each
-rule's matches end, and a small reversed automaton of that rule finds the leftmost start. Per rule, matches are
-leftmost, longest and non-overlapping. A rule with an open tail over hexadecimal digits multiplies the states by those of the
-hex rule's count: these five rules have 697 states, three more such rules 13,489.
+A rule has a head, a regular expression that ends with the first byte of its tail, and the tail's class of bytes, along
+which a match goes on. The heads are compiled (position sets, subset construction, minimisation) into one table of
+transition arrays over bytes that runs all rules at once; a single pass over the bytes of a text tells where each rule's
+heads end, a small reversed automaton of that head finds the leftmost start, and the match goes on to where the class ends.
+Per rule, matches are leftmost, longest and non-overlapping: no head may hold a shorter one of its own rule that starts later
+and ends earlier. Tails stay out of the automaton because it would keep all of them alive at once: five rules with their
+tails have 697 states, and three more 13,489; the heads of all rules below have under 500.
 
 Edge cases: a null text is empty and has no span; offsets are code points, end exclusive; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are not read.
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from re import _constants as K
 from re import _parser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +27,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-# The base rules, in the order in which kinds are listed, then the rules that this scan adds.
+class Rule(NamedTuple):
+    """head: regular expression up to the first byte of the tail; tail: class of the bytes that follow ("" for none); least: matches
+    that are shorter are dropped after they have been found; value: the length is that of the tail alone; dots: least number of
+    dots in a match."""
+
+    head: str
+    tail: str = ""
+    least: int = 0
+    value: bool = False
+    dots: int = 0
+
+
+# The base rules, in the order in which kinds are listed, then the rules that this scan adds, by the issuers' prefixes.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = {
-    "assign": ("(?i:" + ASSIGN.split("([A-Z")[0] + ")" + "([A-Z" + ASSIGN.split("([A-Z")[1]),
-    "access": r"AKIA[A-Z0-9]+",
-    "hex": r"[0-9a-f]{32,}",
-    "github": r"gh[opsu]_[A-Za-z0-9]+",
-    "pem": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
+    "assign": Rule(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", "A-Za-z0-9+/_.=-", 8, value=True),
+    "access": Rule(r"AKIA[A-Z0-9]", "A-Z0-9", 16),
+    "hex": Rule(r"[0-9a-f]{32}", "0-9a-f"),
+    "github": Rule(r"gh[opsu]_[A-Za-z0-9]", "A-Za-z0-9", 24),
+    "pem": Rule(r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    "github_pat": Rule(r"github_pat_[A-Za-z0-9_]", "A-Za-z0-9_", 82),
+    "gitlab": Rule(r"glpat-[A-Za-z0-9_-]", "A-Za-z0-9_-", 26),
+    "slack": Rule(r"xox[abprs]-[A-Za-z0-9]", "A-Za-z0-9-", 24),
+    "google": Rule(r"AIza[A-Za-z0-9_-]", "A-Za-z0-9_-", 39),
+    "stripe": Rule(r"[rs]k_(live|test)_[A-Za-z0-9]", "A-Za-z0-9", 24),
+    "npm": Rule(r"npm_[A-Za-z0-9]", "A-Za-z0-9", 40),
+    "pypi": Rule(r"pypi-[A-Za-z0-9_-]", "A-Za-z0-9_-", 60),
+    "sendgrid": Rule(r"SG\.[A-Za-z0-9_-]", "A-Za-z0-9_.-", 60, dots=2),
+    "hub": Rule(r"hf_[A-Za-z0-9]", "A-Za-z0-9", 34),
+    "droplet": Rule(r"do[opr]_v1_[0-9a-f]", "0-9a-f", 71),
+    "jwt": Rule(r"eyJ[A-Za-z0-9_-]", "A-Za-z0-9_.-", 40, dots=2),
 }
 BASE = ("assign", "access", "hex")
-#: Matches that are shorter are dropped after they have been found (for assign, the length of the value).
-LEAST = {"assign": 8, "access": 16, "github": 24}
-_VALUE = re.compile(ASSIGN.encode(), re.IGNORECASE)
 
 
 # ------------------------------------------------------------------------------------------------- compilation
@@ -156,13 +180,14 @@ def compile_dfa(rules: list[str], floating: bool, back: bool = False) -> list[li
 
 
 class Scanner:
-    def __init__(self, rules: dict[str, str] = RULES):
-        self.kinds = list(rules)
-        self.forward = compile_dfa(list(rules.values()), floating=True)[0]
-        self.backward = [compile_dfa([r], floating=False, back=True)[0] for r in rules.values()]
+    def __init__(self, rules: dict[str, Rule] = RULES):
+        self.kinds, self.rules = list(rules), list(rules.values())
+        self.forward = compile_dfa([r.head for r in self.rules], floating=True)[0]
+        self.backward = [compile_dfa([r.head], floating=False, back=True)[0] for r in self.rules]
+        self.tails = [frozenset() if not r.tail else Nfa.bytes_of(*_parser.parse(f"[{r.tail}]")[0], False) for r in self.rules]
 
     def _start(self, k: int, data: bytes, end: int, least: int) -> int:
-        """The smallest start of at least `least` from which rule k matches up to `end`, or -1."""
+        """The smallest start of at least `least` from which the head of rule k matches up to `end`, or -1."""
         row, best, i = self.backward[k], -1, end
         while i > least:
             i -= 1
@@ -175,26 +200,22 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, sorted."""
-        ended, row, before = [], self.forward, 0
+        out, row, last, n = [], self.forward, [0] * len(self.kinds), len(data)
         for i, b in enumerate(data):
             row = row[b]
             mask = row[256]
-            if mask != before:
-                ended.append((i, before & ~mask))
-                before = mask
-        ended.append((len(data), before))
-        out, last = [], [0] * len(self.kinds)
-        for end, mask in ended:
-            k = 0
             while mask:
-                if mask & 1 and (start := self._start(k, data, end, last[k])) >= 0:
-                    last[k] = end
-                    kind = self.kinds[k]
-                    length = len(_VALUE.match(data, start, end)[2]) if kind == "assign" else end - start
-                    if length >= LEAST.get(kind, 0):
-                        out.append((start, k, end))
-                mask >>= 1
-                k += 1
+                k = (mask & -mask).bit_length() - 1
+                mask &= mask - 1
+                # a head that ends within the match before is part of it
+                if i < last[k] or (start := self._start(k, data, i + 1, last[k])) < 0:
+                    continue
+                end, tail, rule = i + 1, self.tails[k], self.rules[k]
+                while end < n and data[end] in tail:
+                    end += 1
+                last[k] = end
+                if end - (i if rule.value else start) >= rule.least and data.count(b".", start, end) >= rule.dots:
+                    out.append((start, k, end))
         return sorted(out)
 
     def text_spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -211,12 +232,18 @@ class Scanner:
         return [(int(before[s]), int(before[e]), self.kinds[k]) for s, k, e in found]
 
 
+@lru_cache(maxsize=8)
+def scanner_of(rules: tuple[tuple[str, Rule], ...]) -> Scanner:
+    """Compiled once in a worker, which serves many tasks."""
+    return Scanner(dict(rules))
+
+
 # --------------------------------------------------------------------------------------------------- operators
-def scan_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """doc_id, secrets: array of (start, end, kind) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scanner = scanner_of(tuple(rules.items()))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in scanner.text_spans(x or "")] for x in batch.column(1).to_pylist()]
@@ -235,11 +262,11 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join((*out, text[at:]))
 
 
-def redact_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def redact_secrets(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """docs with the secrets in text replaced by their kinds; all other columns as they are; null stays null."""
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scanner = scanner_of(tuple(rules.items()))
         for batch in batches:
             i = batch.schema.get_field_index("text")
             texts = [x and redacted(x, scanner.text_spans(x)) for x in batch.column(i).to_pylist()]

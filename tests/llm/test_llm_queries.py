@@ -368,6 +368,35 @@ def test_op9_added_kinds():
     assert [k for *_, k in secrets.Scanner().text_spans(text)] == ["github", "pem"]
 
 
+WHOLE = {  # each added kind once, as long as it must be
+    "github_pat": "github_pat_" + "aB_9" * 17 + "xyz", "gitlab": "glpat-" + "aB-9" * 5, "slack": "xoxb-" + "12-Ab" * 3 + "1234", "google": "AIza" + "aZ_-9" * 7, "stripe": "sk_live_" + "aZ09" * 4, "npm": "npm_" + "aZ09" * 9,
+    "pypi": "pypi-" + "aZ_-9" * 11, "sendgrid": "SG." + "aZ_-9" * 4 + "ab." + "aZ_-9" * 6 + "0123", "hub": "hf_" + "aZ9" * 10 + "z", "droplet": "dop_v1_" + "0a9f" * 16, "jwt": "eyJ" + "aZ9" * 6 + ".eyJ" + "a_-" * 3 + ".ab-_9",
+}
+
+
+@pytest.mark.parametrize("kind", WHOLE)
+def test_op9_each_added_kind(kind):
+    """Found where it is long enough, with its exact place, and not with a character less; the same twice in a text."""
+    one, scanner = WHOLE[kind], secrets.Scanner()
+    found = lambda text: [(s, e) for s, e, k in scanner.text_spans(text) if k == kind]
+    assert len(one) == max(secrets.RULES[kind].least, 1)
+    assert found(f"é ({one}) {one}") == [(3, 3 + len(one)), (5 + len(one), 5 + 2 * len(one))]
+    assert not found(f"({one[:-1]})")
+    if secrets.RULES[kind].dots:
+        assert not found(one.replace(".", "-"))
+
+
+def test_op9_added_kinds_on_random_texts():
+    """All rules against the same as plain regular expressions."""
+    plain = {k: (re.compile(r.head + (f"[{r.tail}]*" if r.tail else "")), r) for k, r in secrets.RULES.items() if not r.value}
+    rng, scanner = random.Random(11), secrets.Scanner()
+    parts = [*WHOLE.values(), *[w[: len(w) // 2] for w in WHOLE.values()], *[w[:6] for w in WHOLE.values()], "eyJ", "SG.", "hf_", "sk_test_", "-", ".", "_", " ", "a" * 30, "0" * 31, "gh", "p_", "-----BEGIN ", "PRIVATE KEY-----", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = sorted((m.start(), m.end(), k) for k, (p, r) in plain.items() for m in p.finditer(text) if m.end() - m.start() >= r.least and m[0].count(".") >= r.dots)
+        assert sorted(x for x in scanner.text_spans(text) if x[2] != "assign") == want, text
+
+
 @both
 def test_op10_by_restatement(spark, request, at):
     at = request.getfixturevalue(at)
