@@ -222,12 +222,21 @@ _Q = "case when raw >= 0.98e0 then raw else coalesce(iso, raw) end"
 
 def bind(b: DataFrame) -> DataFrame:
     """symbol, cat, name, price, expect, close, lo, hi, band, prob, source of every dated target."""
+    return published(kept(bound(b)))
+
+
+def bound(b: DataFrame) -> DataFrame:
+    """Every dated target with all that its probability is made of."""
     x, now, l, r = whole(b)
     bins = kept(prior_bins(b, now)).select("symbol", F.col("bin").alias("bin_"), "iso")
     x = x.withColumn("bin_", F.least(F.floor(F.col("raw") * 10), F.lit(9)).cast("int")).join(bins, ["symbol", "bin_"], "left")
     x = x.join(r, ["symbol", "cat", "name"], "left").join(reach_of_legs(x, l), ["symbol", "cat", "name"], "left").crossJoin(breadth(b, 5).select("breadth"))  # one row
     x = x.withColumn("q", F.expr(_Q)).withColumn("prior", F.expr(_PRIOR)).withColumns({"prob": F.expr(_PROB), "source": F.expr(_SOURCE)})
-    return kept(x).select("symbol", "cat", "name", "price", "expect", "close", F.expr("round(price * (1 - frac), 4)").alias("lo"), F.expr("round(price * (1 + frac), 4)").alias("hi"), F.expr("round(frac * 100, 4)").alias("band"), "prob", "source")
+    return x
+
+
+def published(x: DataFrame) -> DataFrame:
+    return x.select("symbol", "cat", "name", "price", "expect", "close", F.expr("round(price * (1 - frac), 4)").alias("lo"), F.expr("round(price * (1 + frac), 4)").alias("hi"), F.expr("round(frac * 100, 4)").alias("band"), "prob", "source")
 
 
 BOUND = DATED + PRICED + BINS + REACH + f""", br as (select sum(sign(r)) / 5.0 as breadth from (select symbol, arg_max(r, i) as r from (select symbol, i, close / lag(close, 20) over ({P}) - 1 as r from bars) group by 1)),
