@@ -23,12 +23,17 @@ HS = (5, 10, 20, 60)
 
 
 # --------------------------------------------------------------------------------------- back-test of buy and sell points
+def dated_points(b: DataFrame, of: Structure | None = None) -> DataFrame:
+    """Points with i1, the bar at which their stroke ends."""
+    s = spans(strokes(b), b) if of is None else of.strokes
+    z = zones(s) if of is None else of.zones
+    return points(s, z, divergences(s, z) if of is None else of.divergences).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
+
+
 def outcomes(b: DataFrame, of: Structure | None = None) -> DataFrame:
     """symbol, kind, signal, i1, h, ret, win of every point but the latest of its kind: the return of the next h bars, and
     whether it went the point's way."""
-    s = spans(strokes(b), b) if of is None else of.strokes
-    z = zones(s) if of is None else of.zones
-    p = points(s, z, divergences(s, z) if of is None else of.divergences).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
+    p = dated_points(b, of)
     k = F.row_number().over(Window.partitionBy("symbol", "kind", "signal").orderBy(F.desc("no"), F.desc("anchor")))
     p = p.withColumn("k", k).where("k > 1")
     fwd = b.withColumns({f"f{h}": F.lead("close", h).over(by()) / F.col("close") - 1 for h in HS})
@@ -306,10 +311,7 @@ SIG_STROKES_SQL = sql("select symbol, i1 as i, arg_min(signal, (kind, signal))::
 @query("sig_strokes", SIG_STROKES_SQL)
 def sig_strokes(spark, sf_dir):
     """One signal a bar of the structure: of several points on one bar, the kind with the smallest number stands."""
-    b = bars(spark, sf_dir)
-    s = spans(strokes(b), b) if of is None else of.strokes
-    z = zones(s) if of is None else of.zones
-    p = points(s, z, divergences(s, z) if of is None else of.divergences).join(completed(s).select("symbol", "no", "i1"), ["symbol", "no"])
+    p = dated_points(kept(bars(spark, sf_dir)))
     return p.groupBy("symbol", F.col("i1").alias("i")).agg(F.min_by("signal", F.struct("kind", "signal")).alias("signal"), F.min("kind").alias("kind"))
 
 
