@@ -445,7 +445,9 @@ def searched(x: DataFrame, sets: int = SETS, a_task: int = SETS_A_TASK) -> DataF
         ahead, cut = p["fwd"].to_numpy(), int(len(p) * TRAIN)
         train, test = rank_correlations(scores[:cut], ahead[:cut]), rank_correlations(scores[cut:], ahead[cut:])
         best = [j for j in np.argsort(train, kind="stable")[:TOP] if train[j] < 0]
-        return pd.DataFrame({"symbol": key[0], "k": [first + int(j) for j in best], "span": [int(span[j]) for j in best], "r_train": train[best], "r_test": test[best], "n_train": cut, "n_test": len(p) - cut, "weights": [w[j].tolist() for j in best]})
+        # a block where no set goes against the next bars has no row; a column of lists is then still one of objects
+        lists = pd.Series([w[j].tolist() for j in best], dtype=object)
+        return pd.DataFrame({"symbol": key[0], "k": [first + int(j) for j in best], "span": [int(span[j]) for j in best], "r_train": train[best], "r_test": test[best], "n_train": cut, "n_test": len(p) - cut, "weights": lists})
 
     x = x.select("symbol", "i", "fwd", *columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((sets - 1) // a_task))))
     found = x.groupBy("symbol", "block").applyInPandas(run, "symbol string, k int, span int, r_train double, r_test double, n_train int, n_test int, weights array<double>")
