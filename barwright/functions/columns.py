@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("symbol",)
@@ -54,6 +54,16 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
+def with_total(x: DataFrame, sets: list[list[str]], *aggs: Column) -> DataFrame:
+    """x aggregated by grouping sets and over all. As in SQL, the total has a row even where x has none, which Spark's grouping
+    sets leave out: the aggregates of no rows join in, and give way to a total that is there."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    some = x.groupingSets([*sets, []], *keys).agg(F.grouping_id().alias("set_"), F.struct(*aggs).alias("got_")).withColumn("there_", F.lit(1))
+    none = x.limit(0).agg(F.struct(*aggs).alias("got_"))  # one row, without reading x
+    none = none.select(*[F.lit(None).cast(x.schema[k].dataType).alias(k) for k in keys], F.lit(2 ** len(keys) - 1).cast("long").alias("set_"), "got_", F.lit(0).alias("there_"))
+    return some.unionByName(none).groupBy(*keys, "set_").agg(F.max_by("got_", "there_").alias("got_")).select(*keys, "got_.*")
+
+
 def finite(x: Column, default: float) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default)).otherwise(x)
 

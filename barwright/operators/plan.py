@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_total
 from ..plans.registry import query
 from ..sources.bars import bars
 from ..sources.shared import kept
@@ -157,7 +158,7 @@ def model_errors(runs: DataFrame, q2: str, q3: str, q4: str) -> DataFrame:
     pred = ["v0 + net / {a}", "v0 + (1 - {2}) * net / {a}", "v0 + (1 - {2} + {3}) * net / {a}", "v0 + (1 - {2} + {3} - {4} * {3}) * net / {a}", "v5"]
     pred = [p.replace("{a}", amp).replace("{2}", q2).replace("{3}", q3).replace("{4}", q4) for p in pred]
     x = runs.withColumn("net", F.col("v5") - F.col("v0")).withColumn("e", F.explode(F.array(*[F.struct((F.abs(F.expr(p) - F.col(f"v{k}")) / F.col("net")).alias("f"), (F.abs(F.expr(p) - F.col(f"v{k}")) / F.col(f"v{k}") * 100).alias("pct")) for k, p in enumerate(pred, 1)])))
-    return x.groupingSets([["symbol"], []], "symbol").agg(F.round(F.median("e.f"), 4).alias("mae"), F.round(F.percentile("e.pct", 0.68), 2).alias("disp"))
+    return with_total(x, [["symbol"]], F.round(F.median("e.f"), 4).alias("mae"), F.round(F.percentile("e.pct", 0.68), 2).alias("disp"))
 
 
 def _errors_sql(out: str, source: str, q2: str, q3: str, q4: str) -> str:
@@ -177,7 +178,7 @@ def subwave_errors(spark, sf_dir):
     """Errors of the standard model, and the median share of time gone by at each turn."""
     r = five_wave_runs(legs(zigzag(bars(spark, sf_dir)), RUN_LEG))
     share = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(f"t{k}", "t0") / F.greatest(F.lit(1), F.datediff("t5", "t0"))))
-    t = r.groupingSets([["symbol"], []], "symbol").agg(F.count("*").alias("n"), *[F.round(F.median(share(k)), 3).alias(f"t{k}") for k in range(1, 5)])
+    t = with_total(r, [["symbol"]], F.count("*").alias("n"), *[F.round(F.median(share(k)), 3).alias(f"t{k}") for k in range(1, 5)])
     e = model_errors(r, *_STD).withColumnRenamed("symbol", "s_")
     return t.join(e, F.col("symbol").eqNullSafe(F.col("s_"))).drop("s_")
 

@@ -44,3 +44,9 @@ def test_lock_where_nothing_is_published(spark, flat):
 
 def test_spoilt_lock_where_nothing_is_published(spark, flat):
     same_as_sql(spark, flat, "gate_probability_lock_spoilt", 5)
+
+
+@pytest.mark.parametrize("name", ["subwave_errors"])
+def test_total_of_nothing(spark, flat, name):
+    """Grouping sets over no rows: only the total has a row."""
+    same_as_sql(spark, flat, name, 1)
