@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by
+from ..functions.columns import by, with_total
 from ..functions.recursions import exponential, fold
 from ..plans.registry import query
 from ..sources.bars import bars
@@ -163,7 +163,7 @@ def run_ratios(runs: DataFrame) -> DataFrame:
     """Medians of the sane runs' ratios per symbol and over all (symbol null); null where fewer than six runs are sane."""
     x = runs.withColumns({k: F.expr(v) for k, v in RUN_RATIOS.items()}).withColumn("sane", F.expr(SANE))
     m = lambda c: F.when(F.count_if("sane") >= 6, F.round(F.median(F.when(F.col("sane"), F.col(c))), 4)).alias(c)
-    return x.groupingSets([["symbol"], []], "symbol").agg(F.count("*").alias("n"), F.count_if("sane").alias("sane_n"), m("q2"), m("q3"), m("q4"))
+    return with_total(x, [["symbol"]], F.count("*").alias("n"), F.count_if("sane").alias("sane_n"), m("q2"), m("q3"), m("q4"))
 
 
 RATIO_SQL = f""", rq as (select *, {SANE} as sane from (select *, {_RQ} from runs)),
