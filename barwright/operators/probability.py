@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by, first_passage_sql, normal_cdf_sql
+from ..functions.columns import by, first_passage_sql, normal_cdf_sql, with_total
 from ..functions.isotonic import pools
 from ..plans.registry import query
 from ..sources.bars import bars
@@ -260,7 +260,7 @@ _COARSE = "*, case when h <= 60 then 'short' when h <= 120 then 'middle' else 'l
 def brier_grouping_sets(spark, sf_dir):
     """Brier score, gap and slope by horizon, amplitude, coarse horizon, coarse amplitude, and over all, in one pass."""
     s = calibration_samples(bars(spark, sf_dir)).selectExpr(*_COARSE.replace("0.05", "0.05D").replace("0.12", "0.12D").split(", "))
-    return s.groupingSets([["h"], ["r"], ["span"], ["reach"], []], "h", "r", "span", "reach").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 5).alias("brier"), (F.round(F.avg("p") - F.avg("y"), 5) + 0.0).alias("gap"), F.round(F.regr_slope("y", F.expr(Z)), 5).alias("slope"))
+    return with_total(s, [["h"], ["r"], ["span"], ["reach"]], F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 5).alias("brier"), (F.round(F.avg("p") - F.avg("y"), 5) + 0.0).alias("gap"), F.round(F.regr_slope("y", F.expr(Z)), 5).alias("slope"))
 
 
 @query("low_bucket_bias", SAMPLES + "select count(*) as n, round(avg(p), 5) as p, round(avg(y), 5) as y, round(avg(p) - avg(y), 5) + 0.0 as gap from samples where p < 0.2", bars=True)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by, clamp, finite, first_passage_sql, last, normal_cdf_sql, r6, std
+from ..functions.columns import by, clamp, finite, first_passage_sql, last, normal_cdf_sql, r6, std, with_total
 from ..functions.isotonic import looked_up, pools
 from ..plans.registry import BARS_SQL, query
 from ..sources.bars import bars, table
@@ -207,7 +207,7 @@ def time_model_error(spark, sf_dir):
     every 15th bar, as the study takes them, from the 250th to the last one with 330 bars ahead. Bars that never reach it are
     left out."""
     x = time_records(kept(bars(spark, sf_dir)))
-    return x.groupingSets([["r"], []], "r").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("days")) / F.col("days")), 4).alias("mape"), (F.round(F.avg(F.col("pred") - F.col("days")), 4) + F.lit(0.0)).alias("bias"))
+    return with_total(x, [["r"]], F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("days")) / F.col("days")), 4).alias("mape"), (F.round(F.avg(F.col("pred") - F.col("days")), 4) + F.lit(0.0)).alias("bias"))
 
 
 def time_records(b: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def production_brier(spark, sf_dir):
     x = x.selectExpr("key", "case when side = 'sell' then 1 else -1 end as dir", "cast(expect as double) as h", "case expect when 20 then s20 when 60 then s60 else s120 end as sigma", "price / close as bar", "cast(coalesce(days <= expect, false) as int) as y").where("sigma > 0")
     p = f"case when (1 - bar) * dir >= 0 then 1e0 else {first_passage_sql('ln(bar)', '0e0', 'sigma', 'h')} end"
     x = x.withColumn("p", F.expr(p))
-    return x.groupingSets([["key"], []], "key").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 5).alias("brier"), (F.round(F.avg("p") - F.avg("y"), 5) + F.lit(0.0)).alias("gap"))
+    return with_total(x, [["key"]], F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 5).alias("brier"), (F.round(F.avg("p") - F.avg("y"), 5) + F.lit(0.0)).alias("gap"))
 
 
 @query("cross_weight_sweep", BREADTH + ", cw as (select w, z.symbol, r, (select avg(sign(o.r)) from z o where o.symbol <> z.symbol) as others from z, (select unnest([2, 3, 4]) as w)) select w::int as w, symbol, round((sign(r) + w * others) / (1 + w), 6) + 0.0 as blended from cw", bars=True)

@@ -46,7 +46,7 @@ def test_spoilt_lock_where_nothing_is_published(spark, flat):
     same_as_sql(spark, flat, "gate_probability_lock_spoilt", 5)
 
 
-@pytest.mark.parametrize("name", ["subwave_errors", "subwave_ratios"])
+@pytest.mark.parametrize("name", ["subwave_errors", "subwave_ratios", "time_model_error", "production_brier", "brier_grouping_sets"])
 def test_total_of_nothing(spark, flat, name):
     """Grouping sets over no rows: only the total has a row."""
     same_as_sql(spark, flat, name, 1)
