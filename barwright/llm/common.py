@@ -1,5 +1,5 @@
 """Helpers shared by the training-data operators: shared folders, hierarchical prefix sums, connected
-components, vectorised word hashing over Arrow buffers, and tokenisation with a word cache."""
+components, vectorised word hashing over Arrow buffers, and tokenisation with a table of parts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import hashlib
 import os
 import tempfile
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,8 +206,8 @@ class Texts:
         return h
 
 
-def slices(col: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Iterator[Texts]:
-    """Cuts a text column into slices of whole documents of about SLICE_BYTES; nulls read as empty."""
+def buffers(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Cuts a text column into slices of whole documents of about SLICE_BYTES: bytes, offsets from 0, first row; nulls read as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -223,10 +222,16 @@ def slices(col: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Iter
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         to = min(to, len(col))
-        yield Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, fold, space)
+        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at
         at = to
 
 
+def slices(col: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Iterator[Texts]:
+    """A text column as slices of whole documents of about SLICE_BYTES."""
+    for data, offsets, at in buffers(col):
+        yield Texts(data, offsets, at, fold, space)
+
+
 # ------------------------------------------------------------------------------------------------ tokenisation
 #: Where the public vocabulary files are; a parameter of every operator that tokenises.
 VOCABULARY = "byte_bpe_50k.json"
@@ -244,18 +249,78 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+class Table:
+    """Ids of byte strings of 1 to 24 bytes without NUL, looked up in bulk: open addressing by rows of three words of eight
+    bytes, which hold the whole string (no two are taken for each other), and the place and number of its ids in a pool."""
+
+    def __init__(self, bits: int = 16):
+        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
+        self.rows = np.zeros((1 << bits, 4), np.uint64)
+        self.pool, self.n, self.used = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        a, b, c = _LANES[0]
+        h = keys[:, 0] * a ^ keys[:, 1] * b ^ keys[:, 2] * c
+        return ((h ^ h >> _U(32)) * b >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """place << 8 | number of each key, 0 where it is not held."""
+        out, at, slots = np.zeros(len(keys), np.int64), None, self._slots(keys)
+        while True:
+            rows = self.rows[slots]
+            same = (rows[:, 0] == keys[:, 0]) & (rows[:, 1] == keys[:, 1]) & (rows[:, 2] == keys[:, 2])
+            if at is None:
+                out = np.where(same, rows[:, 3], 0).astype(np.int64)
+            else:
+                out[at[same]] = rows[same, 3]
+            on = np.flatnonzero(~same & (rows[:, 0] != 0))
+            if not len(on):
+                return out
+            at, keys, slots = on if at is None else at[on], keys[on], slots[on] + 1 & self.mask
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds distinct keys that are not held, with their ids one after the other."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        rows = np.column_stack([keys, ((self.used + np.cumsum(counts) - counts) << 8 | counts).astype(np.uint64)])
+        self.used, self.n = self.used + len(ids), self.n + len(keys)
+        if 2 * self.n > len(self.rows):
+            rows = np.concatenate([self.rows[self.rows[:, 0] != 0], rows])
+            bits = (2 * self.n).bit_length()
+            self.shift, self.mask, self.rows = _U(64 - bits), (1 << bits) - 1, np.zeros((1 << bits, 4), np.uint64)
+        slots = self._slots(rows)
+        while len(rows):
+            free = np.flatnonzero(self.rows[slots, 0] == 0)
+            took = free[np.unique(slots[free], return_index=True)[1]]
+            self.rows[slots[took]] = rows[took]
+            rest = np.ones(len(rows), bool)
+            rest[took] = False
+            rows, slots = rows[rest], slots[rest] + 1 & self.mask
+
+
+#: Kinds of bytes for the tokenizer's splitter.
+LETTER, DIGIT, MARK, BLANK, LINE, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127], KIND[48:58], KIND[65:91], KIND[97:123], KIND[32], KIND[10] = MARK, DIGIT, LETTER, LETTER, BLANK, LINE
+#: First bytes of letters of two bytes: U+00C0 to U+023F (but for U+00D7 and U+00F7) and U+0400 to U+047F.
+TWO = np.isin(np.arange(256), (*range(0xC3, 0xC9), 0xD0, 0xD1))
+#: First bytes of the characters among which white space beyond ASCII is, by their number of bytes.
+WIDE2, WIDE3 = np.isin(np.arange(256), 0xC2), np.isin(np.arange(256), (0xE1, 0xE2, 0xE3))
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizers library's own.
 
-    Byte-level BPE never merges across a single space that stands between two other characters, so a text is cut
-    at such spaces and each distinct piece is encoded once by the library; the cache is emptied when full. Texts
-    with other white space next to such a space keep it within one piece.
+    Byte-level BPE never merges across a single space that stands between two other characters, so texts are cut into
+    pieces at such spaces. A piece of letters (ASCII and those of `TWO`), digits, marks and single line ends is cut further
+    where the library's splitter cuts: between these kinds. Such parts are looked up in a table, a slice of texts at a time, and
+    encoded once by the library; the table is emptied when full. Other pieces (other characters, contractions, further white
+    space) and parts of over 24 bytes are encoded whole by the library, and kept by their bytes where they are short.
     """
 
-    ROOM = 250_000
-    #: White space besides space, tab, LF and CR, and pairs of white space: texts with these are cut with more care.
-    RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-    PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+    #: Parts in the table, other pieces kept.
+    ROOM, ODD = 1 << 20, 100_000
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -263,82 +328,120 @@ class Encoder:
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.encode_special_tokens = True
-        self.model = self.library.model
-        self.cache: dict[str, bytes] = {}
-        self.stops = {x: self._ids([x])[0] for x in ".,;:!?)"}
-        self.line = self._ids(["\n"])[0]
+        n = max(self.library.get_vocab().values()) + 1
+        #: Tokens that begin with a space.
+        self.led = np.array([(self.library.id_to_token(i) or "").startswith(chr(_SYMBOLS[32])) for i in range(n)])
+        self.table: Table = Table()
+        self.odd: dict[bytes, list[int]] = {}
 
     @classmethod
     def get(cls, vocabulary: str = VOCABULARY) -> Encoder:
-        """The encoder of this Python worker, which keeps its cache from task to task."""
+        """The encoder of this Python worker, which keeps its table from task to task."""
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        """The text cut before single spaces; pieces after the first stand without their leading space."""
-        parts = text.split(" ")
-        if not any(x in text for x in self.PAIRS) and (text.isascii() and text.isprintable() or not any(x in text for x in self.RARE)):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def _known(self, x: str, space: bool) -> bytes | None:
-        """Ids of a piece that the library's splitter would cut into words of letters, single stops and line ends; its
-        model gets the words directly, in byte symbols. Null where the library has to split the piece itself."""
-        key = x if space else "\n" + x
-        got = self.cache.get(key)
-        if got is None:
-            if x.isalpha():
-                if max(x) < "\u0250":
-                    word = x if x.isascii() else x.encode().decode("latin-1").translate(_SYMBOLS)
-                    got = array("I", [y.id for y in self.model.tokenize("\u0120" + word if space else word)]).tobytes()
-            elif x[-1:] in self.stops and x[-2:-1].isalpha():
-                base = self._known(x[:-1], space)
-                got = base and base + self.stops[x[-1]]
-            elif "\n" in x:
-                one, two = x.split("\n", 1)
-                if one and two and not one[-1].isspace() and not two[0].isspace():
-                    head, tail = self._known(one, space), self._known(two, False)
-                    got = head and tail and head + self.line + tail
-            if got is not None:
-                self.cache[key] = got
-        return got
-
-    def _learn(self, new: list[str]) -> None:
-        """Adds pieces to the cache."""
-        rest = [x for x in new if self._known(x, True) is None]
-        self.cache.update(zip(rest, self._ids([" " + x for x in rest])))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        done = []
-        for at in range(0, len(texts), 64):
-            cut = [self._pieces(x) if x else [""] for x in texts[at : at + 64]]
-            if len(self.cache) > self.ROOM:
-                self.cache.clear()
-            look = self.cache.get
-            found = [list(map(look, parts)) for parts in cut]
-            new: set[str] = set()
-            for parts, got in zip(cut, found):
-                got[0] = b""
-                if None in got:
-                    new.update(p for p, g in zip(parts, got) if g is None)
-            if new:
-                self._learn(list(new))
-            for head, parts, got in zip(self._ids([parts[0] for parts in cut]), cut, found):
-                if None in got:
-                    got = [self.cache[p] if g is None else g for p, g in zip(parts, got)]
-                got[0] = head
-                done.append(b"".join(got))
-        return done
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the parts of a slice start, their lengths, and whether each is known to be one part of the library's splitter."""
+        n = len(data)
+        kind = KIND[data]
+        two = np.flatnonzero(TWO[data])
+        two = two[(data[two] != 0xC3) | (data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
+        kind[two] = kind[two + 1] = LETTER
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+
+        def tight(at: np.ndarray) -> np.ndarray:
+            """Whether both neighbours are there and no white space or control characters."""
+            before, after = data[at - 1], data[np.minimum(at + 1, n - 1)]
+            ok = ~first[at] & ~first[at + 1] & (before > 32) & (after > 32) & ~WIDE2[after] & ~WIDE3[after]
+            return ok & ~((before >= 128) & (WIDE2[data[np.maximum(at - 2, 0)]] | WIDE3[data[np.maximum(at - 3, 0)]]))
+
+        blank, line = np.flatnonzero(kind == BLANK), np.flatnonzero(kind == LINE)
+        quote = np.flatnonzero(data == 0x27)
+        safe = tight(blank)
+        edge = first[:n].copy()
+        edge[blank[safe]] = True
+        bad = np.concatenate([np.flatnonzero(kind == OTHER), blank[~safe], line[~tight(line)], quote[kind[np.minimum(quote + 1, n - 1)] == LETTER]])
+        pieces = np.flatnonzero(edge) if len(bad) else None
+        edge[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+        plain = None
+        if len(bad):
+            hit = np.unique(np.searchsorted(pieces, bad, "right") - 1)
+            step = np.zeros(n + 1, np.int8)
+            step[pieces[hit]] += 1
+            step[np.append(pieces, n)[hit + 1]] -= 1
+            inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+            edge &= ~inside
+            edge[pieces[hit]] = True
+            plain = ~inside
+        starts = np.flatnonzero(edge)
+        lengths = np.diff(starts, append=n)
+        return starts, lengths, (lengths <= 24) if plain is None else (lengths <= 24) & plain[starts]
+
+    def _learn(self, keys: np.ndarray, data: bytes, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds parts to the table. Words after a space are encoded as one text, whose tokens that begin with a space begin them."""
+        parts = [data[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
+        word = np.array([x[0] == 32 and (TWO[x[1]] or KIND[x[1]] == LETTER) for x in parts])
+        ids = np.array(self._ids([b"".join(x for x, w in zip(parts, word) if w)])[0], np.uint32)
+        at = np.flatnonzero(self.led[ids])
+        if len(at) == word.sum():
+            self.table.add(keys[word], ids, np.diff(at, append=len(ids)))
+        else:
+            word[:] = False
+        rest = self._ids([x for x, w in zip(parts, word) if not w])
+        self.table.add(keys[~word], np.array([i for x in rest for i in x], np.uint32), np.array([len(x) for x in rest], np.int64))
+
+    def _whole(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces by the library alone."""
+        if len(self.odd) > self.ODD:
+            self.odd.clear()
+        new = list({x for x in pieces if x not in self.odd})
+        found = dict(zip(new, self._ids(new)))
+        self.odd.update((x, ids) for x, ids in found.items() if len(x) <= 64)
+        return [found[x] if x in found else self.odd[x] for x in pieces]
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        if self.table.n > self.ROOM:
+            self.table = Table()
+        raw = data.tobytes()
+        starts, lengths, plain = self._parts(data, offsets)
+        padded = np.frombuffer(raw + bytes(32), np.uint8)
+        eight = np.ndarray(len(data) + 25, "<u8", padded.data, strides=(1,))
+        keys = np.zeros((len(starts), 3), np.uint64)
+        keys[:, 0] = eight[starts] & FIRST_BYTES[np.minimum(lengths, 8)]
+        for k in (1, 2):
+            on = np.flatnonzero(plain & (lengths > 8 * k))
+            keys[on, k] = eight[starts[on] + 8 * k] & FIRST_BYTES[np.minimum(lengths[on] - 8 * k, 8)]
+        where = self.table.find(keys)
+        where[~plain] = 0
+        miss = np.flatnonzero((where == 0) & plain)
+        if len(miss):
+            new, one = np.unique(np.ascontiguousarray(keys[miss]).view("V24").ravel(), return_index=True)
+            one = miss[one]
+            self._learn(keys[one], raw, starts[one], lengths[one])
+            where[miss] = self.table.find(keys[miss])
+        counts, places, odd = where & 255, where >> 8, np.flatnonzero(~plain)
+        own, before = counts[plain], np.cumsum(counts[plain]) - counts[plain]
+        ids = self.table.pool[np.repeat(places[plain] - before, own) + np.arange(own.sum())]
+        if len(odd):
+            whole = self._whole([raw[a : a + n] for a, n in zip(starts[odd].tolist(), lengths[odd].tolist())])
+            counts[odd] = [len(x) for x in whole]
+            known, of_table = np.repeat(plain, counts), ids
+            ids = np.empty(len(known), np.uint32)
+            ids[known], ids[~known] = of_table, [i for x in whole for i in x]
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)] * 4
+        out = ids.astype("<u4", copy=False).tobytes()
+        return [out[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        return [x for data, offsets, _ in buffers(col) for x in self._slice(data, offsets)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -177,7 +177,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some, rows = batch.slice(at, 256), []
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
                     ids += end
                     n = len(ids) // 4
                     start, length = 0, n % capacity or capacity

@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
-                for doc, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                for doc, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
                     ids.append(doc)
                     starts.append(total)
                     parts += (x, end)
